@@ -7,12 +7,28 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from reelspan.llm import packing, token_counts
+from reelspan.llm import packing, pii, quality, tiff, token_counts
 from reelspan.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
 
 
+def op3_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents."""
+    return pii.detect(table(spark, sf_dir, "documents")).drop("redacted")
+
+
+def op4_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents stored as TIFF pages, read back by the page operator and digested."""
+    stored = tiff.encode_pages(table(spark, sf_dir, "documents"))
+    return tiff.page_digests(tiff.decode_pages(stored, carry=("n_bytes",)))
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents by the rule ensemble."""
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of all documents."""
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
@@ -25,7 +41,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The queries by name."""
-    return {f.__name__: f for f in (op6_token_counts, op10_packing)}
+    return {f.__name__: f for f in (op3_pii_spans, op4_tiff_pages, op5_quality_rules, op6_token_counts, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
