@@ -7,12 +7,22 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from reelspan.llm import packing, pii, quality, tiff, token_counts
+from reelspan.llm import class_lm, decontaminate, packing, pii, quality, tiff, token_counts
 from reelspan.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark items that documents leak."""
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op2_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents scored by the class bigram model."""
+    return class_lm.score(table(spark, sf_dir, "documents"))
+
+
 def op3_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in all documents."""
     return pii.detect(table(spark, sf_dir, "documents")).drop("redacted")
@@ -41,7 +51,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The queries by name."""
-    return {f.__name__: f for f in (op3_pii_spans, op4_tiff_pages, op5_quality_rules, op6_token_counts, op10_packing)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_class_lm, op3_pii_spans, op4_tiff_pages, op5_quality_rules, op6_token_counts, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
