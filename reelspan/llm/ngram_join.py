@@ -281,3 +281,10 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = WO
     named = classes.select("set_key", "doc").join(found.toDF("doc", "component_id"), "doc", "left").select("set_key", F.coalesce("component_id", "doc").alias("component_id"))
     same_key = signed.select("doc_id", "n_shingles", "set_key").join(named.hint("merge"), "set_key", "left")
     return same_key.select(F.col("doc_id").alias(key), "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of ``df``, all columns, without those whose component has a smaller key. Rows that
+    share a key stay or go together; rows without a key stay."""
+    extra = join(df, key, text, **options).where(f"component_id <> {key}").select(key).distinct()
+    return df.join(extra, key, "left_anti")

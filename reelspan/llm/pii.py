@@ -18,8 +18,9 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from reelspan.llm.common import keyed_text, map_batches
+from reelspan.llm.common import keyed_text, map_batches, slices
 
 #: Kinds in the order in which spans of one start are listed; the last is found by the model only.
 KINDS = ("email", "ip", "card", "phone", "secret")
@@ -382,3 +383,26 @@ def detect(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         return work
 
     return map_batches(keyed_text(df, key, text), make, f"{key} long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, redacted string")
+
+
+def redact(df: DataFrame, text: str = "text", length: str = "n_chars") -> DataFrame:
+    """``df`` with every span in ``text`` replaced by its kind in brackets, and ``length``, where
+    there is such a column, the new number of code points. Null texts stay null; other columns and
+    rows without a span stay as they are."""
+    place, model = df.columns.index(text), trained()
+
+    def run(batches):
+        for batch in batches:
+            for piece in slices(batch, place):
+                out = []
+                for body in piece.column(place).to_pylist():
+                    spans = find(body, model)[1] if body else []
+                    out.append(redacted(body, spans) if spans else body)
+                columns = list(piece.columns)
+                columns[place] = pa.array(out, pa.string())
+                yield pa.RecordBatch.from_arrays(columns, names=piece.schema.names)
+
+    out = df.mapInArrow(run, df.schema)
+    if length not in df.columns:
+        return out
+    return out.withColumn(length, F.coalesce(F.length(text).cast(df.schema[length].dataType), F.col(length)))

@@ -17,8 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from reelspan.llm.common import keyed_text, map_batches, raw_texts
+from reelspan.llm.common import keyed_text, map_batches, raw_texts, slices
 
 #: Labelled rows that a model is fitted on at most, those of the smallest hash of their id: this
 #: many (id, label) pairs and rows of statistics come to the driver.
@@ -66,6 +67,24 @@ def with_stats(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     return map_batches(keyed_text(df, key, text), make, f"{key} long, " + ", ".join(f"{s} double" for s in STATS))
 
 
+HELD = "quality_stats__"
+
+
+def beside_stats(df: DataFrame, text: str = "text") -> DataFrame:
+    """All columns of ``df`` and one more, HELD: a struct of the statistics."""
+    place = df.columns.index(text)
+    schema = T.StructType([*df.schema.fields, T.StructField(HELD, T.StructType([T.StructField(s, T.DoubleType()) for s in STATS]))])
+
+    def run(batches):
+        for batch in batches:
+            for piece in slices(batch, place):
+                rows = np.array([text_stats(b or b"") for b in raw_texts(piece.column(place))], dtype=np.float64)
+                held = pa.StructArray.from_arrays([pa.array(rows[:, i]) for i in range(len(STATS))], names=list(STATS))
+                yield pa.RecordBatch.from_arrays([*piece.columns, held], names=[*piece.schema.names, HELD])
+
+    return df.mapInArrow(run, schema)
+
+
 @dataclass(frozen=True)
 class Rule:
     """A conjunction of (statistic, is at most, value) conditions and its weight."""
@@ -81,9 +100,9 @@ class Rule:
             out &= column <= value if below else column > value
         return out
 
-    def column(self) -> Column:
-        """The rule as a Spark condition."""
-        return F.expr(" and ".join(f"{name} {'<=' if below else '>'} {value!r}D" for name, below, value in self.conditions))
+    def column(self, prefix: str = "") -> Column:
+        """The rule as a Spark condition; ``prefix`` goes before the names of the statistics."""
+        return F.expr(" and ".join(f"{prefix}{name} {'<=' if below else '>'} {value!r}D" for name, below, value in self.conditions))
 
 
 @dataclass(frozen=True)
@@ -100,11 +119,11 @@ class RuleModel:
             z += rule.weight * rule.holds(x)
         return 1 / (1 + np.exp(-z))
 
-    def column(self) -> Column:
+    def column(self, prefix: str = "") -> Column:
         """The same as a Spark column over the statistics."""
         z = F.lit(self.intercept)
         for rule in self.rules:
-            z = z + F.when(rule.column(), F.lit(rule.weight)).otherwise(F.lit(0.0))
+            z = z + F.when(rule.column(prefix), F.lit(rule.weight)).otherwise(F.lit(0.0))
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
 
 
@@ -217,3 +236,9 @@ def score(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     model = model or train(df, labels, key, text=text)
     scored = with_stats(df, key, text).withColumn("score", model.column())
     return scored.select(key, F.coalesce(remainder(key, 4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= KEEP).cast("int").alias("predicted"))
+
+
+def keep_good(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", model: RuleModel | None = None) -> DataFrame:
+    """The rows of ``df``, all columns, whose score is at least KEEP."""
+    model = model or train(df, labels, key, text=text)
+    return beside_stats(df, text).where(model.column(f"{HELD}.") >= KEEP).drop(HELD)

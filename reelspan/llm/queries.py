@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from reelspan.llm import class_lm, decontaminate, ngram_join, packing, pii, quality, tiff, token_counts
+from reelspan.llm import class_lm, decontaminate, html_text, licenses, ngram_join, packing, pii, quality, tiff, token_counts
 from reelspan.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -44,6 +44,16 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of all pages."""
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The license statements in all documents."""
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-copy components of all documents."""
     return ngram_join.join(table(spark, sf_dir, "documents"))
@@ -56,7 +66,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The queries by name."""
-    return {f.__name__: f for f in (op1_decontaminate, op2_class_lm, op3_pii_spans, op4_tiff_pages, op5_quality_rules, op6_token_counts, op9_ngram_join, op10_packing)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_class_lm, op3_pii_spans, op4_tiff_pages, op5_quality_rules, op6_token_counts, op7_html_text, op8_license_scan, op9_ngram_join, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
