@@ -1,0 +1 @@
+"""Timeline transcript analytics on Spark."""
