@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from reelspan.functions.text import col, contains_any, prompt_payload, simplified, starts_with_ignoring_case, substring_count, word_count
+from reelspan.functions.text import col, contains_any, let, prompt_payload, simplified, starts_with_ignoring_case, substring_count, word_count
 from reelspan.operators.entities import mentions_a_name
 
 #: Vocabularies, and the text of each finding.
@@ -18,9 +18,10 @@ GENDERED = r"(?i)\bspeaker\b[^.]{0,80}\b(his|her)\b"
 EMPTY = "empty prompt"
 
 
-def rules(normalized: Column, scope: Column, names: Column, pronoun_dependent: Column, unlock_method: Column) -> list[tuple[str, Column]]:
-    """(finding, condition) of all rules but the one for an empty prompt, in order."""
-    low = F.lower(normalized)
+def rules(normalized: Column, lowered: Column, scope: Column, names: Column, pronoun_dependent: Column, unlock_method: Column) -> list[tuple[str, Column]]:
+    """(finding, condition) of all rules but the one for an empty prompt, in order; the text comes as
+    it is and in lower case."""
+    low = lowered
     has = lambda *p: contains_any(low, p)
     method, roadmap, tools, motivation = (contains_any(low, v) for v in (METHOD, ROADMAP, TOOLS, MOTIVATION))
     return [
@@ -52,8 +53,13 @@ def issues(prompt: Column | str, scope: Column | str, names: Column | str, prono
     text = simplified(prompt_payload(F.coalesce(col(prompt), F.lit(""))))
     flag = lambda c: F.coalesce(col(c), F.lit(False))
     known = F.coalesce(col(names), F.array().cast("array<string>"))
-    found = [F.when(F.coalesce(test, F.lit(False)), F.lit(name)) for name, test in rules(text, col(scope), known, flag(pronoun_dependent), flag(unlock_method))]
-    return F.when(text == "", F.array(F.lit(EMPTY))).otherwise(F.array_compact(F.array(*found)))
+
+    def judged(t: Column) -> Column:
+        tests = rules(t["text"], t["low"], col(scope), known, flag(pronoun_dependent), flag(unlock_method))
+        found = [F.when(F.coalesce(test, F.lit(False)), F.lit(name)) for name, test in tests]
+        return F.when(t["text"] == "", F.array(F.lit(EMPTY))).otherwise(F.array_compact(F.array(*found)))
+
+    return let(let(text, lambda t: F.struct(t.alias("text"), F.lower(t).alias("low"))), judged)
 
 
 def needs_repair(issues_: Column | str) -> Column:

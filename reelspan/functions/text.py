@@ -6,7 +6,7 @@ White space is what ``\\s`` matches. A null argument gives null unless a docstri
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -26,6 +26,12 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it; keeps expressions
+    whose parts recur from growing with every level of nesting."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def trimmed(c: Column | str) -> Column:
     """Without white space at both ends."""
     return F.regexp_replace(col(c), r"^\s+|\s+$", "")
@@ -38,7 +44,7 @@ def simplified(c: Column | str) -> Column:
 
 def decimals(c: Column | str, places: int) -> Column:
     """Fixed decimals as C's printf rounds them (the exact binary value, half to even), no grouping."""
-    return F.format_number(col(c).cast("double"), "0" + ("." + "0" * places if places else ""))
+    return F.call_function("format_number", col(c).cast("double"), F.lit("0" + ("." + "0" * places if places else "")))
 
 
 def words(c: Column | str) -> Column:
@@ -83,8 +89,7 @@ def line_value(c: Column | str, prefix: str) -> Column:
 
 def prompt_payload(c: Column | str) -> Column:
     """The value of the prompt line, or the whole text trimmed."""
-    value = line_value(c, PROMPT_PREFIX)
-    return F.when(value != "", value).otherwise(trimmed(c))
+    return let(line_value(c, PROMPT_PREFIX), lambda value: F.when(value != "", value).otherwise(trimmed(c)))
 
 
 def scope(duration: Column | str) -> Column:

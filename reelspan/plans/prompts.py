@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from reelspan.functions.rules import issues
 from reelspan.functions.text import (
     GATE_PREFIX, GATE_REASON, PROMPT_PREFIX, arc_verb, bare_target, clean_phrase, col, contains_any, decimals, find_phrase,
-    first_keyword, is_gate_failure, keywords_text, language, line_value, preset, preset_bound, prompt_payload, selected_ranges_text, simplified, trimmed,
+    first_keyword, is_gate_failure, keywords_text, language, let, line_value, preset, preset_bound, prompt_payload, selected_ranges_text, simplified, trimmed,
 )
 from reelspan.operators.entities import names_text
 
@@ -32,12 +32,15 @@ def reply_text(body: Column | str) -> Column:
     """The text of a reply: the first choice with a message that isn't blank, else output_text, else
     the texts of all output contents by lines; empty when there is none."""
     schema = "choices array<struct<message:struct<content:string>>>, output_text string, output array<struct<content:array<struct<text:string>>>>"
-    r = F.from_json(col(body), schema)
-    contents = F.filter(F.transform(r["choices"], lambda c: trimmed(c["message"]["content"])), lambda t: t.isNotNull() & (t != ""))
-    parts = F.flatten(F.transform(r["output"], lambda o: F.coalesce(F.transform(o["content"], lambda c: c["text"]), F.array().cast("array<string>"))))
-    parts = F.filter(parts, lambda t: t.isNotNull() & (trimmed(t) != ""))
-    full = lambda c: F.when(trimmed(c) != "", trimmed(c))
-    return F.coalesce(F.try_element_at(contents, F.lit(1)), full(r["output_text"]), full(F.array_join(parts, "\n")), F.lit(""))
+    full = lambda c: let(c, lambda t: F.when(trimmed(t) != "", trimmed(t)))
+
+    def of(r: Column) -> Column:
+        contents = F.filter(F.transform(r["choices"], lambda c: trimmed(c["message"]["content"])), lambda t: t.isNotNull() & (t != ""))
+        parts = F.flatten(F.transform(r["output"], lambda o: F.coalesce(F.transform(o["content"], lambda c: c["text"]), F.array().cast("array<string>"))))
+        parts = F.filter(parts, lambda t: t.isNotNull() & (trimmed(t) != ""))
+        return F.coalesce(F.try_element_at(contents, F.lit(1)), full(r["output_text"]), full(F.array_join(parts, "\n")), F.lit(""))
+
+    return let(F.from_json(col(body), schema), of)
 
 
 def project_id(body: Column | str, fallback: Column | str) -> Column:
@@ -49,60 +52,67 @@ def project_id(body: Column | str, fallback: Column | str) -> Column:
 def plan_object(raw: Column | str) -> Column:
     """The JSON object in a reply as a variant: bare, fenced, or from the first to the last brace;
     unwrapped from ``plan`` where that is an object. Null when there is none or it is empty."""
-    text = trimmed(raw)
-    fenced = trimmed(F.regexp_replace(F.regexp_replace(text, r"(?i)^```(?:json)?\s*", ""), r"\s*```$", ""))
-    text = F.when(F.startswith(text, F.lit("```")), fenced).otherwise(text)
-    is_object = lambda v: F.startswith(F.schema_of_variant(v), F.lit("OBJECT"))
-    whole = F.try_parse_json(text)
-    inner = F.try_parse_json(F.nullif(F.regexp_extract(text, r"(?s)\{.*\}", 0), F.lit("")))
-    found = F.when(is_object(whole), whole).when(is_object(inner), inner)
-    plan = F.try_variant_get(found, "$.plan", "variant")
-    found = F.when(is_object(plan), plan).otherwise(found)
-    return F.when(F.schema_of_variant(found) != "OBJECT<>", found)
+    is_object = lambda v: F.coalesce(F.startswith(F.schema_of_variant(v), F.lit("OBJECT")), F.lit(False))
+    fenced = lambda t: trimmed(F.regexp_replace(F.regexp_replace(t, r"(?i)^```(?:json)?\s*", ""), r"\s*```$", ""))
+    text = let(trimmed(raw), lambda t: F.when(F.startswith(t, F.lit("```")), fenced(t)).otherwise(t))
+
+    def parsed(t: Column) -> Column:
+        inner = F.try_parse_json(F.nullif(F.regexp_extract(t, r"(?s)\{.*\}", 0), F.lit("")))
+        return let(F.try_parse_json(t), lambda v: F.when(is_object(v), v).otherwise(let(inner, lambda w: F.when(is_object(w), w))))
+
+    def unwrapped(v: Column) -> Column:
+        return let(F.try_variant_get(v, "$.plan", "variant"), lambda p: F.when(is_object(p), p).otherwise(v))
+
+    found = let(let(text, parsed), unwrapped)
+    return let(found, lambda v: F.when(F.schema_of_variant(v) != "OBJECT<>", v))
 
 
 def plan_text(plan: Column, field: str) -> Column:
     """A text field of a plan, simplified; empty where it is missing or no text."""
-    v = F.try_variant_get(plan, f"$.{field}", "variant")
-    return F.coalesce(F.when(F.schema_of_variant(v) == "STRING", simplified(F.try_variant_get(plan, f"$.{field}", "string"))), F.lit(""))
+    is_text = F.schema_of_variant(F.try_variant_get(plan, f"$.{field}", "variant")) == "STRING"
+    return F.coalesce(F.when(is_text, simplified(F.try_variant_get(plan, f"$.{field}", "string"))), F.lit(""))
 
 
 def default_target(prompt: Column | str, text: Column | str, names: Column | str, pronoun_dependent: Column | str, unlock_method: Column | str, keywords: Column | str) -> Column:
     """The search target of a prompt that is made without a model: the first of eight that fits."""
-    both = F.lower(F.concat(prompt_payload(prompt), F.lit(" "), F.coalesce(col(text), F.lit(""))))
-    has = lambda *p: contains_any(both, p)
-    name, german = F.try_element_at(col(names), F.lit(1)), has("german")
+    name = F.try_element_at(col(names), F.lit(1))
     unlock, pronoun = F.coalesce(col(unlock_method), F.lit(False)), F.coalesce(col(pronoun_dependent), F.lit(False))
-    keyword = first_keyword(keywords)
-    return (
-        F.when(unlock & german, F.concat(F.lit("the unlock method for learning German through "), name, F.lit("'s language-learning approach")))
-        .when(unlock, F.concat(F.lit("the unlock method through "), name, F.lit("'s language-learning approach")))
-        .when(pronoun & name.isNotNull(), F.concat(F.lit("the selected idea connected to "), name))
-        .when(has("unlock", "key clicks", "one key", "one logic") & german, "the unlock-based method for learning German")
-        .when(has("daily loop", "routine", "spaced repetition", "practice with natives") & german, "the daily German-learning loop")
-        .when(has("roadmap", "8-week", "eight-week", "week-by-week") & german, "one resolved part of the German-learning plan")
-        .when(keyword != "", F.concat(F.lit("one clear idea about "), keyword))
-        .otherwise("one clear idea from the selected range")
-    )
+
+    def chosen(both: Column) -> Column:
+        has = lambda *p: F.exists(F.array(*map(F.lit, p)), lambda x: F.contains(both, x))
+        german = has("german")
+        return (
+            F.when(unlock & german, F.concat(F.lit("the unlock method for learning German through "), name, F.lit("'s language-learning approach")))
+            .when(unlock, F.concat(F.lit("the unlock method through "), name, F.lit("'s language-learning approach")))
+            .when(pronoun & name.isNotNull(), F.concat(F.lit("the selected idea connected to "), name))
+            .when(has("unlock", "key clicks", "one key", "one logic") & german, "the unlock-based method for learning German")
+            .when(has("daily loop", "routine", "spaced repetition", "practice with natives") & german, "the daily German-learning loop")
+            .when(has("roadmap", "8-week", "eight-week", "week-by-week") & german, "one resolved part of the German-learning plan")
+            .otherwise(let(first_keyword(keywords), lambda k: F.when(k != "", F.concat(F.lit("one clear idea about "), k)).otherwise("one clear idea from the selected range")))
+        )
+
+    return let(F.lower(F.concat(prompt_payload(prompt), F.lit(" "), F.coalesce(col(text), F.lit("")))), chosen)
 
 
 def rendered_plan(plan: Column, scope: Column | str, target: Column) -> Column:
     """A plan as a prompt of three sentences, or as a gate failure; ``target`` stands in for a missing
     one."""
-    get = lambda f, default: F.when(clean_phrase(plan_text(plan, f)) != "", clean_phrase(plan_text(plan, f))).otherwise(default)
-    own = bare_target(plan_text(plan, "main_target"))
-    context = clean_phrase(plan_text(plan, "context_phrase"))
-    led = F.lit(False)
-    for lead in CONTEXT_LEADS:
-        led = led | F.startswith(F.lower(context), F.lit(lead))
-    context = F.when(context == "", "").when(led, F.concat(F.lit(" "), context)).otherwise(F.concat(F.lit(" with context from "), context))
-    first = F.concat(find_phrase(scope), F.lit(" the speaker "), arc_verb(plan_text(plan, "arc_type")), F.lit(" "), F.when(own != "", own).otherwise(target), context, F.lit("."))
-    second = F.concat(F.lit("Prioritize moments that "), get("opening_criteria", OPENING), F.lit(", then "), get("development_criteria", DEVELOPMENT), F.lit("."))
-    third = F.concat(F.lit("Prefer clips that "), get("ending_criteria", ENDING), F.lit(", with clean natural boundaries and without "), get("boundary_criteria", BOUNDARY), F.lit("."))
-    flag = F.try_variant_get(plan, "$.no_strong_clip_found", "variant")
-    none = F.coalesce((F.schema_of_variant(flag) == "BOOLEAN") & F.try_variant_get(plan, "$.no_strong_clip_found", "boolean"), F.lit(False))
-    reason = plan_text(plan, "reason")
-    return F.when(none, F.concat(F.lit(GATE_PREFIX + " "), F.when(reason == "", GATE_REASON).otherwise(reason))).otherwise(simplified(F.concat_ws(" ", first, second, third)))
+    filled_or = lambda c, default: let(c, lambda t: F.when(t != "", t).otherwise(default))
+
+    def context(c: Column) -> Column:
+        led = F.exists(F.array(*map(F.lit, CONTEXT_LEADS)), lambda lead: F.startswith(F.lower(c), lead))
+        return F.when(c == "", "").when(led, F.concat(F.lit(" "), c)).otherwise(F.concat(F.lit(" with context from "), c))
+
+    def shown(p: Column) -> Column:
+        get = lambda f, default: filled_or(clean_phrase(plan_text(p, f)), default)
+        first = F.concat(find_phrase(scope), F.lit(" the speaker "), arc_verb(plan_text(p, "arc_type")), F.lit(" "), filled_or(bare_target(plan_text(p, "main_target")), target), let(clean_phrase(plan_text(p, "context_phrase")), context), F.lit("."))
+        second = F.concat(F.lit("Prioritize moments that "), get("opening_criteria", OPENING), F.lit(", then "), get("development_criteria", DEVELOPMENT), F.lit("."))
+        third = F.concat(F.lit("Prefer clips that "), get("ending_criteria", ENDING), F.lit(", with clean natural boundaries and without "), get("boundary_criteria", BOUNDARY), F.lit("."))
+        is_flag = F.schema_of_variant(F.try_variant_get(p, "$.no_strong_clip_found", "variant")) == "BOOLEAN"
+        none = F.coalesce(is_flag & F.try_variant_get(p, "$.no_strong_clip_found", "boolean"), F.lit(False))
+        return F.when(none, F.concat(F.lit(GATE_PREFIX + " "), filled_or(plan_text(p, "reason"), GATE_REASON))).otherwise(simplified(F.concat_ws(" ", first, second, third)))
+
+    return let(plan, lambda p: F.when(p.isNotNull(), shown(p)))
 
 
 def rubric(keywords: Column | str, template: Column | str | None = None) -> Column:
@@ -115,10 +125,14 @@ def rubric(keywords: Column | str, template: Column | str | None = None) -> Colu
 def normalized_reply(raw: Column | str, scope: Column | str, may_have_no_clip: Column | str, target: Column, keywords: Column | str) -> Column:
     """What a reply says: nothing; a gate failure, kept only where it is believable; a rendered plan;
     a labelled line; or the reply itself."""
-    text, plan = trimmed(raw), plan_object(raw)
-    shown, line = rendered_plan(plan, scope, target), line_value(raw, PROMPT_PREFIX)
     gated = lambda c: F.when(is_gate_failure(c) & ~col(may_have_no_clip), rubric(keywords)).otherwise(c)
-    return F.when(text == "", "").when(is_gate_failure(text), gated(text)).when(plan.isNotNull(), gated(shown)).when(line != "", line).otherwise(text)
+    labelled = lambda t: let(line_value(t, PROMPT_PREFIX), lambda line: F.when(line != "", line).otherwise(t))
+
+    def read(t: Column) -> Column:
+        shown = rendered_plan(plan_object(t), scope, target)
+        return F.when(t == "", "").when(is_gate_failure(t), gated(t)).otherwise(let(shown, lambda s: F.when(s.isNotNull(), gated(s)).otherwise(labelled(t))))
+
+    return let(trimmed(raw), read)
 
 
 def fallback_prompt(scope: Column | str, target: Column, names: Column | str, pronoun_dependent: Column | str, unlock_method: Column | str) -> Column:
