@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -17,12 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reelspan.llm.common import slices
+from reelspan.llm.common import Scratch, slices
 
 #: Words of a seed and of the shortest tile; share of an item's words that tiles must cover.
 SEED_WORDS, COVERAGE = 5, 0.5
-#: Bytes of benchmark text that are sent to the executors at once; more items take more passes.
-CHUNK_BYTES = 16 << 20
+#: Bytes of benchmark text that are sent to the executors at once, and such chunks in one pass over
+#: the documents; more items take more passes.
+CHUNK_BYTES, CHAINED = 16 << 20, 8
 
 _GAPS = bytes(b if b > 127 or chr(b).isalnum() else 32 for b in range(256))
 _BASE, _PRIME = 1_000_003, (1 << 61) - 1
@@ -77,17 +79,22 @@ def tiles(item: list[int], doc: list[int], least: int = SEED_WORDS) -> list[tupl
         if longest > 2 * size:
             size = longest
             continue
-        queue = [(n, i, j) for n in found for i, j in found[n]]
-        queue.sort(key=lambda m: (-m[0], m[2], m[1]))
-        again = False
-        for n, i, j in queue:
-            if not any(in_item[i : i + n]) and not any(in_doc[j : j + n]):
-                in_item[i : i + n] = in_doc[j : j + n] = b"\1" * n
-                out.append((i, j, n))
-            else:
-                again = True  # what is left of it is found again at this size or a smaller one
-        if again:
-            continue
+        queue = [(-n, i, j) for n in found for i, j in found[n]]
+        heapify(queue)
+        while queue:
+            n, i, j = heappop(queue)
+            free = [k for k in range(-n) if not in_item[i + k] and not in_doc[j + k]]
+            if len(free) == -n:
+                in_item[i : i - n] = in_doc[j : j - n] = b"\1" * -n
+                out.append((i, j, -n))
+                continue
+            run = 0  # what longer tiles have left of a match competes with the others by its length
+            for a, b in zip(free, [*free[1:], -1][: len(free)], strict=True):
+                run += 1
+                if b != a + 1:
+                    if run >= size:
+                        heappush(queue, (-run, i + a + 1 - run, j + a + 1 - run))
+                    run = 0
         if size <= least:
             return out
         size = max(least, size // 2)
@@ -171,10 +178,12 @@ def with_hits(df: DataFrame, benchmark: DataFrame, text: str = "text", item_key:
     """``df`` with all its columns and one more, HITS: the items leaked in each row's text.
 
     The benchmark is sent to the executors in chunks of bounded size, and the documents stream
-    through all chunks in one pass without a shuffle."""
+    through CHAINED of them in a pass without a shuffle; between passes they are written."""
     place = df.columns.index(text)
-    out = df.withColumn(HITS, F.array().cast(HIT_TYPE))
-    for items in chunks(benchmark, item_key, item_text, chunk_bytes):
+    out, scratch = df.withColumn(HITS, F.array().cast(HIT_TYPE)), Scratch(df.sparkSession, "tiling")
+    for number, items in enumerate(chunks(benchmark, item_key, item_text, chunk_bytes)):
+        if number and number % CHAINED == 0:
+            out = scratch.keep(out, f"pass-{number}")
         shared = df.sparkSession.sparkContext.broadcast(items)
 
         def run(batches, shared=shared):
