@@ -233,7 +233,7 @@ def mass(w: dict) -> int:
 def region(w: dict) -> dict:
     """What extraction needs of a host's wrapper: the path of labels to the container that holds
     the article, and hashes of texts that belong to the template."""
-    path, here, pages = [], w, 0
+    path, here = [], w
     while True:
         nodes = [c[0] for c in here["c"] if "l" in c[0] and not c[0]["x"]]
         best = max(nodes, key=mass, default=None)
@@ -246,19 +246,18 @@ def region(w: dict) -> dict:
     fixed: list[int] = []
     varied = 0
 
-    def walk(node: dict) -> None:
-        nonlocal varied, pages
+    def walk(node: dict, listed: bool) -> None:
+        nonlocal varied
         for child, _, repeated in node["c"]:
             if "l" in child:
                 if not child["x"]:
-                    walk(child)
-            elif child["h"] is None or repeated:
+                    walk(child, listed or repeated)
+            elif child["h"] is None or repeated or listed:  # what a page repeats is data
                 varied += child["m"]
-                pages = max(pages, child["n"])
             elif child["n"] >= TEMPLATE_PAGES:
                 fixed.append(child["h"])
 
-    walk(here)
+    walk(here, False)
     return {"path": path, "fixed": fixed if varied else []}
 
 

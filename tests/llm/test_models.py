@@ -224,7 +224,7 @@ def test_pages_round_trip(spark, compression, predictor, tiled):
 
 
 def test_big_endian_16_bit_rgb():
-    values = np.arange(2 * 3 * 3, dtype=">u2").reshape(2, 3, 3) * 1000
+    values = (np.arange(2 * 3 * 3).reshape(2, 3, 3) * 1000).astype(">u2")
     data = values.tobytes()
     tags = [(256, 3, 3), (257, 3, 2), (258, 3, 16), (259, 3, 1), (273, 4, 8), (277, 3, 3), (278, 3, 2), (279, 4, len(data))]
     import struct
