@@ -103,7 +103,7 @@ def first_usable_stream(streams: DataFrame) -> DataFrame:
 
 def stream_count(probe: DataFrame, text: str = "output") -> DataFrame:
     """Sound streams named in a probe's output, at least 1."""
-    return probe.withColumn("n_streams", F.greatest(F.lit(1), F.regexp_count(text, F.lit(r"Stream #\d+:\d+[^\n]*: Audio:"))))
+    return probe.withColumn("n_streams", F.greatest(F.lit(1), F.regexp_count(text, F.lit(r"Stream #0:\d+(?:\[[^\]]+\])?(?:\([^)]*\))?: Audio:"))))
 
 
 def joined_ids(projects: DataFrame) -> DataFrame:

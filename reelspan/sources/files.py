@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from reelspan.functions.text import col, trimmed
+from reelspan.functions.text import col, language, trimmed
 
 VIDEO_GLOB = "*.{[mM][pP]4,[mM][kK][vV],[mM][oO][vV],[fF][lL][vV]}"
 #: Seconds by which the window of a recording is widened on both sides.
@@ -62,8 +62,8 @@ def saved_markers(cache: DataFrame) -> DataFrame:
 
 
 def saved_settings(cache: DataFrame) -> DataFrame:
-    """(key, ranges, keywords, genre, model, clip_length_preset, source_language, ai_prompt,
-    skip_curate) of review objects; keywords may be a list or a text parted by commas; defaults stand
+    """(key, ranges, keywords, genre, model, clip_length_preset, source_language,
+    transcription_language, ai_prompt, skip_curate) of review objects; keywords may be a list or a text parted by commas; defaults stand
     in for missing fields."""
     v = F.try_parse_json("value")
     text = lambda f, default: F.coalesce(F.try_variant_get(v, f"$.{f}", "string"), F.lit(default))
@@ -75,7 +75,7 @@ def saved_settings(cache: DataFrame) -> DataFrame:
     return cache.select(
         "key", F.coalesce(ranges, F.array().cast("array<struct<start_sec:double,end_sec:double>>")).alias("ranges"), keywords.alias("keywords"),
         text("genre", "Auto").alias("genre"), text("model", "ClipAnything").alias("model"), text("clipLengthPreset", "Medium").alias("clip_length_preset"),
-        text("sourceLanguage", "auto").alias("source_language"), text("aiPrompt", "").alias("ai_prompt"), F.coalesce(F.try_variant_get(v, "$.skipCurate", "boolean"), F.lit(False)).alias("skip_curate"),
+        text("sourceLanguage", "auto").alias("source_language"), language(text("transcriptionLanguage", "auto"), others=True).alias("transcription_language"), trimmed(text("aiPrompt", "")).alias("ai_prompt"), F.coalesce(F.try_variant_get(v, "$.skipCurate", "boolean"), F.lit(False)).alias("skip_curate"),
     )
 
 
@@ -116,6 +116,13 @@ def file_parts(path: Column | str) -> Column:
     return F.struct(name.alias("name"), ext.alias("extension"), F.concat(F.lit("video/"), ext).alias("mime"))
 
 
+def model_setting(setting: Column | str, model_exists: Column | str) -> Column:
+    """The language model that is used: as set, but disabled where it is blank or there is no speech
+    model."""
+    set_ = trimmed(F.coalesce(col(setting), F.lit("")))
+    return F.when((set_ == "") | ~F.coalesce(col(model_exists), F.lit(False)), "disabled").otherwise(set_)
+
+
 def sound(files: DataFrame) -> DataFrame:
     """(stream_id, samples) of raw little-endian 32-bit float sound (stream_id, content); a trailing
     part of a sample is dropped, null content stays null."""

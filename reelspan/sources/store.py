@@ -68,7 +68,7 @@ def marker_values(markers: DataFrame) -> DataFrame:
 def settings_objects(settings: DataFrame) -> DataFrame:
     """(key, value): review settings as JSON, in the form that ``saved_settings`` reads."""
     ranges = F.transform("ranges", lambda r: F.struct(r["start_sec"].alias("start"), r["end_sec"].alias("end")))
-    return settings.select("key", F.to_json(F.struct(ranges.alias("clipDurations"), F.col("keywords").alias("topicKeywords"), "genre", "model", F.col("clip_length_preset").alias("clipLengthPreset"), F.col("source_language").alias("sourceLanguage"), F.col("ai_prompt").alias("aiPrompt"), F.col("skip_curate").alias("skipCurate"))).alias("value"))
+    return settings.select("key", F.to_json(F.struct(ranges.alias("clipDurations"), F.col("keywords").alias("topicKeywords"), "genre", "model", F.col("clip_length_preset").alias("clipLengthPreset"), F.col("source_language").alias("sourceLanguage"), F.col("transcription_language").alias("transcriptionLanguage"), F.col("ai_prompt").alias("aiPrompt"), F.col("skip_curate").alias("skipCurate"))).alias("value"))
 
 
 def cacheable_prompts(prompts: DataFrame) -> DataFrame:
@@ -100,8 +100,8 @@ def concat_lines(paths: DataFrame) -> DataFrame:
 
 def free_paths(wanted: DataFrame, existing: DataFrame, tries: int = 100) -> DataFrame:
     """Per (stem, extension) the first of ``tries`` paths that doesn't exist: without a number, then
-    with 1, 2 and so on; null when all exist."""
+    with -2, -3 and so on; null when all exist."""
     options = wanted.select("stem", "extension", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))).alias("k"))
-    path = F.concat("stem", F.when(F.col("k") > 0, F.concat(F.lit("_"), F.col("k").cast("string"))).otherwise(""), F.lit("."), "extension")
+    path = F.concat("stem", F.when(F.col("k") > 0, F.concat(F.lit("-"), (F.col("k") + 1).cast("string"))).otherwise(""), F.lit("."), "extension")
     free = options.withColumn("path", path).join(existing.select("path"), "path", "left_anti")
     return wanted.join(free.groupBy("stem", "extension").agg(F.min_by("path", "k").alias("path")), ["stem", "extension"], "left")

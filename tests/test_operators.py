@@ -176,7 +176,7 @@ def test_store(spark):
     defaults = spark.createDataFrame([("k", "d"), ("none", "e")], "key string, default_value string")
     assert rows(store.values_or_default(defaults, s), "key", "value") == [("k", "d"), ("none", "e")]
     want = spark.createDataFrame([("v", "mp4")], "stem string, extension string")
-    assert store.free_paths(want, spark.createDataFrame([("v.mp4",), ("v_1.mp4",)], "path string")).first()["path"] == "v_2.mp4"
+    assert store.free_paths(want, spark.createDataFrame([("v.mp4",), ("v-2.mp4",)], "path string")).first()["path"] == "v-3.mp4"
 
 
 def test_settings_round_trip(spark):
@@ -232,6 +232,16 @@ def test_job_stream(spark, tmp_path):
     assert rows(spark.table("job_states_test"), "job_id", "state", "message") == [(1, "succeeded", "m")]
 
 
+def test_probe_and_model(spark):
+    probe = spark.createDataFrame([(1, "Stream #0:1(und): Audio: aac\nStream #0:2[0x1]: Audio: aac\nStream #0:0: Video: h"), (2, "")], "video_id long, output string")
+    assert rows(A.stream_count(probe), "video_id", "n_streams") == [(1, 2), (2, 1)]
+    assert [one(spark, files.model_setting(lit(m), lit(there))) for m, there in ((" m ", True), ("m", False), (" ", True))] == ["m", "disabled", "disabled"]
+    found = files.search_paths(spark.createDataFrame([("tiny",)], "name string"), ["/a", "/b", "/a"])
+    assert files.first_existing(found, spark.createDataFrame([("/b/tiny",)], "path string")).first()["path"] == "/b/tiny"
+    assert files.first_existing(found, spark.createDataFrame([], "path string")).first()["path"] == "/a/tiny"
+    assert tuple(one(spark, files.file_parts(lit("/x/A.b.MKV")))) == ("A.b.MKV", "mkv", "video/mkv")
+
+
 def test_empty_tables(spark):
     seg, rng, mrk = (spark.createDataFrame([], s) for s in (SEG, RNG, MRK))
     lengths = spark.createDataFrame([], "video_id long, duration_sec double")
