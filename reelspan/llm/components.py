@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from reelspan.llm.common import Scratch
 
 
-def components(links: DataFrame, scratch: Scratch, u: str = "u", v: str = "v") -> DataFrame:
+def components(links: DataFrame, scratch: Scratch, u: str = "u", v: str = "v", name: str = "components") -> DataFrame:
     """(node, component) of each node that has a link; the component is its smallest node.
 
     Each round joins every node to the smallest node near it (large star, then small star); the
@@ -17,7 +17,7 @@ def components(links: DataFrame, scratch: Scratch, u: str = "u", v: str = "v") -
     and null ends are ignored; no links give no rows.
     """
     a, b = F.least(u, v), F.greatest(u, v)
-    edges = scratch.keep(links.where(f"{u} is not null and {v} is not null and {u} <> {v}").select(a.alias("a"), b.alias("b")).distinct(), "edges-0")
+    edges = scratch.keep(links.where(f"{u} is not null and {v} is not null and {u} <> {v}").select(a.alias("a"), b.alias("b")).distinct(), f"{name}-0")
     mark = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
     before, step = mark(edges), 0
     while before[0]:
@@ -28,8 +28,8 @@ def components(links: DataFrame, scratch: Scratch, u: str = "u", v: str = "v") -
         low = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(low, "a").where("b <> m").select(F.col("m").alias("a"), "b").unionByName(low.select(F.col("m").alias("a"), F.col("a").alias("b"))).distinct()
         step += 1
-        edges = scratch.keep(small, f"edges-{step}")
-        scratch.drop(f"edges-{step - 1}")
+        edges = scratch.keep(small, f"{name}-{step}")
+        scratch.drop(f"{name}-{step - 1}")
         after = mark(edges)
         if after == before:
             break

@@ -3,8 +3,9 @@
 The tokens of a document are its distinct word n-grams, in one global order in which frequent ones
 come last. If two sets are similar enough, their first k common tokens lie in the first
 ``size - ceil(threshold * size) + k`` tokens of either. Each document chooses its own k by the cost
-that its prefix tokens promise: where they are frequent, the prefix grows and more of it must be
-shared before a pair is verified.
+that its prefix tokens promise: the likelier they are to meet others by chance, the longer the
+prefix grows and the more of it must be shared before a pair is verified; sizes that leave little
+room outside the prefixes ask for more still.
 
 Documents with equal sets are one class before any join. Tokens that few classes share give pairs,
 which are counted and verified. Tokens that many share never do: their classes are compared with
@@ -25,13 +26,16 @@ from pyspark.sql import functions as F
 
 from reelspan.llm.common import Scratch, frequent, keyed_text, raw_texts, slices
 from reelspan.llm.components import components
+from reelspan.llm.shingling import shingle_sets
+from reelspan.llm.sieve import sieve_of
 
 #: Percent of the union that the intersection must reach; words of an n-gram.
 PERCENT, WORDS = 85, 4
 #: Tokens whose frequency is known everywhere (a bounded broadcast); others count as rare.
 KNOWN_TOKENS = 200_000
-#: Shared tokens that a prefix may ask for; cost of verifying a pair against reading a posting.
-MOST_MATCHES, VERIFY_COST = 4, 20.0
+#: Shared tokens that a prefix may ask for. For the cost of a prefix: how often a token of unknown
+#: frequency meets another document by chance, and how much rarer each further meeting is.
+MOST_MATCHES, CHANCE, FURTHER = 8, 0.05, 0.3
 #: Classes that share a token up to which they give pairs; more are compared in blocks.
 PAIR_LIMIT = 16
 #: Tokens of either side of a block.
@@ -39,37 +43,12 @@ BLOCK_TOKENS = 1 << 17
 _CHUNK = 1 << 21
 
 
-class WordHashes(dict):
-    """64-bit hashes of words; forgets all when it has grown large."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = value = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-def shingles(body: bytes, hashes: WordHashes, words: int = WORDS) -> np.ndarray:
-    """The sorted distinct hashes of a text's word n-grams; with fewer words the whole sequence is
-    the only one, without words there is none."""
-    tokens = body.lower().split()
-    if not tokens:
-        return np.zeros(0, dtype=np.int64)
-    parts = np.array(list(map(hashes.__getitem__, tokens)), dtype=np.uint64)
-    size = min(words, len(parts))
-    out = np.full(len(parts) - size + 1, size, dtype=np.uint64)
-    for i in range(size):
-        out = (out ^ parts[i : i + len(out)]) * np.uint64(0x9E3779B97F4A7C15)
-        out ^= out >> np.uint64(29)
-    return np.unique(out.view(np.int64))
-
-
 def token_counts(docs: DataFrame, words: int) -> DataFrame:
     """(token, n) of tokens that are frequent somewhere; counts of stretches of the input, so a
     hint on order and cost, on which no result depends."""
 
     def run(batches):
-        hashes, held, size = WordHashes(), [], 0
+        held, size = [], 0
 
         def flush():
             tokens, n = np.unique(np.concatenate(held), return_counts=True)
@@ -78,9 +57,9 @@ def token_counts(docs: DataFrame, words: int) -> DataFrame:
 
         for batch in batches:
             for piece in slices(batch):
-                for body in raw_texts(piece.column(1)):
-                    held.append(shingles(body, hashes, words))
-                    size += len(held[-1])
+                sets = shingle_sets(raw_texts(piece.column(1)), words)
+                held += sets
+                size += sum(map(len, sets))
                 if size > _CHUNK:
                     yield flush()
                     held, size = [], 0
@@ -109,9 +88,10 @@ class Order:
         must = -(-percent * size // 100)
         cost = np.cumsum(count[order])
         best, matches = math.inf, 1
-        for k in range(1, min(MOST_MATCHES, must) + 1):
-            read = cost[size - must + k - 1]
-            total = read + VERIFY_COST * read / k
+        for k in range(1, min(MOST_MATCHES, must) + 1):  # reading a posting costs 1, verifying a pair the set
+            length = size - must + k
+            read = length + cost[length - 1]
+            total = read + size * (cost[length - 1] / k + CHANCE * length * FURTHER ** (k - 1))
             if total < best - 1e-9:
                 best, matches = total, k
         chosen = order[: size - must + matches]
@@ -123,12 +103,11 @@ def signatures(docs: DataFrame, order: Order, words: int, percent: int) -> DataF
     shared = docs.sparkSession.sparkContext.broadcast(order)
 
     def run(batches):
-        hashes, order = WordHashes(), shared.value
+        order = shared.value
         for batch in batches:
             for piece in slices(batch):
                 sizes, keys, prefixes, matches, known = [], [], [], [], []
-                for body in raw_texts(piece.column(1)):
-                    tokens = shingles(body, hashes, words)
+                for tokens in shingle_sets(raw_texts(piece.column(1)), words):
                     sizes.append(len(tokens))
                     keys.append(xxhash.xxh3_128_digest(tokens.tobytes()) if len(tokens) else None)
                     p, m, k = order.prefix(tokens, percent) if len(tokens) else (tokens, 0, 0)
@@ -141,35 +120,34 @@ def signatures(docs: DataFrame, order: Order, words: int, percent: int) -> DataF
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(doc, tokens) of the documents whose ids are in ``wanted`` (column doc, distinct). A bitmap of
-    bounded size sifts the texts where they are read, so that only sets that are needed move."""
-    spark = docs.sparkSession
-    bits = 1 << min(27, max(16, int(math.log2(16 * wanted.count() + 1)) + 1))
-
-    def slots(ids: np.ndarray) -> np.ndarray:
-        return (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits.bit_length() + 1)).astype(np.int64)
+    """(doc, tokens) of the documents whose ids are in ``wanted`` (column doc), and of some others: a
+    sieve sifts the texts where they are read, so that few sets move that no join wants."""
+    shared = docs.sparkSession.sparkContext.broadcast(sieve_of(wanted.select("doc").distinct()))
 
-    def mark(batches):
-        out = np.zeros(bits, dtype=bool)
+    def run(batches):
         for batch in batches:
-            out[slots(batch.column(0).to_numpy())] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(out).tobytes()], pa.binary())], names=["bits"])
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            for piece in slices(batch.filter(pa.array(shared.value.passes(ids)))) if len(ids) else ():
+                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(shingle_sets(raw_texts(piece.column(1)), words), pa.list_(pa.int64()))], names=["doc", "tokens"])
 
-    sieve = np.zeros(bits // 8, dtype=np.uint8)
-    for row in wanted.coalesce(8).mapInArrow(mark, "bits binary").collect():
-        sieve |= np.frombuffer(row["bits"], dtype=np.uint8)
-    shared = spark.sparkContext.broadcast(sieve)
+    return docs.where("doc_id is not null").mapInArrow(run, "doc long, tokens array<long>")
+
+
+def postings_of(classes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(token, doc, size, matches, known) of the prefix tokens in ``wanted`` (column token), and of
+    some others."""
+    shared = classes.sparkSession.sparkContext.broadcast(sieve_of(wanted.select("token")))
 
     def run(batches):
-        hashes, sieve = WordHashes(), np.unpackbits(shared.value).view(bool)
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for piece in slices(batch.filter(pa.array(sieve[slots(ids)]))) if len(ids) else ():
-                sets = [shingles(body, hashes, words) for body in raw_texts(piece.column(1))]
-                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["doc", "tokens"])
+            prefixes = batch.column("prefix")
+            tokens = prefixes.flatten()
+            kept = np.flatnonzero(shared.value.passes(tokens.to_numpy()))
+            lengths = np.diff(prefixes.offsets.to_numpy())
+            row = pa.array(np.repeat(np.arange(batch.num_rows), lengths)[kept])
+            yield pa.RecordBatch.from_arrays([tokens.take(pa.array(kept)), *(batch.column(c).take(row) for c in ("doc", "size", "matches", "known"))], names=["token", "doc", "size", "matches", "known"])
 
-    found = docs.where("doc_id is not null").mapInArrow(run, "doc long, tokens array<long>")
-    return found.join(wanted, "doc", "left_semi").distinct()
+    return classes.select("prefix", "doc", "size", "matches", "known").mapInArrow(run, "token long, doc long, size long, matches int, known int")
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -197,14 +175,14 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
 
 def block_links(blocks: DataFrame, percent: int) -> DataFrame:
     """Links within blocks: rows (g1, g2, g3, side, doc, tokens); every document of side 0 is
-    compared with every one of side 1. Only links come out."""
+    compared with every one of side 1, those of side 2 with each other. Only links come out."""
 
     def compare(data: pa.Table) -> pa.Table:
         side = data.column("side").to_numpy()
         docs = data.column("doc").to_numpy()
         sets = data.column("tokens").to_pylist()
         sets = [np.array(s, dtype=np.int64) for s in sets]
-        a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        a, b = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
         u, v = [], []
         if len(a) and len(b):
             n = overlaps([sets[i] for i in a], [sets[i] for i in b])
@@ -229,62 +207,80 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = WO
     """
     scratch = Scratch(df.sparkSession, "ngram-join")
     docs = keyed_text(df, key, text).toDF("doc_id", "text")
-    known = frequent(token_counts(docs, words), KNOWN_TOKENS).toArrow()
+    known = frequent(scratch.keep(token_counts(docs, words), "known"), KNOWN_TOKENS).toArrow()
     order = Order(known.column("token").to_numpy(), known.column("n").to_numpy())
     signed = scratch.keep(signatures(docs, order, words, percent), "signatures")
-    classes = scratch.keep(
-        signed.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("size"), F.first("matches").alias("matches"), F.first("known").alias("known"), F.first("prefix").alias("prefix")).where("doc is not null"), "classes"
-    )
-    postings = classes.select("doc", "size", "matches", "known", F.explode("prefix").alias("token"))
-    tokens = scratch.keep(
-        postings.groupBy("token").agg(F.count("*").alias("n"), F.max(F.struct(F.col("known"), (-F.col("doc")).alias("minus"), F.col("size"))).alias("top")).where("n > 1").select("token", "n", (-F.col("top.minus")).alias("leader"), F.col("top.size").alias("leader_size")), "tokens"
-    )
-    shared = scratch.keep(postings.join(tokens.hint("merge"), "token"), "shared")
+    same = ("n_shingles", "matches", "known", "prefix")  # equal in a class
+    classes = signed.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("doc"), *(F.first(c).alias(c) for c in same)).where("doc is not null")
+    classes = scratch.keep(classes.withColumnRenamed("n_shingles", "size"), "classes")
+    keys = scratch.keep(signed.select("doc_id", "n_shingles", "set_key"), "keys")
+    scratch.drop("signatures")
+
+    many = scratch.keep(classes.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("n")).where("n > 1"), "many")
+    shared = scratch.keep(postings_of(classes, many).join(many.hint("merge"), "token"), "shared")
+    names = scratch.keep(classes.select("set_key", "doc", "size"), "names")
+    scratch.drop("classes")
 
     fits = lambda a, b: F.col(a) * 100 >= F.col(b) * percent
     few = shared.where(F.col("n") <= pair_limit).select("token", "doc", "size", "matches")
     other = few.toDF("token", "doc2", "size2", "matches2")
     pairs = few.join(other.hint("merge"), "token").where((F.col("doc") < F.col("doc2")) & fits("size", "size2") & fits("size2", "size"))
-    pairs = pairs.groupBy("doc", "doc2").agg(F.count("*").alias("hits"), F.least(F.first("matches"), F.first("matches2")).alias("need"), F.first("size2").alias("size2")).where("hits >= need")
+    pairs = pairs.groupBy("doc", "doc2").agg(F.count("*").alias("hits"), *(F.first(c).alias(c) for c in ("size", "size2", "matches", "matches2")))
+    # what the prefixes leave out bounds the rest of the overlap, so the sizes may ask for more hits
+    beyond = lambda n, k: F.ceil(F.col(n) * percent / 100) - F.col(k)
+    whole = F.ceil((F.col("size") + F.col("size2")) * percent / (100 + percent))
+    need = F.greatest(F.least("matches", "matches2"), whole - F.greatest(beyond("size", "matches"), beyond("size2", "matches2")))
+    pairs = pairs.where(F.col("hits") >= need)
     pairs = scratch.keep(pairs.select("doc", "doc2"), "pairs")
-    stars = scratch.keep(shared.where((F.col("n") > pair_limit)).select("leader", "doc", "size").distinct(), "stars")
-
-    wanted = pairs.select("doc").unionByName(pairs.select(F.col("doc2").alias("doc"))).unionByName(stars.select("doc")).distinct()
-    sets = scratch.keep(sets_of(docs, scratch.keep(wanted, "wanted"), words), "sets")
+    often = shared.where(F.col("n") > pair_limit)
+    lead = often.groupBy("token").agg(F.max(F.struct(F.col("known"), (-F.col("doc")).alias("minus"))).alias("top")).select("token", (-F.col("top.minus")).alias("leader"))
+    stars = scratch.keep(often.join(lead.hint("merge"), "token").select("leader", "doc", "size").distinct(), "stars")
+    sized = names.groupBy("doc").agg(F.max("size").alias("size"))
 
     zero = F.lit(0).cast("long")
     chunk = lambda c, n: F.pmod(F.xxhash64(c), F.col(n))
-    # pairs: the smaller document against its partners, in groups that a task can hold
-    sized = classes.select("doc", "size").groupBy("doc").agg(F.max("size").alias("size"))
-    load = pairs.join(sized.withColumnRenamed("doc", "doc2"), "doc2").groupBy("doc").agg(F.ceil(F.sum("size") / F.lit(block_tokens)).cast("long").alias("k"))
-    right = pairs.join(load, "doc").select(F.col("doc").alias("g1"), chunk("doc2", "k").alias("g2"), F.lit(1).alias("side"), F.col("doc2").alias("doc"))
-    left = load.select(F.col("doc").alias("g1"), F.explode(F.sequence(zero, F.col("k") - 1)).alias("g2"), F.lit(0).alias("side"), "doc")
+    blocks = lambda n: F.ceil(n / F.lit(block_tokens)).cast("long")
+    # pairs: what they connect is one block where a task can hold it, so each set moves once
+    zones = scratch.keep(components(pairs, scratch, "doc", "doc2", "zone").toDF("doc", "zone").join(sized, "doc"), "zones")
+    load = zones.groupBy("zone").agg(blocks(F.sum("size")).alias("k"))
+    whole = zones.join(load.where("k = 1"), "zone").select(F.col("zone").alias("g1"), zero.alias("g2"), F.lit(2).alias("side"), "doc")
+    # else the smaller document of each pair meets its partners, in chunks
+    loose = pairs.join(zones.join(load.where("k > 1"), "zone").select("doc"), "doc")
+    loose = scratch.keep(loose.join(sized.toDF("doc2", "size2"), "doc2"), "loose")
+    ahead = loose.groupBy("doc").agg(blocks(F.sum("size2")).alias("k"))
+    right = loose.join(ahead, "doc").select(F.col("doc").alias("g1"), (chunk("doc2", "k") + 1).alias("g2"), F.lit(1).alias("side"), F.col("doc2").alias("doc"))
+    left = ahead.select(F.col("doc").alias("g1"), F.explode(F.sequence(zero + 1, F.col("k"))).alias("g2"), F.lit(0).alias("side"), "doc")
     # stars: the leader against its members
-    crowd = stars.groupBy("leader").agg(F.ceil(F.sum("size") / F.lit(block_tokens)).cast("long").alias("k"))
-    members = stars.where("doc <> leader").join(crowd, "leader").select((-F.col("leader") - 1).alias("g1"), chunk("doc", "k").alias("g2"), F.lit(1).alias("side"), "doc")
-    leaders = crowd.select((-F.col("leader") - 1).alias("g1"), F.explode(F.sequence(zero, F.col("k") - 1)).alias("g2"), F.lit(0).alias("side"), F.col("leader").alias("doc"))
-    first = left.unionByName(right).unionByName(members).unionByName(leaders).withColumn("g3", zero)
-    links = scratch.keep(block_links(first.join(sets.hint("merge"), "doc"), percent), "links")
-    found = components(links, scratch)
+    crowd = stars.groupBy("leader").agg(blocks(F.sum("size")).alias("k"))
+    members = stars.where("doc <> leader").join(crowd, "leader").select(F.col("leader").alias("g1"), (-1 - chunk("doc", "k")).alias("g2"), F.lit(1).alias("side"), "doc")
+    leaders = crowd.select(F.col("leader").alias("g1"), F.explode(F.sequence(zero + 1, F.col("k"))).alias("g2"), F.lit(0).alias("side"), F.col("leader").alias("doc")).withColumn("g2", -F.col("g2"))
+    placed = scratch.keep(whole.unionByName(left).unionByName(right).unionByName(members).unionByName(leaders).withColumn("g3", zero), "placed")
+    links = scratch.keep(block_links(sets_of(docs, placed, words).join(placed.hint("merge"), "doc"), percent), "links")
+    found = components(links, scratch, "u", "v", "first")
 
     # members that no link ties to their leader, against all members of its star, in blocks
     part = stars.join(found.toDF("doc", "mine"), "doc", "left").join(found.toDF("leader", "theirs"), "leader", "left")
     part = scratch.keep(part.select("leader", "doc", "size", (F.coalesce("mine", "doc") != F.coalesce("theirs", "leader")).alias("apart")), "apart")
-    loads = part.groupBy("leader").agg(F.ceil(F.sum("size") / F.lit(block_tokens)).cast("long").alias("k"), F.ceil(F.sum(F.when(F.col("apart"), F.col("size"))) / F.lit(block_tokens)).cast("long").alias("r")).where("r > 0")
-    placed = part.join(loads, "leader")
-    alone = placed.where("apart").select(F.col("leader").alias("g1"), F.explode(F.sequence(zero, F.col("k") - 1)).alias("g2"), chunk("doc", "r").alias("g3"), F.lit(0).alias("side"), "doc")
-    rest = placed.select(F.col("leader").alias("g1"), chunk("doc", "k").alias("g2"), F.explode(F.sequence(zero, F.col("r") - 1)).alias("g3"), F.lit(1).alias("side"), "doc")
-    more = block_links(alone.unionByName(rest).join(sets.hint("merge"), "doc"), percent)
-    links = scratch.keep(links.unionByName(more), "all-links")
-    found = components(links, scratch)
+    loads = part.groupBy("leader").agg(blocks(F.sum("size")).alias("k"), blocks(F.sum(F.when(F.col("apart"), F.col("size")))).alias("r")).where("r > 0")
+    spread = part.join(loads, "leader")
+    alone = spread.where("apart").select(F.col("leader").alias("g1"), F.explode(F.sequence(zero, F.col("k") - 1)).alias("g2"), chunk("doc", "r").alias("g3"), F.lit(0).alias("side"), "doc")
+    rest = spread.select(F.col("leader").alias("g1"), chunk("doc", "k").alias("g2"), F.explode(F.sequence(zero, F.col("r") - 1)).alias("g3"), F.lit(1).alias("side"), "doc")
+    placed = scratch.keep(alone.unionByName(rest), "placed-apart")
+    if placed.limit(1).count():
+        more = block_links(sets_of(docs, placed, words).join(placed.hint("merge"), "doc"), percent)
+        found = components(scratch.keep(links.unionByName(more), "all-links"), scratch, "u", "v", "second")
+
+    named = names.select("set_key", "doc").join(found.toDF("doc", "component_id"), "doc", "left").select("set_key", F.coalesce("component_id", "doc").alias("component_id"))
+    return keys.join(named.hint("merge"), "set_key", "left").select(F.col("doc_id").alias(key), "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
 
-    named = classes.select("set_key", "doc").join(found.toDF("doc", "component_id"), "doc", "left").select("set_key", F.coalesce("component_id", "doc").alias("component_id"))
-    same_key = signed.select("doc_id", "n_shingles", "set_key").join(named.hint("merge"), "set_key", "left")
-    return same_key.select(F.col("doc_id").alias(key), "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+#: Rows that leave up to which their keys are broadcast (8 MB); more are joined by key.
+BROADCAST_KEYS = 1_000_000
 
 
 def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of ``df``, all columns, without those whose component has a smaller key. Rows that
     share a key stay or go together; rows without a key stay."""
-    extra = join(df, key, text, **options).where(f"component_id <> {key}").select(key).distinct()
-    return df.join(extra, key, "left_anti")
+    scratch = Scratch(df.sparkSession, "one-of-each")
+    extra = scratch.keep(join(df, key, text, **options).where(f"component_id <> {key}").select(key).distinct(), "extra")
+    return df.join(F.broadcast(extra) if extra.count() <= BROADCAST_KEYS else extra.hint("merge"), key, "left_anti")
