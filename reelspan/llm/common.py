@@ -93,11 +93,6 @@ class Scratch:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def input_parts(df: DataFrame) -> int:
-    """The number of partitions a scan of ``df`` has; costs no job."""
-    return max(1, df.rdd.getNumPartitions())
-
-
 def frequent(counts: DataFrame, limit: int, value: str = "n") -> DataFrame:
     """The rows of the highest values, at most ``limit`` of them: those from the lowest level on (an
     eighth of a power of two each) whose rows fit in. Costs one small aggregation, no sort."""

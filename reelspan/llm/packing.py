@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelspan.llm.common import Scratch, input_parts, keyed_text, slices
+from reelspan.llm.common import Scratch, keyed_text, slices
 from reelspan.llm.token_counts import _LOOSE, CACHE_ENTRIES, CACHE_LENGTH, PRE_TOKENS, byte_symbols
 
 #: Tokens of a window; open windows of a task; the smallest gap that a cut may fill.
@@ -168,8 +168,10 @@ def pack(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", wind
         yield packer.batch()
 
     docs = keyed_text(df, key, text).toDF("doc_id", "text")
-    parts, scratch = input_parts(docs), Scratch(df.sparkSession, "packing")
+    scratch = Scratch(df.sparkSession, "packing")
     pieces = scratch.keep(docs.mapInArrow(run, SCHEMA), "pieces")
+    last = pieces.agg(F.max(F.shiftright("sequence_id", 32))).first()[0]
+    parts = 0 if last is None else last + 1  # tasks that wrote, whatever the plan had foreseen
     done, left = pieces.where("ids is null").drop("ids"), pieces.where("ids is not null")
     space = parts
     while parts > 1:  # each round leaves at most one part-filled window for merge_group of them
