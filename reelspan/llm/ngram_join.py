@@ -40,7 +40,7 @@ MOST_MATCHES, CHANCE, FURTHER = 8, 0.05, 0.3
 PAIR_LIMIT = 16
 #: Tokens of either side of a block.
 BLOCK_TOKENS = 1 << 17
-_CHUNK = 1 << 21
+_CHUNK = 1 << 20
 
 
 def token_counts(docs: DataFrame, words: int) -> DataFrame:
@@ -180,8 +180,9 @@ def block_links(blocks: DataFrame, percent: int) -> DataFrame:
     def compare(data: pa.Table) -> pa.Table:
         side = data.column("side").to_numpy()
         docs = data.column("doc").to_numpy()
-        sets = data.column("tokens").to_pylist()
-        sets = [np.array(s, dtype=np.int64) for s in sets]
+        lists = data.column("tokens").combine_chunks()
+        values, ends = lists.flatten().to_numpy(), np.cumsum(pc.list_value_length(lists).to_numpy())
+        sets = np.split(values, ends[:-1])
         a, b = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
         u, v = [], []
         if len(a) and len(b):

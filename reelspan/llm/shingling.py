@@ -7,7 +7,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Bytes that are hashed in one stretch; a longer word makes its stretch longer.
-STRETCH = 1 << 22
+STRETCH = 1 << 18
 _BASE = 0x9E3779B97F4A7C15 | 1
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
