@@ -76,6 +76,14 @@ class Order:
         order = np.argsort(tokens)
         self.tokens, self.counts = tokens[order], counts[order]
 
+    def with_counts(self, tokens: np.ndarray, counts: np.ndarray) -> Order:
+        """The order that knows more tokens; a token has the larger of its counts."""
+        every = np.concatenate([self.tokens, tokens])
+        found, first = np.unique(every, return_inverse=True)
+        most = np.zeros(len(found), dtype=np.int64)
+        np.maximum.at(most, first, np.concatenate([self.counts, counts]).astype(np.int64))
+        return Order(found, most)
+
     def prefix(self, tokens: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, int, int]:
         """The prefix of a set, how many of its tokens must be shared, and how many are known."""
         size = len(tokens)
@@ -119,6 +127,17 @@ def signatures(docs: DataFrame, order: Order, words: int, percent: int) -> DataF
     return docs.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, prefix array<long>, matches int, known int")
 
 
+def prefixes(docs: DataFrame, order: Order, words: int, percent: int, scratch: Scratch, name: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The signatures of all documents, one class for each distinct set with the smallest id, and the
+    prefix tokens that several classes share with their number."""
+    signed = scratch.keep(signatures(docs, order, words, percent), f"{name}/signatures")
+    same = ("n_shingles", "matches", "known", "prefix")  # equal in a class
+    classes = signed.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("doc"), *(F.first(c).alias(c) for c in same)).where("doc is not null")
+    classes = scratch.keep(classes.withColumnRenamed("n_shingles", "size"), f"{name}/classes")
+    many = classes.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
+    return signed, classes, scratch.keep(many, f"{name}/many")
+
+
 def sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """(doc, tokens) of the documents whose ids are in ``wanted`` (column doc), and of some others: a
     sieve sifts the texts where they are read, so that few sets move that no join wants."""
@@ -210,17 +229,16 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = WO
     docs = keyed_text(df, key, text).toDF("doc_id", "text")
     known = frequent(scratch.keep(token_counts(docs, words), "known"), KNOWN_TOKENS).toArrow()
     order = Order(known.column("token").to_numpy(), known.column("n").to_numpy())
-    signed = scratch.keep(signatures(docs, order, words, percent), "signatures")
-    same = ("n_shingles", "matches", "known", "prefix")  # equal in a class
-    classes = signed.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("doc"), *(F.first(c).alias(c) for c in same)).where("doc is not null")
-    classes = scratch.keep(classes.withColumnRenamed("n_shingles", "size"), "classes")
+    signed, classes, many = prefixes(docs, order, words, percent, scratch, "first")
+    crowded = frequent(many.where(F.col("n") > pair_limit), KNOWN_TOKENS).toArrow()
+    if crowded.num_rows:  # tokens that many prefixes share go later in the order, and the prefixes are taken anew
+        signed, classes, many = prefixes(docs, order.with_counts(crowded.column("token").to_numpy(), crowded.column("n").to_numpy()), words, percent, scratch, "second")
+        scratch.drop("first")
     keys = scratch.keep(signed.select("doc_id", "n_shingles", "set_key"), "keys")
-    scratch.drop("signatures")
-
-    many = scratch.keep(classes.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("n")).where("n > 1"), "many")
     shared = scratch.keep(postings_of(classes, many).join(many.hint("merge"), "token"), "shared")
     names = scratch.keep(classes.select("set_key", "doc", "size"), "names")
-    scratch.drop("classes")
+    for done in ("first", "second"):
+        scratch.drop(done)
 
     fits = lambda a, b: F.col(a) * 100 >= F.col(b) * percent
     few = shared.where(F.col("n") <= pair_limit).select("token", "doc", "size", "matches")
