@@ -3,8 +3,8 @@
 A page is a tree of containers with text blocks between them. The pages of a host are aligned one
 after another: equal neighbours fold into a repeated group, what some pages lack becomes optional,
 text becomes a slot. Tasks infer wrappers of the pages they read, and wrappers align with each
-other in the same way, so a host of any size never meets in one task. The wrapper tells where a
-host keeps its article and which texts belong to the template.
+other in the same way, so a host of any size never meets in one task. The wrapper tells which
+texts belong to the template; all other text is kept, but for what its marks leave out.
 """
 
 from __future__ import annotations
@@ -39,8 +39,6 @@ HOSTS_HELD = 500
 TEMPLATE_PAGES, MERGE_SALT = 20, 16
 #: Rows of the table of hosts up to which it is broadcast; beyond, pages are joined by host.
 BROADCAST_HOSTS = 50_000
-#: A region must hold this share of its host's text.
-REGION_SHARE = 0.6
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+|[^>]*)>", re.S)
 _ATTR = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -223,26 +221,8 @@ def folded_optional(items: list[list]) -> list[list]:
     return out
 
 
-def mass(w: dict) -> int:
-    """Characters in the slots of a wrapper that may be article text."""
-    if "l" not in w:
-        return w["m"]
-    return 0 if w["x"] else sum(mass(c[0]) for c in w["c"])
-
-
-def region(w: dict) -> dict:
-    """What extraction needs of a host's wrapper: the path of labels to the container that holds
-    the article, and hashes of texts that belong to the template."""
-    path, here = [], w
-    while True:
-        nodes = [c[0] for c in here["c"] if "l" in c[0] and not c[0]["x"]]
-        best = max(nodes, key=mass, default=None)
-        if best is None or mass(best) < max(1, REGION_SHARE * mass(here)):
-            break
-        path.append(best["l"])
-        here = best
-        if best["l"].split(".")[0] in ("article", "main"):
-            break
+def template(w: dict) -> dict:
+    """What extraction needs of a host's wrapper: hashes of texts that belong to the template."""
     fixed: list[int] = []
     varied = 0
 
@@ -257,29 +237,25 @@ def region(w: dict) -> dict:
             elif child["n"] >= TEMPLATE_PAGES:
                 fixed.append(child["h"])
 
-    walk(here, False)
-    return {"path": path, "fixed": fixed if varied else []}
+    walk(w, False)
+    return {"fixed": fixed if varied else []}
 
 
 def main_text(source: str, place: dict | None) -> str:
-    """The article of a page: the blocks of its host's region, or of the whole page where the page
-    doesn't have that region, without what is left out."""
-    root = parse(source)
-    place = place or {"path": [], "fixed": []}
-    fixed = set(place["fixed"])
-    found = [(root, False)]
-    for step in place["path"]:
-        found = [(c, inside or is_article(n)) for n, inside in found for c in n.children if isinstance(c, Node) and c.label == step]
+    """The article of a page: its blocks without what is left out and what is its host's template.
+    Of a container that is left out but for an article below, only the article counts."""
+    fixed = set(place["fixed"]) if place else set()
     out: list[str] = []
 
-    def take(node: Node, inside: bool) -> None:
+    def take(node: Node, inside: bool, shut: bool) -> None:
         run: list[str] = []
 
         def close() -> None:
-            if run and not (fixed and zlib.crc32("\n\n".join(run).encode()) in fixed):
+            if run and not shut and not (fixed and zlib.crc32("\n\n".join(run).encode()) in fixed):
                 out.extend(run)
             run.clear()
 
+        shut = not is_article(node) and (shut or node.outside or node.header and not inside)
         inside = inside or is_article(node)
         for child in node.children:
             if isinstance(child, str):
@@ -287,26 +263,10 @@ def main_text(source: str, place: dict | None) -> str:
             else:
                 close()
                 if not left_out(child, inside):
-                    take(child, inside)
+                    take(child, inside, shut)
         close()
 
-    if place["path"] and found:
-        for node, inside in found:
-            take(node, inside)
-        return "\n\n".join(out)
-    articles: list[tuple[Node, bool]] = []
-
-    def seek(node: Node) -> None:
-        for child in node.children:
-            if isinstance(child, Node) and not left_out(child, False):
-                if is_article(child):
-                    articles.append((child, False))
-                else:
-                    seek(child)
-
-    seek(root)
-    for node, inside in articles or [(root, False)]:
-        take(node, inside)
+    take(parse(source), False, False)
     return "\n\n".join(out)
 
 
@@ -345,7 +305,7 @@ def infer(pages: DataFrame) -> DataFrame:
             for w in wrappers[1:]:
                 out = merged(out, json.loads(w))
             host = data.column("host").slice(0, 1)
-            return pa.table({"host": host, "place": pa.array([json.dumps(region(out))])} if last else {"host": host, "wrapper": pa.array([json.dumps(out)])})
+            return pa.table({"host": host, "place": pa.array([json.dumps(template(out))])} if last else {"host": host, "wrapper": pa.array([json.dumps(out)])})
 
         return run
 
