@@ -12,7 +12,8 @@ from __future__ import annotations
 import html
 import json
 import re
-import zlib
+from collections import Counter
+from hashlib import blake2b
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -35,7 +36,8 @@ HEADER_NAMES = frozenset(("header", "masthead", "topbar"))
 
 #: A task passes its wrappers on when it holds this many hosts.
 HOSTS_HELD = 500
-#: Pages a text must be the same on to be the template's; wrappers merged in one group.
+#: Pages of a host from which on a text that all of them have in one place outside an article
+#: element is the template's; wrappers merged in one group.
 TEMPLATE_PAGES, MERGE_SALT = 20, 16
 #: Rows of the table of hosts up to which it is broadcast; beyond, pages are joined by host.
 BROADCAST_HOSTS = 50_000
@@ -133,6 +135,11 @@ def left_out(node: Node, in_article: bool) -> bool:
     return (node.outside or node.header and not in_article) and not (is_article(node) and node.name == "main") and not holds_article(node)
 
 
+def text_hash(text: str) -> str:
+    """A hash of a text, long enough that no two texts of a host share it."""
+    return blake2b(text.encode(), digest_size=12).hexdigest()
+
+
 def wrapper_of(node: Node, in_article: bool = False) -> dict:
     """The wrapper of one page's tree: l(abel), x (left out), c(hildren) as [wrapper or slot,
     optional, repeated]; a slot has n (pages), m (characters), h (hash of its text, or None when it
@@ -142,7 +149,7 @@ def wrapper_of(node: Node, in_article: bool = False) -> dict:
     def slot() -> None:
         if texts:
             joined = "\n\n".join(texts)
-            children.append([{"n": 1, "m": len(joined), "h": zlib.crc32(joined.encode())}, False, False])
+            children.append([{"n": 1, "m": len(joined), "h": text_hash(joined)}, False, False])
             texts.clear()
 
     inside = in_article or is_article(node)
@@ -222,38 +229,59 @@ def folded_optional(items: list[list]) -> list[list]:
 
 
 def template(w: dict) -> dict:
-    """What extraction needs of a host's wrapper: hashes of texts that belong to the template."""
-    fixed: list[int] = []
-    varied = 0
-
-    def walk(node: dict, listed: bool) -> None:
+    """The template texts of a host's wrapper by their places: for each container on the way, and for
+    the slot at the end, its number among the neighbours of its label and the label; a slot has the
+    hash of its text. A place counts if every page has it once and so has all of its label before it,
+    so it is the same in each page of the host. Nothing inside an article element is template, nor
+    is anything where no text differs between pages."""
+    varied = False
+
+    def walk(node: dict, sure: bool) -> dict:
         nonlocal varied
-        for child, _, repeated in node["c"]:
-            if "l" in child:
-                if not child["x"]:
-                    walk(child, listed or repeated)
-            elif child["h"] is None or repeated or listed:  # what a page repeats is data
-                varied += child["m"]
-            elif child["n"] >= TEMPLATE_PAGES:
-                fixed.append(child["h"])
-
-    walk(w, False)
-    return {"fixed": fixed if varied else []}
-
-
-def main_text(source: str, place: dict | None) -> str:
+        out: dict = {}
+        seen: Counter = Counter()
+        unsure: set[str] = set()
+        for item in node["c"]:
+            (child, optional, repeated), name = item, label(item)
+            place = f"{seen[name]}:{name}"
+            seen[name] += 1
+            if optional or repeated:
+                unsure.add(name)
+            here = sure and name not in unsure
+            if "l" not in child:
+                if child["h"] is None:
+                    varied = True
+                elif here and child["n"] >= TEMPLATE_PAGES:
+                    out[place] = child["h"]
+            elif not child["x"] and (below := walk(child, here and name.split(".")[0] != "article")):
+                out[place] = below
+        return out
+
+    fixed = walk(w, True)
+    return fixed if varied else {}
+
+
+def main_text(source: str, fixed: dict | None) -> str:
     """The article of a page: its blocks without what is left out and what is its host's template.
     Of a container that is left out but for an article below, only the article counts."""
-    fixed = set(place["fixed"]) if place else set()
     out: list[str] = []
 
-    def take(node: Node, inside: bool, shut: bool) -> None:
+    def take(node: Node, inside: bool, shut: bool, fixed: dict) -> None:
         run: list[str] = []
+        seen: Counter = Counter()
+
+        def place(name: str):
+            if not fixed:
+                return None
+            seen[name] += 1
+            return fixed.get(f"{seen[name] - 1}:{name}")
 
         def close() -> None:
-            if run and not shut and not (fixed and zlib.crc32("\n\n".join(run).encode()) in fixed):
-                out.extend(run)
-            run.clear()
+            if run:
+                known = place("#")
+                if not shut and not (known and known == text_hash("\n\n".join(run))):
+                    out.extend(run)
+                run.clear()
 
         shut = not is_article(node) and (shut or node.outside or node.header and not inside)
         inside = inside or is_article(node)
@@ -262,11 +290,12 @@ def main_text(source: str, place: dict | None) -> str:
                 run.append(child)
             else:
                 close()
+                below = place(child.label)
                 if not left_out(child, inside):
-                    take(child, inside, shut)
+                    take(child, inside, shut, below or {})
         close()
 
-    take(parse(source), False, False)
+    take(parse(source), False, False, fixed or {})
     return "\n\n".join(out)
 
 

@@ -21,3 +21,17 @@ def test_unmarked_text_beside_the_largest_container_is_kept(spark, n):
         assert got[i] == f"Title {i}\n\nLead {i}\n\nBody {i} {'word ' * 40}".strip()
         assert got[n + i].startswith(f"Old layout {i}")
         assert got[2 * n + i] == f"Title {i}\n\nInner {i}\n\nAfter {i}"
+
+
+@pytest.mark.parametrize("n", [19, 20, 60])
+def test_repeated_text_of_an_article_is_kept(spark, n):
+    note = "<div class=method>How we counted</div>"
+    page = "<body><article><h1>Head {i}</h1>{note}<p>Text {i}</article>"
+    got = main_texts(spark, [page.format(i=i, note=note) for i in range(n)] + [page.format(i=i, note="") for i in range(n, n + 5)])
+    assert all(got[i] == f"Head {i}\n\nHow we counted\n\nText {i}" for i in range(n)) and got[n] == f"Head {n}\n\nText {n}"
+
+
+def test_template_text_goes_only_from_its_place(spark):
+    page = "<body><div class=top>The Daily</div><div class=body><p>Text {i}<div class=quote>{quote}</div></div>"
+    got = main_texts(spark, [page.format(i=i, quote="The Daily" if i == 7 else f"Quote {i}") for i in range(30)])
+    assert got[7] == "Text 7\n\nThe Daily" and got[8] == "Text 8\n\nQuote 8"
