@@ -503,10 +503,25 @@ def plan_render(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def prompt_ladder(spark: SparkSession, d: str) -> DataFrame:
-    """Prompts from cache, model, repair or fallback."""
+    """Prompts from cache, model, repair or fallback (J3, J5, J6, J12, J13): replies are whole texts,
+    repairs speak of the names; the second round finds in the cache what the first may store."""
     requests = ladder_requests(spark, d)
-    replies = requests.select("request_id", F.to_json(F.struct(F.concat(F.lit("Find "), F.left("text", F.lit(80))).alias("output_text"))).alias("body"))
-    return P.prompt_ladder(requests, replies)
+    said = lambda *parts: F.to_json(F.struct(F.concat(*parts).alias("output_text"))).alias("body")
+    replies = requests.select("request_id", said(F.lit("Find "), "text"))
+    repairs = requests.select("request_id", said(F.lit("Find one clear clip where the speaker explains "), F.array_join("names", " and "), F.lit(".")))
+    first = P.prompt_ladder(requests, replies, repairs)
+    stored = first.where("cacheable").select("request_id", F.col("prompt").alias("stored"))
+    again = requests.join(stored, "request_id", "left").withColumn("cached_prompt", F.coalesce("stored", "cached_prompt")).drop("stored")
+    return first.withColumn("round", F.lit(1)).unionByName(P.prompt_ladder(again, replies, repairs).withColumn("round", F.lit(2)))
+
+
+@query()
+def prompt_issues_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Findings of all prompt rules on the whole text of every document, with the facts of its
+    transcript (section 2.9, C1 to C5)."""
+    docs = derived.table(spark, d, "documents").select(F.col("doc_id").alias("video_id"), F.col("text").alias("prompt"))
+    facts = ladder_requests(spark, d).select(F.col("request_id").alias("video_id"), "scope", "names", "pronoun_dependent", "unlock_method")
+    return docs.join(facts, "video_id", "left").select("video_id", F.array_join(rules.issues("prompt", "scope", "names", "pronoun_dependent", "unlock_method"), "; ").alias("issues"))
 
 
 def ladder_requests(spark: SparkSession, d: str) -> DataFrame:
