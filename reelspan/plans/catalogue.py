@@ -125,6 +125,14 @@ def context_budget(spark: SparkSession, d: str) -> DataFrame:
     return T.within_budget(segments_of(spark, d), 8000).select("video_id", "seg_no", F.col("running_chars").cast("long").alias("running_chars"), "cut")
 
 
+@query(f"""{BASE}, shown AS (SELECT *, '[' || printf('%.2f', start_sec) || 's-' || printf('%.2f', end_sec) || 's] ' || text AS line FROM segments),
+run AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY video_id ORDER BY seg_no) AS total FROM shown)
+SELECT video_id, seg_no::BIGINT AS seg_no, total::BIGINT AS running_chars, total >= {text.MOST_CONTEXT_CHARS} AS cut FROM run WHERE total - length(line) - 1 < {text.MOST_CONTEXT_CHARS}""")
+def context_budget_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Segments whose lines fit into the budget of the operator, 60,000 characters."""
+    return T.within_budget(segments_of(spark, d)).select("video_id", "seg_no", F.col("running_chars").cast("long").alias("running_chars"), "cut")
+
+
 @query(f"""{BASE}, wide AS (SELECT video_id, greatest(start_sec - 60, 0) AS a, end_sec + 60 AS b FROM ranges WHERE end_sec > start_sec),
 reach AS (SELECT *, max(b) OVER (PARTITION BY video_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM wide),
 numbered AS (SELECT *, sum(CASE WHEN before IS NULL OR a > before THEN 1 ELSE 0 END) OVER (PARTITION BY video_id ORDER BY a, b ROWS UNBOUNDED PRECEDING) - 1 AS range_no FROM reach)

@@ -25,3 +25,9 @@ def test_ladder_repairs_and_finds_in_the_cache(spark, tmp_path):
     assert got[0, 1]["source"] == "model" and got[0, 1]["prompt"] == "Find the idea of short clips"
     assert got[1, 1]["source"] == "repair" and got[0, 2]["source"] == got[1, 2]["source"] == "cache"
     assert got[1, 2]["prompt"] == got[1, 1]["prompt"]
+
+
+def test_the_budget_is_that_of_the_operator(spark, tmp_path):
+    write(spark, tmp_path, ["\n".join(["word " * 200] * 100)])
+    got = [r["seg_no"] for r in catalogue.QUERIES["context_budget_whole"](spark, str(tmp_path)).collect()]
+    assert max(got) == 58 and len(got) == 59
