@@ -1,8 +1,9 @@
 """License scan by conditional compression.
 
-A block of text that speaks of licensing is compressed alone and then with each license template as
+A run of sentences or lines that speaks of licensing is compressed alone and then with each license template as
 a raw zstandard dictionary. The templates that shrink it most are its likely sources; a word-level
-comparison with the block, best first, then confirms one and lists how the wording differs.
+comparison with the block, best first, then confirms one and lists how the wording differs. Of
+overlapping findings those stay that explain most words together.
 """
 
 from __future__ import annotations
@@ -10,6 +11,8 @@ from __future__ import annotations
 import difflib
 import json
 import re
+from bisect import bisect_left, bisect_right
+from collections import Counter, defaultdict
 from functools import lru_cache
 
 import pyarrow as pa
@@ -50,12 +53,13 @@ TEMPLATES = (
     ("all-rights-reserved", "All rights reserved."),
     ("all-rights-reserved", "Copyright <any>. All rights reserved."),
 )
-#: What a line must hold to be looked at.
-TRIGGER = re.compile(r"licen[sc]|rights reserved|copyright|public domain|redistribut|permission (?:is|to)|creative commons|\bCC0\b|unencumbered", re.I)
+#: What a run must hold to be looked at.
+TRIGGER = re.compile(r"licen[sc]|rights\W+reserved|copyright|public\W+domain|redistribut|permission\W+(?:is|to)|creative\W+commons|\bCC0\b|unencumbered", re.I)
 MOST_FREE = 12
 #: Share by which the best template must shrink a block; templates that are compared word by word;
 #: differing words, as a share of the template's, up to which a block is a modified copy.
 LEAST_REDUCTION, COMPARED, MOST_DIFFERENT = 0.25, 4, 0.2
+_PART = re.compile(r"(?:[^.!?\n]|[.!?](?!\s|\Z))*(?:[.!?]|\n|\Z)")
 _WORD = re.compile(r"\w+(?:[.\-/]\w+)*", re.U)
 
 
@@ -71,6 +75,12 @@ class Scanner:
         self.templates = [(name, text, words_of(text)) for name, text in templates]
         self.plain = zstandard.ZstdCompressor(level=6)
         self.given = [zstandard.ZstdCompressor(level=6, dict_data=zstandard.ZstdCompressionDict(text.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for _, text, _ in self.templates]
+        self.sizes = [(len(wanted), len(wanted) - wanted.count("any"), MOST_FREE * wanted.count("any")) for _, _, wanted in self.templates]
+        self.longest = max(int((1 + MOST_DIFFERENT) * n) + free for n, _, free in self.sizes)
+        self.owners: dict[str, list[tuple[int, int]]] = defaultdict(list)
+        for i, (_, _, wanted) in enumerate(self.templates):
+            for word, n in Counter(w for w in wanted if w != "any").items():
+                self.owners[word].append((i, n))
         self.judge = lru_cache(maxsize=20_000)(self._judge)
 
     def ranked(self, block: str) -> list[tuple[float, int]]:
@@ -100,37 +110,85 @@ class Scanner:
         return name, i, rank + 1, round(saved, 4), "modified" if n else "exact", json.dumps({"missing": missing, "added": added}, ensure_ascii=False) if n else ""
 
     def scan(self, text: str) -> list[tuple]:
-        """(start, end, *judgement) of each block of a text: lines, and paragraphs of several lines
-        when none of their lines is a finding of its own."""
+        """(start, end, *judgement) of each statement of a text, paragraph by paragraph."""
         if not TRIGGER.search(text):
             return []
         out, at = [], 0
         for paragraph in re.split(r"(\n[ \t\r]*\n\s*)", text):
-            start, found = at, []
+            if TRIGGER.search(paragraph):
+                out += [(at + i, at + j, *hit) for i, j, hit in self.statements(paragraph)]
             at += len(paragraph)
-            if not TRIGGER.search(paragraph):
-                continue
-            lines, place = paragraph.split("\n"), start
-            for line in lines:
-                if TRIGGER.search(line) and (hit := self.best_part(line)):
-                    found.append((place + hit[0], place + hit[1], *hit[2]))
-                place += len(line) + 1
-            if not found and len(lines) > 1:
-                joined = " ".join(lines)
-                if hit := self.best_part(joined):
-                    found.append((start + hit[0], start + hit[1], *hit[2]))
-            out += found
         return out
 
-    def best_part(self, line: str) -> tuple | None:
-        """A line as a whole, else the run of sentences around its triggers."""
-        for pattern in (r".+", r"[^.!?]*(?:[.!?](?!\s|\Z)[^.!?]*)*[.!?]?"):
-            for m in re.finditer(pattern, line, re.S):
-                part = m[0].strip()
-                if part and TRIGGER.search(part) and (hit := self.judge(part)):
-                    start = m.start() + len(m[0]) - len(m[0].lstrip())
-                    return start, start + len(part), hit
-        return None
+    def statements(self, paragraph: str) -> list[tuple]:
+        """(start, end, judgement) of the findings among all runs of parts (a part ends with a sentence
+        or a line), without overlaps: those with the most template words less twice the differing
+        ones, then the shortest."""
+        parts = [m.span() for m in _PART.finditer(paragraph) if m[0]]
+        joined = paragraph.replace("\n", " ").replace("\r", " ")
+        ends, starts = [j for _, j in parts], [i for i, _ in parts]
+        words = {}
+        hits: dict[int, list[tuple]] = defaultdict(list)
+        spans = {(bisect_right(ends, m.start()), bisect_left(starts, m.end()) - 1) for m in TRIGGER.finditer(paragraph)}
+        seen = set()
+        for a, b in sorted(spans):
+            held = 0
+            for i in range(b, -1, -1):
+                if i not in words:
+                    words[i] = words_of(paragraph[slice(*parts[i])])
+                held += len(words[i])
+                if i <= a and held > self.longest:
+                    break
+                if i > a or not words[i]:
+                    continue
+                for j in self.likely(paragraph, parts, words, i):
+                    if j >= b and (i, j) not in seen:
+                        seen.add((i, j))
+                        start = parts[i][0] + len(joined[slice(*parts[i])]) - len(joined[slice(*parts[i])].lstrip())
+                        part = joined[start : parts[j][1]].rstrip()
+                        if hit := self.judge(part):
+                            n = self.sizes[hit[1]][1] - 2 * differing(hit[5])
+                            hits[j].append((i, n, start, start + len(part), hit))
+        best: list[tuple] = []  # of the parts up to one with hits: (that part, score, -characters, last hit, before it)
+        for j in sorted(hits):
+            options = [best[-1]] if best else [(-1, 0, 0, None, None)]
+            for i, n, start, end, hit in hits[j]:
+                k = bisect_left(best, i, key=lambda x: x[0]) - 1
+                before = best[k] if k >= 0 else (-1, 0, 0, None, None)
+                options.append((j, before[1] + n, before[2] - (end - start), (start, end, hit), before))
+            top = max(options, key=lambda x: x[1:3])
+            best.append((j, *top[1:]))
+        out, here = [], best[-1] if best else None
+        while here and here[3]:
+            out.append(here[3])
+            here = here[4]
+        return out[::-1]
+
+    def likely(self, paragraph: str, parts: list[tuple[int, int]], words: dict, i: int) -> list[int]:
+        """The parts that end a run from part ``i`` whose words, in any order, are near enough to a
+        template's: a bound on the differences, so no run that fails it can be a finding."""
+        if (i, "ends") in words:
+            return words[i, "ends"]
+        out, total, held, common = [], 0, Counter(), [0] * len(self.templates)
+        for j in range(i, len(parts)):
+            if j not in words:
+                words[j] = words_of(paragraph[slice(*parts[j])])
+            total += len(words[j])
+            if total > self.longest:
+                break
+            for word in words[j]:
+                held[word] += 1
+                for t, n in self.owners.get(word, ()):
+                    common[t] += held[word] <= n
+            if words[j] and any(named - c + max(0, total - c - free) <= MOST_DIFFERENT * size for (size, named, free), c in zip(self.sizes, common, strict=True)):
+                out.append(j)
+        words[i, "ends"] = out
+        return out
+
+
+def differing(noted: str) -> int:
+    """The number of differing words of a judgement."""
+    return sum(map(len, json.loads(noted).values())) if noted else 0
 
 
 def differences(wanted: list[str], words: list[str]) -> tuple[list[str], list[str]]:

@@ -2,7 +2,7 @@
 
 import pytest
 
-from reelspan.llm import html_text
+from reelspan.llm import html_text, licenses
 
 
 def main_texts(spark, pages):
@@ -35,3 +35,22 @@ def test_template_text_goes_only_from_its_place(spark):
     page = "<body><div class=top>The Daily</div><div class=body><p>Text {i}<div class=quote>{quote}</div></div>"
     got = main_texts(spark, [page.format(i=i, quote="The Daily" if i == 7 else f"Quote {i}") for i in range(30)])
     assert got[7] == "Text 7\n\nThe Daily" and got[8] == "Text 8\n\nQuote 8"
+
+
+BSD = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:"
+APACHE = "Licensed under the Apache License, Version 2.0 (the \"License\"); you\nmay not use this file except in compliance with the License. You may\nobtain a copy of the License at"
+MIT = next(t for n, t in licenses.TEMPLATES if n == "MIT" and len(t) > 200).replace("obtaining a ", "obtaining a\n# ").replace("without limitation ", "without limitation\n# ")
+
+
+@pytest.mark.parametrize("text, names", [
+    ("Released under the MIT License. Licensed under CC BY 4.0.", ["MIT", "CC-BY-4.0"]),
+    ("Copyright (c) 2020 X. All rights reserved.\n" + BSD, ["all-rights-reserved", "BSD-3-Clause"]),
+    ("Copyright (c) 2020 Jane Doe. All rights reserved.\n" + MIT, ["all-rights-reserved", "MIT"]),
+    ("It was so. " + APACHE.replace("\n", " ") + "\nhttp://www.apache.org/licenses/LICENSE-2.0\nand more", ["Apache-2.0"]),
+    ("It was so, as said before. " + APACHE + "\nhttp://www.apache.org/licenses/LICENSE-2.0", ["Apache-2.0"]),
+    ("Some words. " * 300 + "Licensed under CC BY-NC 4.0. " + "More words. " * 300 + "Released under the MIT License. End.", ["CC-BY-NC-4.0", "MIT"]),
+])
+def test_all_statements_are_found(text, names):
+    found = licenses.Scanner().scan(text)
+    assert [f[2] for f in found] == names and all(f[6] == "exact" or f[2] == "MIT" for f in found)
+    assert all(a[1] <= b[0] for a, b in zip(found, found[1:], strict=False)) and "  " not in [text[f[0] : f[1]][0] for f in found]
