@@ -1,9 +1,11 @@
 """Language-model scoring with Brown class bigrams.
 
 Exchange clustering assigns word symbols to classes: each symbol moves to the class in which the
-class bigrams of the training text are likeliest, until none moves. Frequent words are symbols of
-their own, all others share one with the words of their ending. A text is scored by class
-transitions and by the emission of each word from its class, both smoothed.
+class bigrams of the training text are likeliest, until none moves. The most frequent words are
+symbols of their own, all others share one with the words of their ending. One distributed pass then
+exchanges each further word that is resolved on reading and occurs often enough against these class
+bigrams; the rest keep the class of their ending. A text is scored by class transitions and by the
+emission of each word from its class, both smoothed.
 
 Counts cover the whole training text. Frequent words, a bounded set, are resolved where the text
 is read; the rare rest is joined with the table of counts, so nothing that grows with the
@@ -26,8 +28,10 @@ from reelspan.llm.common import Scratch, raw_texts, slices
 from reelspan.llm.quality import remainder
 
 #: Words resolved where the text is read (a bounded broadcast); words that are symbols of their
-#: own; symbols shared by ending; classes; sweeps of the exchange.
-HOT_WORDS, OWN_SYMBOLS, ENDINGS, CLASSES, SWEEPS = 200_000, 1024, 512, 48, 8
+#: own; symbols shared by ending; classes; occurrences from which on a further word is exchanged.
+HOT_WORDS, OWN_SYMBOLS, ENDINGS, CLASSES, LEAST_COUNT = 200_000, 1024, 512, 48, 5
+#: Distinct counts that a task holds before it passes them on or adds them up.
+CELLS_HELD = 2_000_000
 #: The weight of a class's overall frequency in its transition probabilities.
 PRIOR = 20.0
 #: Distinct words that a task counts before it passes them on.
@@ -128,16 +132,35 @@ def symbol_bigrams(docs: DataFrame, own: list[bytes]) -> np.ndarray:
     return out.reshape(size, size)
 
 
-def exchange(bigrams: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) -> np.ndarray:
-    """The class of each symbol by exchange clustering; the end (symbol 0) is class 0 alone.
+def f(x: np.ndarray) -> np.ndarray:
+    """x log x of counts."""
+    return x * np.log(np.maximum(x, 1.0))
 
-    Starts from a deal by frequency; in each sweep symbols in order of frequency move to the class
-    with the highest likelihood of the class bigrams. Ties keep the lowest class, so the result
-    depends on the counts alone."""
 
-    def f(x: np.ndarray) -> np.ndarray:
-        return x * np.log(np.maximum(x, 1.0))
+def gains(grid: np.ndarray, row: np.ndarray, column: np.ndarray, self_n: float) -> np.ndarray:
+    """What joining each class adds to the likelihood, for a symbol that is in none: ``row`` and
+    ``column`` count the classes after and before it, ``self_n`` how often it follows itself."""
+    base = f(grid)
+    by_row, by_column = f(grid + row[None, :]) - base, f(grid + column[:, None]) - base
+    diagonal = np.diag(grid)
+    gain = by_row.sum(1) - np.diag(by_row) + by_column.sum(0) - np.diag(by_column) + f(diagonal + row + column + self_n) - f(diagonal)
+    out, into = grid.sum(1), grid.sum(0)
+    gain -= f(out + row.sum() + self_n) - f(out) + f(into + column.sum() + self_n) - f(into)
+    gain[0] = -np.inf
+    return gain
+
+
+def tolerance(total: float) -> float:
+    """Gains below this are rounding at so many bigrams."""
+    return 1e-9 + 1e-12 * total * np.log(max(total, 1.0))
+
 
+def exchange(bigrams: np.ndarray, classes: int = CLASSES) -> np.ndarray:
+    """The class of each symbol by exchange clustering; the end (symbol 0) is class 0 alone.
+
+    Starts from a deal by frequency; in each sweep symbols in order of frequency move to the class
+    with the highest likelihood of the class bigrams, until none moves. Ties keep the lowest class,
+    so the result depends on the counts alone."""
     size = len(bigrams)
     weight = bigrams.sum(0) + bigrams.sum(1)
     order = [s for s in np.argsort(-weight, kind="stable").tolist() if s]
@@ -147,7 +170,8 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS)
     one = np.zeros((size, classes))
     one[np.arange(size), cls] = 1
     grid = one.T @ bigrams @ one
-    for _ in range(sweeps):
+    least = tolerance(float(bigrams.sum()))
+    while True:
         moved = 0
         for s in order:
             if not weight[s]:
@@ -159,15 +183,9 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS)
             grid[own] -= row
             grid[:, own] -= column
             grid[own, own] -= self_n
-            base = f(grid)
-            by_row, by_column = f(grid + row[None, :]) - base, f(grid + column[:, None]) - base
-            diagonal = np.diag(grid)
-            gain = by_row.sum(1) - np.diag(by_row) + by_column.sum(0) - np.diag(by_column) + f(diagonal + row + column + self_n) - f(diagonal)
-            out, into = grid.sum(1), grid.sum(0)
-            gain -= f(out + row.sum() + self_n) - f(out) + f(into + column.sum() + self_n) - f(into)
-            gain[0] = -np.inf
+            gain = gains(grid, row, column, self_n)
             best = int(gain.argmax())
-            if gain[best] <= gain[own] + 1e-9:
+            if gain[best] <= gain[own] + least:
                 best = own
             moved += best != own
             cls[s] = best
@@ -175,10 +193,122 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS)
             grid[:, best] += column
             grid[best, best] += self_n
         if not moved:
-            break
+            return cls
+
+
+def class_ids(docs_batches, number: dict, cls: np.ndarray, endings: np.ndarray):
+    """(words, classes) of all tokens, text after text, for each piece: the number of a word that is
+    resolved on reading, or -1, and its class; every text has an end before and after it."""
+    get, end = number.get, number.get(END, -1)
+    for batch in docs_batches:
+        for piece in slices(batch):
+            words, classes = [np.array([end])], [np.array([0])]
+            for body in raw_texts(piece.column(1)):
+                tokens = tokens_of(body)
+                ids = np.array([*map(get, tokens, [-1] * len(tokens)), end], dtype=np.int64)
+                own = cls[ids]
+                own[ids < 0] = 0
+                rest = np.flatnonzero(ids[:-1] < 0)
+                own[rest] = [endings[ending_symbol(tokens[i]) - 1 - OWN_SYMBOLS] for i in rest.tolist()]
+                words.append(ids)
+                classes.append(own)
+            yield np.concatenate(words), np.concatenate(classes)
+
+
+def summed_cells(codes: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts by code, added up."""
+    if not codes:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    found, place = np.unique(np.concatenate(codes), return_inverse=True)
+    return found, np.bincount(place, weights=np.concatenate(n), minlength=len(found)).astype(np.int64)
+
+
+def exchange_words(docs: DataFrame, hot: list, cls: np.ndarray, endings: np.ndarray, grid: np.ndarray, first: int) -> np.ndarray:
+    """The classes of the words resolved on reading after those from ``first`` on that occur
+    LEAST_COUNT times were exchanged, each by itself, against the fixed class bigrams ``grid``."""
+    shared, classes = docs.sparkSession.sparkContext.broadcast((hot, cls, endings, grid)), len(grid)
+    movable = np.array([i >= first and n >= LEAST_COUNT and w != END for i, (w, n) in enumerate(hot)] or [False])
+    if not movable.any():
+        return cls
+    may = docs.sparkSession.sparkContext.broadcast(movable)
+    width = 2 * classes + 1
+
+    def count(batches):
+        hot, cls, endings, _ = shared.value
+        codes, n, held = [], [], 0
+
+        def rows():
+            code, total = summed_cells(codes, n)
+            codes.clear()
+            n.clear()
+            for i in range(0, len(code), 100_000):
+                part = code[i : i + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(part // width), pa.array((part % width).astype(np.int32)), pa.array(total[i : i + 100_000])], names=["id", "cell", "n"])
+
+        for words, own in class_ids(batches, {w: i for i, (w, _) in enumerate(hot)}, cls, endings):
+            same = (words[:-1] == words[1:]) & (words[1:] >= 0)
+            after = (words[:-1] >= 0) & may.value[words[:-1]]
+            before = (words[1:] >= 0) & may.value[words[1:]] & ~same
+            own_cell = np.where(same, 2 * classes, own[1:])
+            cells = np.concatenate([words[:-1][after] * width + own_cell[after], words[1:][before] * width + classes + own[:-1][before]])
+            code, times = np.unique(cells, return_counts=True)
+            codes.append(code)
+            n.append(times)
+            held += len(code)
+            if held > CELLS_HELD:
+                yield from rows()
+                held = 0
+        yield from rows()
+
+    def choose(batches):
+        _, cls, _, grid = shared.value
+        codes, n, held = [], [], 0
+        for batch in batches:
+            codes.append(batch.column(0).to_numpy() * width + batch.column(1).to_numpy())
+            n.append(batch.column(2).to_numpy())
+            held += batch.num_rows
+            if held > CELLS_HELD:
+                code, total = summed_cells(codes, n)
+                codes, n, held = [code], [total], 0
+        code, total = summed_cells(codes, n)
+        ids, starts = np.unique(code // width, return_index=True)
+        least, out = tolerance(float(grid.sum())), []
+        for word, i, j in zip(ids.tolist(), starts.tolist(), [*starts[1:].tolist(), len(code)], strict=True):
+            cells = np.bincount(code[i:j] % width, weights=total[i:j], minlength=width)
+            row, column, self_n, own = cells[:classes], cells[classes : 2 * classes], cells[-1], cls[word]
+            rest = grid.copy()
+            rest[own] -= row
+            rest[:, own] -= column
+            rest[own, own] -= self_n
+            gain = gains(rest, row, column, self_n)
+            best = int(gain.argmax())
+            out.append(best if gain[best] > gain[own] + least else own)
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.array(out, dtype=np.int32))], names=["id", "cls"])
+
+    found = docs.mapInArrow(count, "id long, cell int, n long").repartition("id").mapInArrow(choose, "id long, cls int").toArrow()
+    cls = cls.copy()
+    cls[found.column(0).to_numpy()] = found.column(1).to_numpy()
     return cls
 
 
+def class_bigrams(docs: DataFrame, hot: list, cls: np.ndarray, endings: np.ndarray, classes: int = CLASSES) -> np.ndarray:
+    """How often each class follows each class."""
+    shared = docs.sparkSession.sparkContext.broadcast((hot, cls, endings))
+
+    def run(batches):
+        hot, cls, endings = shared.value
+        out = np.zeros(classes * classes, dtype=np.int64)
+        for _, own in class_ids(batches, {w: i for i, (w, _) in enumerate(hot)}, cls, endings):
+            out += np.bincount(own[:-1] * classes + own[1:], minlength=len(out))
+        used = np.flatnonzero(out)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(out[used])], names=["code", "n"])
+
+    out = np.zeros(classes * classes)
+    for r in docs.mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n")).collect():
+        out[r[0]] = r[1]
+    return out.reshape(classes, classes)
+
+
 class Model:
     """Class transitions and emission constants, from counts."""
 
@@ -186,10 +316,15 @@ class Model:
         self.cls = exchange(bigrams, classes)
         one = np.zeros((len(bigrams), classes))
         one[np.arange(len(bigrams)), self.cls] = 1
-        grid = one.T @ bigrams @ one
+        self.fit(one.T @ bigrams @ one, one.T @ totals)
+
+    def fit(self, grid: np.ndarray, totals: np.ndarray) -> None:
+        """Sets the constants from class bigrams and the totals of classes."""
+        classes = len(grid)
+        self.grid = grid
         overall = (grid.sum(0) + 1) / (grid.sum() + classes)
         self.follow = np.log10((grid + PRIOR * overall[None, :]) / (grid.sum(1, keepdims=True) + PRIOR))
-        n, v, once, twice = (one.T @ totals).T
+        n, v, once, twice = totals.T
         self.n = np.maximum(n, 1.0)
         self.discount = np.where(once + twice > 0, (once + 0.5) / (once + 2 * twice + 1), 0.5)
         held_back = np.where(n > 0, self.discount * v / self.n, 1.0)
@@ -230,17 +365,28 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text", hot_words: int
     hot_rows = counts.where(level >= least).toPandas() if least is not None else pd.DataFrame({"word": [], "n": []})
     hot = sorted(zip(map(bytes, hot_rows["word"]), hot_rows["n"].tolist(), strict=True), key=lambda x: (-x[1], x[0]))
     own = [w for w, _ in hot if w != END][:OWN_SYMBOLS]
-    model = Model(symbol_bigrams(training, own), symbol_totals(counts, own))
+    bigrams, totals = symbol_bigrams(training, own), symbol_totals(counts, own)
+    model = Model(bigrams, totals)
+    symbols, endings = Symbols(own), model.cls[1 + OWN_SYMBOLS :]
+    of_hot = np.array([symbols[w] for w, _ in hot] or [0], dtype=np.int64)
+    cls = exchange_words(training, hot, model.cls[of_hot], endings, model.grid, len(own))
+    if (cls != model.cls[of_hot]).any():
+        by_class = np.zeros((len(model.grid), 4))
+        np.add.at(by_class, model.cls, totals)
+        n = np.array([n for _, n in hot])
+        weights = np.stack([n, np.ones(len(n)), n == 1, n == 2], axis=1)
+        np.add.at(by_class, model.cls[of_hot], -weights)
+        np.add.at(by_class, cls, weights)
+        model.fit(class_bigrams(training, hot, cls, endings), by_class)
     rare = counts.where(level < least) if least is not None else counts
-    shared = spark.sparkContext.broadcast((hot, own, model))
+    shared = spark.sparkContext.broadcast((hot, own, cls, model))
     divisor = float(total + distinct + 1)
 
     def run(batches):
-        hot, own, model = shared.value
+        hot, own, hot_cls, model = shared.value
         symbols = Symbols(own)
         number = {w: i for i, (w, _) in enumerate(hot)}
         hot_n = np.array([n for _, n in hot] or [0], dtype=np.float64)
-        hot_cls = model.cls[np.array([symbols[w] for w, _ in hot] or [0], dtype=np.int64)]
         emit, base = model.emission(hot_n, hot_cls), np.log10((hot_n + 1) / divisor)
         end, uid = number.get(END, -1), TaskContext.get().partitionId() << 33
         get = number.get

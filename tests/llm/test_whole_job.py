@@ -1,8 +1,9 @@
 """Cases in which an operator once did less than the whole job."""
 
+import numpy as np
 import pytest
 
-from reelspan.llm import html_text, licenses
+from reelspan.llm import class_lm, html_text, licenses
 
 
 def main_texts(spark, pages):
@@ -54,3 +55,14 @@ def test_all_statements_are_found(text, names):
     found = licenses.Scanner().scan(text)
     assert [f[2] for f in found] == names and all(f[6] == "exact" or f[2] == "MIT" for f in found)
     assert all(a[1] <= b[0] for a, b in zip(found, found[1:], strict=False)) and "  " not in [text[f[0] : f[1]][0] for f in found]
+
+
+def test_words_beyond_the_symbols_get_classes_of_their_own(spark, monkeypatch):
+    monkeypatch.setattr(class_lm, "LEAST_COUNT", 2)
+    docs = spark.createDataFrame([(0, "a xing b xing a zing d zing " * 9)], "doc_id long, text string")
+    hot = [(w.encode(), 9) for w in ("a", "b", "d", "xing", "zing")]
+    cls, endings = np.array([1, 1, 2, 3, 3]), np.full(class_lm.ENDINGS, 3)
+    grid = class_lm.class_bigrams(docs, hot, cls, endings, classes=5)
+    assert grid.sum() == 73 and grid[1, 3] == 27
+    got = class_lm.exchange_words(docs, hot, cls, endings, grid, 3)
+    assert got[:3].tolist() == [1, 1, 2] and got[3] != got[4]
