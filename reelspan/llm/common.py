@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -12,6 +15,9 @@ from pyspark.sql import functions as F
 
 #: Rows and bytes of text that one call of a batch function sees at most (one row may be longer).
 BATCH_ROWS, BATCH_BYTES = 512, 4 << 20
+#: Bytes of a row group of a scratch table, which a task buffers while it writes.
+ROW_GROUP_BYTES = 16 << 20
+_ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,7 +26,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def keyed_text(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Two columns only, whatever else ``df`` has: the key as long, the text with null as empty."""
+    """Two columns only, whatever else ``df`` has: the key as long, the text with null as empty. A key
+    that is no number is an error, as it is in any cast under ANSI rules."""
     return df.select(F.col(key).cast("long").alias(key), F.coalesce(F.col(text).cast("string"), F.lit("")).alias(text))
 
 
@@ -41,6 +48,30 @@ def slices(batch: pa.RecordBatch, text: int | None = 1) -> Iterator[pa.RecordBat
         yield batch.slice(start)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Lowers the session's bound on the bytes of an Arrow batch to BATCH_BYTES, if it is higher: by
+    default 10,000 rows of whole texts would be held at once, in the JVM and in Python."""
+    if int(str(spark.conf.get(_ARROW_BYTES)).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(_ARROW_BYTES, f"{BATCH_BYTES}b")
+
+
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``mapInArrow`` whose tasks give back the memory that they took: Spark uses Python workers again,
+    and what one task leaves behind would count against the next."""
+    bound_batches(df.sparkSession)
+
+    def tidy(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # glibc only
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return df.mapInArrow(tidy, schema)
+
+
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str, text: int | None = 1) -> DataFrame:
     """``mapInArrow`` with bounded batches. ``make`` runs once in each task and gives the batch function."""
 
@@ -52,7 +83,7 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
                 if out is not None and out.num_rows:
                     yield out
 
-    return df.mapInArrow(run, schema)
+    return map_arrow(df, run, schema)
 
 
 def raw_texts(column: pa.Array) -> list[bytes]:
@@ -61,10 +92,14 @@ def raw_texts(column: pa.Array) -> list[bytes]:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder for cut lineage: ``spark.checkpoint.dir`` of the session, else a folder
-    that is set here (local runs and tests, where the driver and the tasks share one disk)."""
+    """The shared folder for cut lineage: ``spark.checkpoint.dir`` of the session, else a folder of
+    this machine, set here, for local masters only: on a cluster the tasks would write where the driver can't
+    read, so that is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "/tmp/checkpoints"
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -83,14 +118,15 @@ class Scratch:
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """Writes ``df`` as Parquet and reads it again."""
         path = f"{self.base}/{name}"
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        df.write.mode("overwrite").option("compression", "zstd").option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, name: str) -> None:
-        """Removes a table that is no longer read."""
+    def drop(self, *names: str) -> None:
+        """Removes tables that are no longer read; without names all of the job."""
         jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        for name in names or ("",):
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def frequent(counts: DataFrame, limit: int, value: str = "n") -> DataFrame:

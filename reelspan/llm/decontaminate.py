@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reelspan.llm.common import Scratch, slices
+from reelspan.llm.common import Scratch, map_arrow, slices
 
 #: Words of a seed and of the shortest tile; share of an item's words that tiles must cover.
 SEED_WORDS, COVERAGE = 5, 0.5
@@ -195,7 +195,7 @@ def with_hits(df: DataFrame, benchmark: DataFrame, text: str = "text", item_key:
                     hits = [[*b, *(index.hits(t, coverage) if t else ())] for t, b in zip(bodies, before, strict=True)]
                     yield pa.RecordBatch.from_arrays([*piece.columns[:-1], pa.array(hits, _HIT_ARROW)], names=piece.schema.names)
 
-        out = out.mapInArrow(run, out.schema)
+        out = map_arrow(out, run, out.schema)
     return out
 
 

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelspan.llm.common import Scratch, slices
+from reelspan.llm.common import Scratch, map_arrow, slices
 
 #: Fixed sets of element names.
 CONTAINERS = frozenset("html body div section article main nav header footer aside form table thead tbody tfoot ul ol dl menu figure fieldset details dialog noscript template center".split())
@@ -338,7 +338,7 @@ def infer(pages: DataFrame) -> DataFrame:
 
         return run
 
-    parts = pages.mapInArrow(fold, "host string, share int, wrapper string")
+    parts = map_arrow(pages, fold, "host string, share int, wrapper string")
     some = parts.groupBy("host", "share").applyInArrow(join(False), "host string, wrapper string")
     return some.groupBy("host").applyInArrow(join(True), "host string, place string")
 
@@ -371,4 +371,4 @@ def extract(df: DataFrame, key: str = "page_id", url: str = "url", source: str =
                 column = pa.array(texts, pa.string())
                 yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(2), column, pc.utf8_length(column).cast(pa.int64())], names=["key", "url", "text", "n_chars"])
 
-    return placed.mapInArrow(run, "key long, url string, text string, n_chars long").toDF(key, url, "text", "n_chars")
+    return map_arrow(placed, run, "key long, url string, text string, n_chars long").toDF(key, url, "text", "n_chars")

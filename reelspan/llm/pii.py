@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelspan.llm.common import keyed_text, map_batches, slices
+from reelspan.llm.common import keyed_text, map_arrow, map_batches, slices
 
 #: Kinds in the order in which spans of one start are listed; the last is found by the model only.
 KINDS = ("email", "ip", "card", "phone", "secret")
@@ -402,7 +402,7 @@ def redact(df: DataFrame, text: str = "text", length: str = "n_chars") -> DataFr
                 columns[place] = pa.array(out, pa.string())
                 yield pa.RecordBatch.from_arrays(columns, names=piece.schema.names)
 
-    out = df.mapInArrow(run, df.schema)
+    out = map_arrow(df, run, df.schema)
     if length not in df.columns:
         return out
     return out.withColumn(length, F.coalesce(F.length(text).cast(df.schema[length].dataType), F.col(length)))

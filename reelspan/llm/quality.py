@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reelspan.llm.common import keyed_text, map_batches, raw_texts, slices
+from reelspan.llm.common import keyed_text, map_arrow, map_batches, raw_texts, slices
 
 #: Labelled rows that a model is fitted on at most, those of the smallest hash of their id: this
 #: many (id, label) pairs and rows of statistics come to the driver.
@@ -82,7 +82,7 @@ def beside_stats(df: DataFrame, text: str = "text") -> DataFrame:
                 held = pa.StructArray.from_arrays([pa.array(rows[:, i]) for i in range(len(STATS))], names=list(STATS))
                 yield pa.RecordBatch.from_arrays([*piece.columns, held], names=[*piece.schema.names, HELD])
 
-    return df.mapInArrow(run, schema)
+    return map_arrow(df, run, schema)
 
 
 @dataclass(frozen=True)

@@ -10,10 +10,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from reelspan.llm.common import map_arrow
+
 #: Bits of a sieve: at least, at most (16 MB), and for each wanted value.
 LEAST_BITS, MOST_BITS, BITS_EACH = 1 << 16, 1 << 27, 16
-#: Tasks that mark a sieve; so many bitmaps come to the driver.
-MARKERS = 4
+#: Stretches of a bitmap; each is marked by one task, so that the bitmap comes to the driver once.
+STRETCHES = 64
 
 
 class Sieve:
@@ -39,13 +41,25 @@ def sieve_of(wanted: DataFrame) -> Sieve:
     while target < min(need, MOST_BITS):
         target *= 2
 
+    width = target // STRETCHES
+
+    def place(batches):
+        own = Sieve(target)
+        for batch in batches:
+            slots = np.unique(own.slots(batch.column(0).to_numpy()))
+            yield pa.RecordBatch.from_arrays([pa.array((slots // width).astype(np.int32)), pa.array((slots % width).astype(np.int32))], names=["stretch", "slot"])
+
     def mark(batches):
-        own, flat = Sieve(target), np.zeros(target, dtype=bool)
+        flat: dict[int, np.ndarray] = {}
         for batch in batches:
-            flat[own.slots(batch.column(0).to_numpy())] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(flat, bitorder="little").tobytes()], pa.binary())], names=["bits"])
+            stretch, slot = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for k in np.unique(stretch).tolist():
+                flat.setdefault(k, np.zeros(width, dtype=bool))[slot[stretch == k]] = True
+        rows = [np.packbits(x, bitorder="little").tobytes() for x in flat.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(flat), pa.int32()), pa.array(rows, pa.binary())], names=["stretch", "bits"])
 
     out = Sieve(target)
-    for row in wanted.coalesce(MARKERS).mapInArrow(mark, "bits binary").collect():
-        out.marks |= np.frombuffer(row["bits"], dtype=np.uint8)
+    placed = map_arrow(wanted, place, "stretch int, slot int").repartition("stretch")
+    for row in map_arrow(placed, mark, "stretch int, bits binary").collect():
+        out.marks[row["stretch"] * width // 8 :][: width // 8] = np.frombuffer(row["bits"], dtype=np.uint8)
     return out

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelspan.llm.common import keyed_text, slices
+from reelspan.llm.common import keyed_text, map_arrow, slices
 
 #: Fixed values of the format: field type -> bytes, the tags that are read, compression numbers.
 TYPE_BYTES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
@@ -282,7 +282,7 @@ def encode_pages(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
                 media = [store(payload_of(b)) for b in bodies]
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([len(b) for b in bodies], pa.int64()), pa.array(media, pa.binary())], names=["key", "n_bytes", "media"])
 
-    return keyed_text(df, key, text).mapInArrow(run, "key long, n_bytes long, media binary").withColumnRenamed("key", key)
+    return map_arrow(keyed_text(df, key, text), run, "key long, n_bytes long, media binary").withColumnRenamed("key", key)
 
 
 PAGES = "page int, n_pages int, width int, height int, samples_per_pixel int, bits int, compression string, predictor int, tiled boolean, mean double, error string, samples binary, media_bytes long, media_sha256 string"
@@ -322,7 +322,7 @@ def decode_pages(df: DataFrame, key: str = "doc_id", media: str = "media", carry
         names = [c.split()[0] for c in PAGES.split(", ")]
         return pa.RecordBatch.from_arrays([head.column(0), *(head.column(2 + i) for i in range(len(carry))), *(pa.array([v], t) for v, t in zip(values, types, strict=True))], names=[schema.names[0], *carry, *names])
 
-    return picked.mapInArrow(run, f"key {kinds['key']}, {extra}{PAGES}").withColumnRenamed("key", key)
+    return map_arrow(picked, run, f"key {kinds['key']}, {extra}{PAGES}").withColumnRenamed("key", key)
 
 
 def page_digests(decoded: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -355,4 +355,4 @@ def page_digests(decoded: DataFrame, key: str = "doc_id") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
     picked = decoded.select(F.col(key).alias("key"), "n_bytes", "page", "n_pages", "width", "height", "compression", "predictor", "tiled", "mean", "error", "samples", "media_bytes", "media_sha256")
-    return picked.mapInArrow(run, "key long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string").withColumnRenamed("key", key)
+    return map_arrow(picked, run, "key long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string").withColumnRenamed("key", key)
