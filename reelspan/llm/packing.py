@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelspan.llm.common import Scratch, keyed_text, slices
+from reelspan.llm.common import Scratch, keyed_text, map_arrow, slices
 from reelspan.llm.token_counts import _LOOSE, CACHE_ENTRIES, CACHE_LENGTH, PRE_TOKENS, byte_symbols
 
 #: Tokens of a window; open windows of a task; the smallest gap that a cut may fill.
@@ -89,10 +89,11 @@ class Packer:
 
     def add(self, doc, ids: bytes, start: int, total: int) -> None:
         """Places the ids of a document, or of a piece of one."""
-        full = 4 * self.window
-        while len(ids) >= full:
-            self.emit([(doc, start, total, ids[:full])])
-            ids, start = ids[full:], start + self.window
+        full, at = 4 * self.window, 0
+        for at in range(full, len(ids) + 1, full):
+            self.emit([(doc, start, total, ids[at - full : at])])
+            start += self.window
+        ids = ids[at:]
         n = len(ids) // 4
         if not n:
             return
@@ -126,10 +127,11 @@ class Packer:
         loose = [p for _, pieces in sorted(zip(self.fill, self.held, strict=True), key=lambda x: -x[0]) for p in pieces]
         current, room = [], self.window
         for doc, start, total, ids in loose:
-            while ids:
-                part = ids[: 4 * room]
-                current.append((doc, start, total, part))
-                ids, start, room = ids[len(part) :], start + len(part) // 4, room - len(part) // 4
+            at = 0
+            while at < len(ids):
+                part = ids[at : at + 4 * room]
+                current.append((doc, start + at // 4, total, part))
+                at, room = at + len(part), room - len(part) // 4
                 if not room:
                     self.emit(current)
                     current, room = [], self.window
@@ -169,7 +171,7 @@ def pack(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", wind
 
     docs = keyed_text(df, key, text).toDF("doc_id", "text")
     scratch = Scratch(df.sparkSession, "packing")
-    pieces = scratch.keep(docs.mapInArrow(run, SCHEMA), "pieces")
+    pieces = scratch.keep(map_arrow(docs, run, SCHEMA), "pieces")
     last = pieces.agg(F.max(F.shiftright("sequence_id", 32))).first()[0]
     parts = 0 if last is None else last + 1  # tasks that wrote, whatever the plan had foreseen
     done, left = pieces.where("ids is null").drop("ids"), pieces.where("ids is not null")
