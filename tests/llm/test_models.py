@@ -151,13 +151,45 @@ def test_exchange_finds_classes():
     assert len({(cls[i], kind[i]) for i in range(1, size)}) == 3
 
 
+def test_gains_are_those_of_the_whole_likelihood():
+    rng = np.random.default_rng(4)
+    for _ in range(20):
+        grid, cls, s = rng.integers(0, 6, (12, 12)).astype(float), np.r_[0, rng.integers(1, 5, 11)], int(rng.integers(1, 12))
+
+        def whole(c, grid=grid, cls=cls, s=s):
+            one = np.zeros((12, 5))
+            one[np.arange(12), np.where(np.arange(12) == s, c, cls)] = 1
+            g = one.T @ grid @ one
+            return class_lm.f(g).sum() - class_lm.f(g.sum(0)).sum() - class_lm.f(g.sum(1)).sum()
+
+        others = np.arange(12) != s
+        one = np.zeros((12, 5))
+        one[np.arange(12), cls] = 1
+        one[s] = 0
+        gain = class_lm.gains(one.T @ grid @ one, grid[s, others] @ one[others], grid[others, s] @ one[others], grid[s, s])
+        assert np.allclose(gain[1:] - gain[1], [whole(c) - whole(1) for c in range(1, 5)])
+
+
+@pytest.mark.parametrize("rest", [True, False])
+def test_exchange_ends(rest):
+    rng = np.random.default_rng(9)
+    for size in (2, 3, 10, 60, 120):
+        cls = class_lm.exchange(rng.integers(0, 9, (size, size)).astype(float), classes=48, rest=rest)
+        assert cls[0] == 0 and (cls[1 : size - rest] > 0).all() and (not rest or cls[-1] == 48)
+
+
 def test_probabilities_sum_to_one():
     rng = np.random.default_rng(0)
-    grid, totals = rng.integers(0, 5, (1537, 1537)).astype(float), np.zeros((1537, 4))
-    totals[:, 0] = grid.sum(0)
-    totals[:, 1:] = 1
-    model = class_lm.Model(grid, totals)
-    assert np.allclose((10**model.follow).sum(1), 1)
+    moves = rng.integers(0, 50, (6, 5)).astype(float)
+    counts, classes = rng.integers(1, 9, 200), rng.integers(1, 5, 200)
+    counts, classes = np.r_[40, counts], np.r_[0, classes]
+    totals = np.array([[counts[classes == c].sum(), (classes == c).sum(), (counts[classes == c] == 1).sum(), (counts[classes == c] == 2).sum()] for c in range(5)], dtype=float)
+    totals[3] = 0  # a class without words
+    seen = classes != 3
+    model = class_lm.Model(moves, totals)
+    for history in range(6):
+        words = (10 ** (model.follow[history, classes[seen]] + model.emission(counts[seen], classes[seen]))).sum()
+        assert math.isclose(words + 10 ** model.unseen[history], 1, rel_tol=1e-9)
 
 
 def test_base_spans_equal_the_stated_patterns():

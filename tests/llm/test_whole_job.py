@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from reelspan.llm import class_lm, html_text, licenses
+from reelspan.llm.common import Scratch
 
 
 def main_texts(spark, pages):
@@ -57,12 +58,25 @@ def test_all_statements_are_found(text, names):
     assert all(a[1] <= b[0] for a, b in zip(found, found[1:], strict=False)) and "  " not in [text[f[0] : f[1]][0] for f in found]
 
 
-def test_words_beyond_the_symbols_get_classes_of_their_own(spark, monkeypatch):
-    monkeypatch.setattr(class_lm, "LEAST_COUNT", 2)
-    docs = spark.createDataFrame([(0, "a xing b xing a zing d zing " * 9)], "doc_id long, text string")
-    hot = [(w.encode(), 9) for w in ("a", "b", "d", "xing", "zing")]
-    cls, endings = np.array([1, 1, 2, 3, 3]), np.full(class_lm.ENDINGS, 3)
-    grid = class_lm.class_bigrams(docs, hot, cls, endings, classes=5)
-    assert grid.sum() == 73 and grid[1, 3] == 27
-    got = class_lm.exchange_words(docs, hot, cls, endings, grid, 3)
-    assert got[:3].tolist() == [1, 1, 2] and got[3] != got[4]
+@pytest.mark.parametrize("hot", [5, 3])
+def test_words_beyond_the_exchanged_ones_get_classes_of_their_own(spark, tmp_path, hot):
+    """xing follows a and b, zing follows d, whether they are resolved on reading or joined."""
+    docs = spark.createDataFrame([(0, "a xing b xing a zing d zing d zing " * 9)], "doc_id long, text string")
+    words, cls = [b"", b"a", b"b", b"d", b"xing", b"zing"][: hot + 1], np.array([0, 1, 1, 2])
+    grid = np.array([[0, 9, 9, 0], [0, 0, 0, 27.0], [0, 0, 0, 18], [9, 18, 9, 0]])
+    got = class_lm.hot_classes(docs, words, cls, grid)
+    assert got[:4].tolist() == cls.tolist() and len(got) == len(words)
+    wide = np.zeros((5, 5))  # classes 1 and 2 of a, b and d; class 3 lies between 1, 2 between 2; class 4 stands for the rest
+    wide[1, 3], wide[3, 1], wide[2, 2], wide[0, 1] = 30, 30, 60, 9
+    found, moves = class_lm.further_words(docs, words[:4], cls, wide, 2, Scratch(spark, "further"))
+    table = {bytes(r["word"]): (r["n"], r["cls"]) for r in found.collect()}
+    assert {w: n for w, (n, _) in table.items()} == {b"xing": 18, b"zing": 27}
+    assert table[b"xing"][1] == 3 and table[b"zing"][1] == 2
+    assert moves.sum() == 91 and moves[1, 3] == 18 and moves[4, 0] == 1
+
+
+def test_the_model_beats_the_base_whatever_is_exchanged_or_joined(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    of = lambda **o: class_lm.score(docs, **o).where("held_out").groupBy().sum("score", "base_score").first()
+    few, usual, cold = of(own_words=20), of(), of(hot_words=300, own_words=100)
+    assert min(few[0], usual[0], cold[0]) > usual[1]
