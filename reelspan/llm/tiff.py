@@ -21,26 +21,30 @@ from reelspan.llm.common import keyed_text, map_arrow, slices
 
 #: Fixed values of the format: field type -> bytes, the tags that are read, compression numbers.
 TYPE_BYTES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
-WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_BYTES, PLANAR, PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_BYTES = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284, 317, 322, 323, 324, 325
+WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_BYTES, PLANAR, PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_BYTES, FORMAT = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284, 317, 322, 323, 324, 325, 339
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 NAMES = {NONE: "none", LZW: "lzw", DEFLATE: "deflate", OLD_DEFLATE: "deflate", PACKBITS: "packbits"}
 
 #: Width of an encoded page, rows of a page and of a strip at most, and edge of a tile.
 PAGE_WIDTH, PAGE_ROWS, STRIP_ROWS, TILE = 64, 512, 128, 64
+#: Bytes of the samples of one page at most; a larger one is reported and not decoded.
+MOST_PAGE_BYTES = 256 << 20
+#: What a compressed byte can stand for at most, by compression.
+_MOST_GROWTH = {NONE: 1, PACKBITS: 64, LZW: 4096, DEFLATE: 1040, OLD_DEFLATE: 1040}
 _RUN = re.compile(rb"(.)\1{2,127}", re.S)
 
 
-def packbits_decode(data: bytes) -> bytes:
-    """Undoes PackBits run-length coding."""
-    out, i, n = [], 0, len(data)
-    while i < n:
+def packbits_decode(data: bytes, most: int = MOST_PAGE_BYTES) -> bytes:
+    """Undoes PackBits run-length coding; stops when it has ``most`` bytes."""
+    out, i, n, made = [], 0, len(data), 0
+    while i < n and made < most:
         head = data[i]
         if head < 128:
             out.append(data[i + 1 : i + 2 + head])
-            i += 2 + head
+            i, made = i + 2 + head, made + 1 + head
         elif head > 128:
             out.append(data[i + 1 : i + 2] * (257 - head))
-            i += 2
+            i, made = i + 2, made + 257 - head
         else:
             i += 1
     return b"".join(out)
@@ -67,8 +71,10 @@ def packbits_encode(data: bytes) -> bytes:
 CLEAR, END, FIRST, LAST = 256, 257, 258, 4094
 
 
-def lzw_decode(data: bytes) -> bytes:
-    """Undoes LZW with codes of 9 to 12 bits, high bits first, widened one code early."""
+def lzw_decode(data: bytes, most: int = MOST_PAGE_BYTES) -> bytes:
+    """Undoes LZW with codes of 9 to 12 bits, high bits first, widened one code early; stops when it has
+    ``most`` bytes. A table that is full stays as it is until it is cleared."""
+    made = 0
     base = [bytes([i]) for i in range(256)] + [b"", b""]
     table, out, before = list(base), [], b""
     width, held, bits = 9, 0, 0
@@ -93,12 +99,15 @@ def lzw_decode(data: bytes) -> bytes:
                 word = before + before[:1]
             else:
                 raise ValueError("LZW code beyond the table")
-            table.append(before + word[:1])
-            size = len(table)
+            size = len(table) + 1
+            if size <= 4096:
+                table.append(before + word[:1])
             if size == 511 or size == 1023 or size == 2047:
                 width += 1
         out.append(word)
-        before = word
+        before, made = word, made + len(word)
+        if made >= most:
+            break
     return b"".join(out)
 
 
@@ -136,16 +145,16 @@ def lzw_encode(data: bytes) -> bytes:
     return bytes(out) + (held << pad).to_bytes((bits + pad) >> 3, "big")
 
 
-def unpack(data: bytes, compression: int) -> bytes:
-    """Decodes a strip or tile."""
+def unpack(data: bytes, compression: int, most: int = MOST_PAGE_BYTES) -> bytes:
+    """Decodes a strip or tile, of which no more than ``most`` bytes are wanted."""
     if compression == NONE:
         return data
     if compression == PACKBITS:
-        return packbits_decode(data)
+        return packbits_decode(data, most)
     if compression == LZW:
-        return lzw_decode(data)
+        return lzw_decode(data, most)
     if compression in (DEFLATE, OLD_DEFLATE):
-        return zlib.decompress(data)
+        return zlib.decompressobj().decompress(data, most)
     raise ValueError(f"compression {compression} isn't supported")
 
 
@@ -174,33 +183,64 @@ def directories(data: bytes) -> Iterator[dict[int, tuple]]:
         (at,) = struct.unpack_from(e + "I", data, at + 2 + 12 * count)
 
 
-def page_samples(data: bytes, tags: dict[int, tuple], big: bool) -> np.ndarray:
-    """The samples of a page as rows x columns x samples, from strips or tiles."""
+def undone(block: np.ndarray, predictor: int, big: bool) -> np.ndarray:
+    """A block (rows x columns x samples) without its predictor: differences of neighbours in a row (2),
+    or of the bytes of floats, which are stored most significant ones first (3)."""
+    if predictor == 2:
+        return np.cumsum(block, axis=1, dtype=block.dtype.newbyteorder("="))
+    if predictor == 3:
+        rows, columns, deep = block.shape
+        flat = np.ascontiguousarray(block).view("u1").reshape(rows, -1, deep)
+        flat = np.cumsum(flat, axis=1, dtype="u1").reshape(rows, block.dtype.itemsize, columns * deep)
+        return np.ascontiguousarray(flat.transpose(0, 2, 1)).view(">f4").reshape(rows, columns, deep)
+    return block
+
+
+def page_samples(data: bytes, tags: dict[int, tuple], big: bool, most: int = MOST_PAGE_BYTES) -> np.ndarray:
+    """The samples of a page as rows x columns x samples, from strips or tiles. Samples of 1, 2 or 4
+    bits come as bytes. Whatever the header claims, no more is held than ``most`` bytes, and nothing
+    where the stored bytes are too few for it."""
     one = lambda tag, default=None: tags[tag][0] if tag in tags else default
     width, height, samples = one(WIDTH), one(HEIGHT), one(SAMPLES, 1)
-    bits = set(tags.get(BITS, (1,)))
-    if bits not in ({8}, {16}):
+    bits, floats = set(tags.get(BITS, (1,))), one(FORMAT, 1) == 3
+    if len(bits) != 1 or not bits <= ({32} if floats else {1, 2, 4, 8, 16, 32}):
         raise ValueError(f"{sorted(bits)} bits a sample aren't supported")
-    kind = np.dtype("u1" if bits == {8} else ">u2" if big else "<u2")
+    (depth,) = bits
+    kind = np.dtype("u1" if depth <= 8 else f"{'>' if big else '<'}{'f' if floats else 'u'}{depth // 8}")
     planes = samples if one(PLANAR, 1) == 2 else 1
     deep = 1 if planes > 1 else samples
     compression, predictor = one(COMPRESSION, NONE), one(PREDICTOR, 1)
-    if predictor not in (1, 2):
-        raise ValueError(f"predictor {predictor} isn't supported")
-    out = np.zeros((height, width, samples), dtype=kind.newbyteorder("="))
+    if compression not in _MOST_GROWTH:
+        raise ValueError(f"compression {compression} isn't supported")
+    if predictor not in (1, 2, 3) or predictor == 2 and (depth < 8 or floats) or predictor == 3 and not floats:
+        raise ValueError(f"predictor {predictor} isn't supported for these samples")
     tiled = TILE_OFFSETS in tags
     block_w = one(TILE_WIDTH) if tiled else width
     block_h = one(TILE_HEIGHT) if tiled else min(one(ROWS_PER_STRIP, height), height)
+    if min(width, height, samples, block_w, block_h) < 1:
+        raise ValueError("a page, strip or tile without samples")
+    row_bytes = -(-block_w * deep * depth // 8)
+    if max(height * width * samples * kind.itemsize, row_bytes * block_h) > most:
+        raise ValueError(f"a page of {width} x {height} x {samples} samples is larger than {most} bytes")
     offsets, sizes = (tags[TILE_OFFSETS], tags[TILE_BYTES]) if tiled else (tags[STRIP_OFFSETS], tags[STRIP_BYTES])
     across, down = -(-width // block_w), -(-height // block_h)
+    if len(offsets) != len(sizes) or len(offsets) != across * down * planes:
+        raise ValueError(f"{len(offsets)} offsets and {len(sizes)} sizes for {across * down * planes} strips or tiles")
+    rows_of = lambda i: block_h if tiled else min(block_h, height - i % (across * down) // across * block_h)
+    for i, (offset, size) in enumerate(zip(offsets, sizes, strict=True)):
+        if max(0, min(size, len(data) - offset)) * _MOST_GROWTH[compression] < rows_of(i) * row_bytes:
+            raise ValueError(f"strip or tile {i} holds too few bytes")
+    out = np.zeros((height, width, samples), dtype=kind.newbyteorder("="))
     for i, (offset, size) in enumerate(zip(offsets, sizes, strict=True)):
         plane, k = divmod(i, across * down)
         top, left = k // across * block_h, k % across * block_w
-        rows = block_h if tiled else min(block_h, height - top)
-        need = rows * block_w * deep
-        block = np.frombuffer(unpack(data[offset : offset + size], compression), dtype=kind, count=need).reshape(rows, block_w, deep)
-        if predictor == 2:
-            block = np.cumsum(block, axis=1, dtype=out.dtype)
+        rows = rows_of(i)
+        raw = np.frombuffer(unpack(data[offset : offset + size], compression, rows * row_bytes), dtype="u1", count=rows * row_bytes)
+        if depth < 8:
+            each = np.unpackbits(raw.reshape(rows, row_bytes), axis=1).reshape(rows, -1, depth)[:, : block_w * deep]
+            block = np.dot(each, 1 << np.arange(depth)[::-1]).astype("u1").reshape(rows, block_w, deep)
+        else:
+            block = undone(raw.view(kind).reshape(rows, block_w, deep), predictor, big)
         rows, columns = min(rows, height - top), min(block_w, width - left)
         target = out[top : top + rows, left : left + columns]
         if planes > 1:
@@ -285,6 +325,8 @@ def encode_pages(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     return map_arrow(keyed_text(df, key, text), run, "key long, n_bytes long, media binary").withColumnRenamed("key", key)
 
 
+#: What a file that isn't sound may raise.
+BROKEN = (ValueError, KeyError, IndexError, TypeError, OverflowError, MemoryError, struct.error, zlib.error)
 PAGES = "page int, n_pages int, width int, height int, samples_per_pixel int, bits int, compression string, predictor int, tiled boolean, mean double, error string, samples binary, media_bytes long, media_sha256 string"
 
 
@@ -293,11 +335,16 @@ def decode_pages(df: DataFrame, key: str = "doc_id", media: str = "media", carry
     height, samples_per_pixel, bits, compression, predictor, tiled, mean of the samples, error,
     samples (rows, then columns, then channels; native bytes), media_bytes and media_sha256.
 
-    A null, empty or broken file gives one row with page null and the reason in ``error``; a file
-    of which a later page is broken gives its sound pages and such a row. Repeated rows give
-    repeated pages; other columns are not read. Pages of a file follow each other in order within
-    their partition. Memory: one file and one decoded page at a time.
+    A null or empty file, and one whose chain of directories can't be read, gives one row with page
+    null and the reason in ``error``; a page that can't be decoded (broken, larger than
+    MOST_PAGE_BYTES, or of a kind that isn't supported, as JPEG or fax pages) gives a row with its
+    number and the reason, and no samples. Repeated rows give repeated pages; other columns are not
+    read, and those of ``carry`` may have any name but the key's. Pages of a file follow each other in
+    order within their partition. Memory: one file and one decoded page at a time.
     """
+    clash = {c.split()[0] for c in PAGES.split(", ")} & set(carry)
+    if clash:
+        raise ValueError(f"rename {sorted(clash)} before carrying them: the result has columns of these names")
     picked = df.select(F.col(key).alias("key"), F.col(media).cast("binary").alias("media"), *(F.col(c) for c in carry))
     kinds = {f.name: f.dataType.simpleString() for f in picked.schema}
     extra = "".join(f"{c} {kinds[c]}, " for c in carry)
@@ -308,14 +355,25 @@ def decode_pages(df: DataFrame, key: str = "doc_id", media: str = "media", carry
             for i in range(batch.num_rows):
                 head = batch.slice(i, 1)
                 data = head.column(1)[0].as_py() or b""
-                digest, total = hashlib.sha256(data).hexdigest(), None
+                digest = hashlib.sha256(data).hexdigest()
                 try:
-                    total = sum(1 for _ in directories(data))
-                    for number, tags, samples in pages(data):
-                        one = lambda tag, default: int(tags[tag][0]) if tag in tags else default  # noqa: B023, E731
-                        yield row(head, schema, (number, total, one(WIDTH, 0), one(HEIGHT, 0), one(SAMPLES, 1), one(BITS, 1), NAMES[one(COMPRESSION, 1)], one(PREDICTOR, 1), TILE_OFFSETS in tags, float(samples.mean(dtype=np.float64)), None, samples.tobytes(), len(data), digest))
-                except (ValueError, KeyError, IndexError, TypeError, struct.error, zlib.error) as problem:
-                    yield row(head, schema, (None, total, *[None] * 8, f"{type(problem).__name__}: {problem}"[:200], None, len(data), digest))
+                    listed = list(directories(data))
+                    if not listed:
+                        raise ValueError("no image directory")
+                except BROKEN as problem:
+                    yield row(head, schema, (*[None] * 10, reason(problem), None, len(data), digest))
+                    continue
+                for number, tags in enumerate(listed):
+                    one = lambda tag, default: int(tags[tag][0]) if tags.get(tag) else default  # noqa: B023, E731
+                    facts = (number, len(listed), one(WIDTH, 0), one(HEIGHT, 0), one(SAMPLES, 1), one(BITS, 1), NAMES.get(one(COMPRESSION, 1), str(one(COMPRESSION, 1))), one(PREDICTOR, 1), TILE_OFFSETS in tags)
+                    try:
+                        samples = page_samples(data, tags, data[:1] == b"M")
+                        yield row(head, schema, (*facts, float(samples.mean(dtype=np.float64)), None, samples.tobytes(), len(data), digest))
+                    except BROKEN as problem:
+                        yield row(head, schema, (*(x if not isinstance(x, int) or x < 1 << 31 else None for x in facts), None, reason(problem), None, len(data), digest))
+
+    def reason(problem: Exception) -> str:
+        return f"{type(problem).__name__}: {problem}"[:200]
 
     def row(head: pa.RecordBatch, schema: pa.Schema, values: tuple) -> pa.RecordBatch:
         types = [pa.int32()] * 6 + [pa.string(), pa.int32(), pa.bool_(), pa.float64(), pa.string(), pa.binary(), pa.int64(), pa.string()]
@@ -337,7 +395,7 @@ def page_digests(decoded: DataFrame, key: str = "doc_id") -> DataFrame:
         for batch in batches:
             rows = []
             for r in batch.to_pylist():
-                if r["page"] is None:
+                if r["error"] is not None:
                     raise ValueError(f"a stored page can't be read: {r['error']}")
                 if r["page"] == 0:
                     state = [hashlib.sha256(), 0, b"", 0.0, []]

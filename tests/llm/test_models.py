@@ -275,6 +275,79 @@ def test_broken_files_give_reasons(spark):
     assert got[4] == (0, None) and all(got[i][0] is None and got[i][1] for i in (1, 2, 3, 5))
 
 
+def ifd(tags, data, big=False):
+    """A file of one page: tags as (tag, kind, value), the data from byte 8 on."""
+    import struct
+
+    e = ">" if big else "<"
+    body = (b"MM\0*" if big else b"II*\0") + struct.pack(e + "I", 8 + len(data)) + data + struct.pack(e + "H", len(tags))
+    for tag, kind, value in sorted(tags):
+        body += struct.pack(e + "HHI", tag, kind, 1) + (struct.pack(e + "HH", value, 0) if kind == 3 else struct.pack(e + "I", value))
+    return body + b"\0\0\0\0"
+
+
+def strip(width, height, bits, data, compression=1, **more):
+    names = {"samples": 277, "predictor": 317, "format": 339, "rows": 278}
+    return [(256, 4, width), (257, 4, height), (258, 3, bits), (259, 3, compression), (273, 4, 8), (279, 4, len(data)), *((names[k], 3, v) for k, v in more.items())]
+
+
+def test_streams_written_by_hand():
+    # the example of the format's text for PackBits, and LZW codes 256, 45, 258, 258, 65, 259, 66, 257
+    assert tiff.packbits_decode(bytes.fromhex("FEAA028000 2AFDAA0380002A22F7AA".replace(" ", ""))) == bytes.fromhex("AAAAAA80002AAAAAAAAA80002A22AAAAAAAAAAAAAAAAAAAA")
+    codes, bits = [256, 45, 258, 258, 65, 259, 66, 257], ""
+    for c in codes:
+        bits += format(c, "09b")
+    bits += "0" * (-len(bits) % 8)
+    data = int(bits, 2).to_bytes(len(bits) // 8, "big")
+    assert tiff.lzw_decode(data) == bytes([45, 45, 45, 45, 45, 65, 45, 45, 45, 66])
+
+
+@pytest.mark.parametrize("bits", [1, 2, 4])
+def test_small_samples(bits):
+    rng = np.random.default_rng(bits)
+    values = rng.integers(0, 1 << bits, (5, 11), dtype=np.uint8)
+    rows = [int("".join(format(v, f"0{bits}b") for v in row).ljust(-(-11 * bits // 8) * 8, "0"), 2).to_bytes(-(-11 * bits // 8), "big") for row in values.tolist()]
+    data = b"".join(rows)
+    for compression, stored in ((1, data), (32773, tiff.packbits_encode(data))):
+        (_, _, got), = tiff.pages(ifd(strip(11, 5, bits, stored, compression), stored))
+        assert (got[:, :, 0] == values).all()
+
+
+def test_floats_with_their_predictor():
+    values = np.linspace(-3, 1e9, 28, dtype=np.float32).reshape(4, 7)
+    planes = values.astype(">f4").view("u1").reshape(4, 7, 4).transpose(0, 2, 1).reshape(4, 28)
+    stored = zlib.compress(np.diff(planes, axis=1, prepend=np.zeros((4, 1), "u1")).tobytes())
+    (_, _, got), = tiff.pages(ifd(strip(7, 4, 32, stored, 8, predictor=3, format=3), stored))
+    assert (got[:, :, 0] == values).all()
+
+
+def test_claims_of_a_header_are_not_believed(spark):
+    data = bytes(64)
+    bad = [ifd(strip(w, h, 8, data, c, **more), data) for w, h, c, more in ((0, 8, 1, {}), (8, 0, 1, {}), (8, 8, 7, {}), (4_000_000, 4_000_000, 8, {}), (60_000, 4000, 1, {}), (8, 8, 1, {"rows": 0}), (8, 8, 1, {"samples": 0}), (8, 8, 1, {"predictor": 9}), (8, 8, 8, {}), (16, 8, 1, {}))]
+    bad += [ifd([(256, 4, 8), (257, 4, 8), (258, 3, 8), (322, 4, 0), (323, 4, 0), (324, 4, 8), (325, 4, 64)], data), b"II*\0\0\0\0\0"]
+    good = tiff.store(tiff.payload_of(b"word " * 9000))
+    rng = random.Random(3)
+    for _ in range(150):
+        broken = bytearray(good)
+        for _ in range(rng.randint(1, 6)):
+            broken[rng.choice((rng.randrange(len(good)), len(good) - 1 - rng.randrange(400)))] = rng.randrange(256)
+        bad.append(bytes(broken))
+    df = spark.createDataFrame([(i, bytearray(b)) for i, b in enumerate(bad)], "doc_id long, media binary")
+    got = collections.defaultdict(list)
+    for r in tiff.decode_pages(df).select("doc_id", "page", "error").collect():
+        got[r["doc_id"]].append((r["page"], r["error"]))
+    assert len(got) == len(bad) and all(len(got[i]) == 1 and got[i][0][1] for i in range(12))
+    assert any(e is None for i in range(12, len(bad)) for _, e in got[i])
+
+
+def test_a_page_that_cannot_be_read_leaves_the_others(spark):
+    file = bytearray(tiff.write_tiff([(np.full((4, 4), k, dtype=np.uint8), tiff.NONE, 1, False) for k in range(3)]))
+    at = file.index(b"\x03\x01\x03\0\x01\0\0\0\x01")  # the compression of the first page
+    file[at + 8] = 7
+    rows = tiff.decode_pages(spark.createDataFrame([(1, file)], "doc_id long, media binary")).orderBy("page").collect()
+    assert [(r["page"], r["n_pages"], r["error"] is None, r["compression"]) for r in rows] == [(0, 3, False, "7"), (1, 3, True, "none"), (2, 3, True, "none")]
+
+
 def test_quality_on_held_out_rows(spark, docs, small):
     labels = spark.read.parquet(f"{small}/labels.parquet")
     got = quality.score(docs, labels).join(labels, "doc_id").where("held_out").collect()
