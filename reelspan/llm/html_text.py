@@ -12,6 +12,7 @@ from __future__ import annotations
 import html
 import json
 import re
+from bisect import bisect_left
 from collections import Counter
 from hashlib import blake2b
 
@@ -36,13 +37,18 @@ HEADER_NAMES = frozenset(("header", "masthead", "topbar"))
 
 #: A task passes its wrappers on when it holds this many hosts.
 HOSTS_HELD = 500
-#: Pages of a host from which on a text that all of them have in one place outside an article
-#: element is the template's; wrappers merged in one group.
-TEMPLATE_PAGES, MERGE_SALT = 20, 16
+#: A text that all pages of a host have in one place outside an article element, while other texts
+#: differ, is the template's; fewer pages than this are no evidence. Wrappers merged in one group.
+TEMPLATE_PAGES, MERGE_SALT = 3, 16
+#: Containers that are nested deeper become neighbours of each other, with the marks of those around
+#: them; cells of the table of an alignment, beyond which labels are matched in order.
+MOST_DEPTH, MOST_CELLS = 100, 1 << 20
 #: Rows of the table of hosts up to which it is broadcast; beyond, pages are joined by host.
 BROADCAST_HOSTS = 50_000
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+|[^>]*)>", re.S)
+_OPEN = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*))")
+_REST = re.compile(r"([^>\"'<]*+(?:\"[^\"<>]*+\"[^>\"'<]*+|'[^'<>]*+'[^>\"'<]*+)*+)>")
+_MARK = re.compile(r"[>\"']")
 _ATTR = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _SPACE = re.compile(r"\s+")
 
@@ -50,7 +56,7 @@ _SPACE = re.compile(r"\s+")
 class Node:
     """A container: label, name, whether its marks say it is no article, children (nodes and texts)."""
 
-    __slots__ = ("children", "header", "label", "name", "outside")
+    __slots__ = ("children", "deep", "header", "label", "name", "outside")
 
     def __init__(self, name: str, attributes: str = ""):
         names: list[str] = []
@@ -62,49 +68,125 @@ class Node:
             else:
                 names += value.split()
         parts = {p for n in names for p in re.split(r"[-_:.]+", n)}
-        self.name, self.children = name, []
+        self.name, self.children, self.deep = name, [], False
         self.label = ".".join([name, *sorted(re.sub(r"\d+", "0", n) for n in set(names))])
         self.outside = name in ASIDE_TAGS or role in ASIDE_ROLES or bool(parts & ASIDE_NAMES)
         self.header = name == "header" or bool(parts & HEADER_NAMES)
 
+    def again(self) -> Node:
+        """A container of the same label and marks, without children."""
+        other = Node(self.name)
+        other.label, other.outside, other.header, other.deep = self.label, self.outside, self.header, self.deep
+        return other
+
+
+class Tags:
+    """Finds the tags of a page in time that grows with its length alone."""
+
+    def __init__(self, source: str):
+        self.source, self.last, self.spent, self.missing = source, source.rfind(">"), 0, set()
+
+    def end(self, at: int) -> int:
+        """Where the tag ends whose attributes begin at ``at``: at the first > outside quotes, or, where
+        quotes don't close, at the first one of all. What is read in vain is counted, and after some
+        times the page's length quotes are not looked at any more."""
+        place = at
+        while self.spent <= 8 * len(self.source) and (m := _MARK.search(self.source, place)):
+            if m[0] == ">":
+                return m.start()
+            place = self.source.find(m[0], m.end()) + 1
+            if not place:
+                break
+        self.spent += len(self.source) - at
+        return self.source.find(">", at)
+
+    def __iter__(self):
+        """(start, end, name in lower case or empty, whether it closes, attributes) of each tag and comment.
+        ``skip`` moves the end."""
+        self.at = 0
+        while m := _OPEN.search(self.source, self.at):
+            if m[1]:
+                stop = self.source.find("-->", m.end())
+                self.at = stop + 3 if stop >= 0 else len(self.source)
+                yield m.start(), self.at, "", False, ""
+                continue
+            if m.end() > self.last:
+                return
+            if m[2]:
+                self.at = self.source.find(">", m.end()) + 1
+                yield m.start(), self.at, "", False, ""
+                continue
+            rest = _REST.match(self.source, m.end())
+            stop = rest.end() - 1 if rest else self.end(m.end())
+            self.at = stop + 1
+            yield m.start(), self.at, m[4].lower(), bool(m[3]), rest[1] if rest else self.source[m.end() : stop]
+
+    def skip(self, name: str) -> bool:
+        """Moves behind the end tag of a raw element, if there is one."""
+        if name in self.missing:
+            return False
+        end = _RAW_ENDS[name].search(self.source, self.at)
+        if end is None:
+            self.missing.add(name)
+            return False
+        self.at = end.end()
+        return True
+
+
+_RAW_ENDS = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
+
 
 def parse(source: str) -> Node:
-    """The tree of a page. Forgiving: unknown ends are ignored, open elements end with their parent."""
-    root = Node("#root")
+    """The tree of a page. Forgiving: unknown ends are ignored, open elements end with their parent.
+    Takes time in proportion to the page, whatever is nested or left open in it."""
+    root, tags = Node("#root"), Tags(source)
     stack, held, at = [root], [], 0
+    open_names: Counter = Counter()
 
     def flush() -> None:
         if held:
             text = _SPACE.sub(" ", html.unescape("".join(held))).strip()
             held.clear()
             if text:
-                stack[-1].children.append(text)
-
-    while m := _TAG.search(source, at):
-        held.append(source[at : m.start()])
-        at = m.end()
-        name = (m[2] or "").lower()
+                node = stack[-1]
+                if node.deep and stack[MOST_DEPTH].children[-1] is not node:  # a neighbour came in between
+                    node = stack[-1] = node.again()
+                    stack[MOST_DEPTH].children.append(node)
+                node.children.append(text)
+
+    for start, end, name, closing, attributes in tags:
+        held.append(source[at:start])
+        at = end
         if not name:
             continue
-        closing = bool(m[1])
         if name in RAW:
-            if not closing and not m[3].endswith("/"):
-                end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(source, at)
-                at = end.end() if end else len(source) if name in ("script", "style") else at
+            if not closing and not attributes.endswith("/"):
+                if tags.skip(name):
+                    at = tags.at
+                elif name in ("script", "style"):
+                    at = tags.at = len(source)
         elif name in CONTAINERS:
             flush()
             if not closing:
-                if m[3].endswith("/"):
+                if attributes.endswith("/"):
                     continue
-                node = Node(name, m[3])
-                stack[-1].children.append(node)
+                node = Node(name, attributes)
+                if len(stack) > MOST_DEPTH:
+                    node.deep, above = True, stack[-1]
+                    if above.deep and not is_article(node):
+                        node.outside, node.header = node.outside or above.outside, node.header or above.header
+                    stack[MOST_DEPTH].children.append(node)
+                else:
+                    stack[-1].children.append(node)
                 stack.append(node)
-            else:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].name == name:
-                        del stack[i:]
+                open_names[name] += 1
+            elif open_names[name]:
+                while True:
+                    gone = stack.pop().name
+                    open_names[gone] -= 1
+                    if gone == name:
                         break
-        elif name in BLOCKS or name in ("head",):
+        elif name in BLOCKS or name == "head":
             flush()
         elif name == "br":
             held.append(" ")
@@ -141,15 +223,15 @@ def text_hash(text: str) -> str:
 
 
 def wrapper_of(node: Node, in_article: bool = False) -> dict:
-    """The wrapper of one page's tree: l(abel), x (left out), c(hildren) as [wrapper or slot,
-    optional, repeated]; a slot has n (pages), m (characters), h (hash of its text, or None when it
-    differs between pages)."""
+    """The wrapper of one page's tree: l(abel), x (left out), a (an article lies below), c(hildren) as
+    [wrapper or slot, optional, repeated]; both have n (pages) and h (hash of the text, of a wrapper
+    that of all below, or None when it differs between pages)."""
     children, texts = [], []
 
     def slot() -> None:
         if texts:
             joined = "\n\n".join(texts)
-            children.append([{"n": 1, "m": len(joined), "h": text_hash(joined)}, False, False])
+            children.append([{"n": 1, "h": text_hash(joined)}, False, False])
             texts.clear()
 
     inside = in_article or is_article(node)
@@ -160,7 +242,28 @@ def wrapper_of(node: Node, in_article: bool = False) -> dict:
             slot()
             children.append([wrapper_of(child, inside), False, False])
     slot()
-    return {"l": node.label, "x": left_out(node, in_article), "c": folded(children)}
+    below = any(c[0].get("a") or label(c).split(".")[0] in ("article", "main") for c in children)
+    return {"l": node.label, "x": left_out(node, in_article), "a": below, "n": 1, "h": hash_below(children), "c": folded(children)}
+
+
+def hash_below(children: list[list]) -> str:
+    """The hash of a container's text, from those of its children."""
+    return text_hash(" ".join(f"{label(c)} {c[0]['h']}" for c in children))
+
+
+def hash_of(node: Node) -> str:
+    """The same, from the tree."""
+    children, texts = [], []
+    for child in [*node.children, None]:
+        if isinstance(child, str):
+            texts.append(child)
+            continue
+        if texts:
+            children.append([{"h": text_hash("\n\n".join(texts))}])
+            texts = []
+        if child:
+            children.append([{"l": child.label, "h": hash_of(child)}])
+    return hash_below(children)
 
 
 def label(item: list) -> str:
@@ -185,15 +288,26 @@ def folded(items: list[list]) -> list[list]:
 
 def merged(a: dict, b: dict, same_page: bool = False) -> dict:
     """The wrapper that covers two wrappers of the same label."""
+    both = {"n": a["n"] + (0 if same_page else b["n"]), "h": a["h"] if a["h"] == b["h"] and not same_page else None}
     if "l" not in a:
-        return {"n": a["n"] + (0 if same_page else b["n"]), "m": a["m"] + b["m"], "h": a["h"] if a["h"] == b["h"] and not same_page else None}
-    return {"l": a["l"], "x": a["x"] and b["x"], "c": aligned(a["c"], b["c"])}
+        return both
+    return {"l": a["l"], "x": a["x"] and b["x"], "a": a["a"] or b["a"], "c": aligned(a["c"], b["c"])} | both
 
 
 def aligned(a: list[list], b: list[list]) -> list[list]:
     """Aligns two sequences on their longest common subsequence of labels; the rest is optional."""
     if [label(x) for x in a] == [label(x) for x in b]:
         pairs = [(i, i) for i in range(len(a))]
+    elif len(a) * len(b) > MOST_CELLS:
+        pairs, places, j = [], {}, 0
+        for k, x in enumerate(b):
+            places.setdefault(label(x), []).append(k)
+        for i, x in enumerate(a):  # each with the next place of its label
+            own = places.get(label(x), [])
+            k = bisect_left(own, j)
+            if k < len(own):
+                pairs.append((i, own[k]))
+                j = own[k] + 1
     else:
         best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
         for i in range(len(a) - 1, -1, -1):
@@ -230,7 +344,7 @@ def folded_optional(items: list[list]) -> list[list]:
 
 def template(w: dict) -> dict:
     """The template texts of a host's wrapper by their places: for each container on the way, and for
-    the slot at the end, its number among the neighbours of its label and the label; a slot has the
+    the slot or container at the end, its number among the neighbours of its label and the label, with the
     hash of its text. A place counts if every page has it once and so has all of its label before it,
     so it is the same in each page of the host. Nothing inside an article element is template, nor
     is anything where no text differs between pages."""
@@ -248,12 +362,16 @@ def template(w: dict) -> dict:
             if optional or repeated:
                 unsure.add(name)
             here = sure and name not in unsure
+            same = child["h"] is not None and child["n"] >= TEMPLATE_PAGES
             if "l" not in child:
-                if child["h"] is None:
-                    varied = True
-                elif here and child["n"] >= TEMPLATE_PAGES:
+                varied = varied or child["h"] is None
+                if here and same:
                     out[place] = child["h"]
-            elif not child["x"] and (below := walk(child, here and name.split(".")[0] != "article")):
+            elif child["x"]:
+                continue
+            elif here and same and not child["a"] and name.split(".")[0] not in ("article", "main"):
+                out[place] = child["h"]
+            elif below := walk(child, here and name.split(".")[0] != "article"):
                 out[place] = below
         return out
 
@@ -291,8 +409,8 @@ def main_text(source: str, fixed: dict | None) -> str:
             else:
                 close()
                 below = place(child.label)
-                if not left_out(child, inside):
-                    take(child, inside, shut, below or {})
+                if not left_out(child, inside) and not (isinstance(below, str) and below == hash_of(child)):
+                    take(child, inside, shut, below if isinstance(below, dict) else {})
         close()
 
     take(parse(source), False, False, fixed or {})
@@ -348,8 +466,8 @@ def extract(df: DataFrame, key: str = "page_id", url: str = "url", source: str =
     feeds, empty if none) and n_chars (its code points).
 
     A null page counts as empty; pages without a url share the wrapper of an empty host; a host's
-    only page is its own wrapper; repeated rows give repeated rows; broken markup is read
-    forgivingly and never fails. Other columns are not read.
+    only page is its own wrapper; repeated rows give repeated rows; broken, unclosed or deeply nested
+    markup is read forgivingly, in time that grows with the page. Other columns are not read.
     """
     picked = df.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("html"), F.col(url).cast("string").alias("url"), F.coalesce(F.regexp_extract(F.lower(url), HOST, 1), F.lit("")).alias("host"))
     scratch = Scratch(df.sparkSession, "html-text")

@@ -1,5 +1,8 @@
 """Cases in which an operator once did less than the whole job."""
 
+import json
+import time
+
 import numpy as np
 import pytest
 
@@ -80,3 +83,26 @@ def test_the_model_beats_the_base_whatever_is_exchanged_or_joined(spark, small):
     of = lambda **o: class_lm.score(docs, **o).where("held_out").groupBy().sum("score", "base_score").first()
     few, usual, cold = of(own_words=20), of(), of(hot_words=300, own_words=100)
     assert min(few[0], usual[0], cold[0]) > usual[1]
+
+
+@pytest.mark.parametrize("page", ["<div>" * 100_000 + "x" + "</div>" * 10, "<p>x<p>" + "<a " * 350_000, "x" + "<a \"'" * 200_000 + ">", "<svg>x" * 100_000, "<div>" * 30_000 + "</p></nav>x" * 30_000, "<a<a" * 200_000 + ">x"])
+def test_broken_pages_take_no_longer_than_others(page):
+    began = time.process_time()
+    tree = html_text.parse(page)
+    wrapper = html_text.merged(html_text.wrapper_of(tree), html_text.wrapper_of(tree))
+    json.loads(json.dumps(wrapper))
+    assert "x" in html_text.main_text(page, html_text.template(wrapper)) and time.process_time() - began < 20
+
+
+def test_deep_containers_keep_marks_and_order():
+    deep = "<div>" * 150
+    page = f"{deep}one<nav>menu<div>more menu</div></nav>two<form>search<article>three</article></form><section>four</section>five" + "</div>" * 150 + "six"
+    assert html_text.main_text(page, None) == "\n\n".join(["one", "two", "three", "four", "five", "six"])
+
+
+@pytest.mark.parametrize("n", [3, 8, 15])
+def test_wrappers_of_small_hosts_without_helpful_names(spark, n):
+    page = "<body><div class=a1><div>The Daily</div><div><a>Home</a> <a>World</a></div></div><div class=b2><div>Title {i}</div><div>Body {i} {words}</div>{more}</div><div class=c3>Imprint and terms</div></body>"
+    got = main_texts(spark, [page.format(i=i, words="word " * (i + 1), more="<div>Update</div>" if i == 1 else "") for i in range(n)])
+    for i in range(n):
+        assert got[i].split("\n\n") == [f"Title {i}", f"Body {i} {'word ' * (i + 1)}".strip(), *(["Update"] if i == 1 else [])]
