@@ -106,3 +106,46 @@ def test_wrappers_of_small_hosts_without_helpful_names(spark, n):
     got = main_texts(spark, [page.format(i=i, words="word " * (i + 1), more="<div>Update</div>" if i == 1 else "") for i in range(n)])
     for i in range(n):
         assert got[i].split("\n\n") == [f"Title {i}", f"Body {i} {'word ' * (i + 1)}".strip(), *(["Update"] if i == 1 else [])]
+
+
+LATER = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+
+
+@pytest.mark.parametrize("text, want", [
+    (LATER.format(2), ["GPL-2.0-or-later"]), (LATER.format(3), ["GPL-3.0-or-later"]), (LATER.format(2).replace("General", "Lesser General"), []),
+    ("This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.", ["CC-BY-NC-SA-4.0"]),
+    ("This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 2.0 International License.", []),
+    ("Distributed under the MIT License.", ["MIT"]), ("SPDX-License-Identifier: Apache-2.0", ["Apache-2.0"]), ("License: CC-BY-4.0", ["CC-BY-4.0"]),
+    ("Licensed under the BSD 2-Clause License.", ["BSD-2-Clause"]), ("Licensed under the BSD 4-Clause License.", []),
+    ("This work is not licensed under the MIT License.", []), ("Licensed under CC BY 2.5.", []), ("Licensed under the Apache License, Version 1.1.", []),
+    ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 1.1.", []), ("It was never licensed. The poet had license to speak.", []),
+    ("\n\n".join(t for n, t in licenses.TEXTS if n == "MIT"), ["MIT"] * 3),
+])
+def test_versions_and_conditions_part_licenses(text, want):
+    assert [f[2] for f in SCANNER.scan(f"Before it.\n\n{text}\n\nAfter it.")] == want
+
+
+def test_reworded_statements_by_precision_and_recall():
+    """Each statement with one word put in or left out that doesn't tell licenses apart, and each with the
+    version or a condition changed."""
+    found = right = wrong = 0
+    longer = [(n, t) for n, t in licenses.TEMPLATES if len(licenses.words_of(t)) >= 10 and "<any>" not in t][::7]
+    for name, text in longer:
+        words = text.split(" ")
+        softer = " ".join([*words[:3], "hereby", *words[3:]])
+        got = SCANNER.scan(softer)
+        found, right = found + bool(got), right + any(g[2] == name for g in got)
+        for a, b in (("2.", "7."), ("3", "8"), ("4.", "9."), ("NonCommercial", "Commercial")):
+            if a in text:
+                wrong += any(len(licenses.words_of(text[g[0] : g[1]])) > 8 for g in SCANNER.scan(text.replace(a, b)))
+    assert len(longer) > 30 and right >= 0.95 * len(longer) and right == found and not wrong
+
+
+def test_ranking_is_by_compression():
+    ranked = SCANNER.ranked("This work is licensed under the GNU General Public License, version 3.")
+    saved = [s for s, _ in ranked]
+    assert saved == sorted(saved, reverse=True) and len(ranked) == len(licenses.TEMPLATES)
+    assert any("GNU General Public License" in licenses.TEMPLATES[i][1] for _, i in ranked[:3])
+
+
+SCANNER = licenses.Scanner()
