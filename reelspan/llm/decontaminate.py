@@ -8,8 +8,9 @@ as leaked when the tiles cover enough of it.
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
-from functools import lru_cache
+from functools import lru_cache, reduce
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -22,9 +23,11 @@ from reelspan.llm.common import Scratch, map_arrow, slices
 
 #: Words of a seed and of the shortest tile; share of an item's words that tiles must cover.
 SEED_WORDS, COVERAGE = 5, 0.5
-#: Bytes of benchmark text that are sent to the executors at once, and such chunks in one pass over
-#: the documents; more items take more passes.
-CHUNK_BYTES, CHAINED = 16 << 20, 8
+#: Bytes of benchmark text that are sent to the executors at once, in one pass over the documents; more
+#: items take more passes. Pairs whose tiling a task remembers, and the longest of these in words.
+CHUNK_BYTES, REMEMBERED, LONGEST = 16 << 20, 4096, 2048
+#: Characters of scripts without spaces between words; each is a word.
+_LONE = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 
 _GAPS = bytes(b if b > 127 or chr(b).isalnum() else 32 for b in range(256))
 _BASE, _PRIME = 1_000_003, (1 << 61) - 1
@@ -34,7 +37,10 @@ _HIT_ARROW = pa.list_(pa.struct([("item_id", pa.int64()), ("item_words", pa.int6
 
 
 def words_of(text: str) -> list[bytes]:
-    """Lower-case words; ASCII marks part words, other characters do not."""
+    """Lower-case words; ASCII marks part words, other characters do not. A character of a script that
+    puts no spaces between words (Han, kana, Thai, Lao, Khmer, Burmese) is a word."""
+    if not text.isascii():
+        text = _LONE.sub(r" \g<0> ", text)
     return text.lower().encode().translate(_GAPS).split()
 
 
@@ -106,7 +112,7 @@ class Index:
     def __init__(self, items: list[tuple[int, str]]):
         self.vocab: dict[bytes, int] = {}
         self.items = []
-        keys, owners = [], []
+        keys, owners, places = [], [], []
         for number, (_, text) in enumerate(items):
             ids = [self.vocab.setdefault(w, len(self.vocab)) for w in words_of(text)]
             self.items.append(ids)
@@ -114,11 +120,14 @@ class Index:
                 seeds = self.seeds(np.array(ids, dtype=np.int64))
                 keys.append(seeds)
                 owners.append(np.full(len(seeds), number))
+                places.append(np.arange(len(seeds)))
         self.ids = [i for i, _ in items]
-        keys_, owners_ = (np.concatenate(keys), np.concatenate(owners)) if keys else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        if not keys:
+            keys, owners, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        keys_ = np.concatenate(keys)
         order = np.argsort(keys_, kind="stable")
-        self.keys, self.owners = keys_[order], owners_[order]
-        self.tile = lru_cache(maxsize=4096)(self._tile)
+        self.keys, self.owners, self.places = keys_[order], np.concatenate(owners)[order], np.concatenate(places)[order]
+        self.remembered = lru_cache(maxsize=REMEMBERED)(self._tile)
 
     @staticmethod
     def seeds(ids: np.ndarray) -> np.ndarray:
@@ -129,6 +138,10 @@ class Index:
             out ^= out >> np.uint64(29)
         return out
 
+    def tile(self, number: int, doc: tuple[int, ...]) -> tuple[int, int]:
+        """(covered words, tiles) of an item in the part of a document that shares seeds with it."""
+        return self.remembered(number, doc) if len(doc) <= LONGEST else self._tile(number, doc)
+
     def _tile(self, number: int, doc: tuple[int, ...]) -> tuple[int, int]:
         found = tiles(self.items[number], list(doc))
         return sum(n for _, _, n in found), len(found)
@@ -144,14 +157,28 @@ class Index:
         if not len(whole):
             return []
         keys = self.seeds(ids)[whole]
-        low, high = np.searchsorted(self.keys, keys, "left"), np.searchsorted(self.keys, keys, "right")
-        places: dict[int, list[int]] = defaultdict(list)
-        for k in np.flatnonzero(high > low).tolist():
-            for owner in set(self.owners[low[k] : high[k]].tolist()):
-                places[owner].append(int(whole[k]))
+        distinct, place = np.unique(keys, return_inverse=True)
+        low, high = np.searchsorted(self.keys, distinct, "left"), np.searchsorted(self.keys, distinct, "right")
+        n = high - low
+        which = np.repeat(np.arange(len(distinct)), n)  # each distinct seed with each of its places in items
+        if not len(which):
+            return []
+        here = np.repeat(low - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(len(which))
+        order = np.argsort(self.owners[here], kind="stable")
+        owners, inside, which = self.owners[here][order], self.places[here][order], which[order]
+        bounds = np.flatnonzero(np.r_[True, owners[1:] != owners[:-1], True]).tolist()
         out = []
-        for owner, starts in sorted(places.items()):
+        for k, m in zip(bounds[:-1], bounds[1:], strict=True):
+            owner = int(owners[k])
             need = coverage * len(self.items[owner])
+            if reach(inside[k:m]) < need:
+                continue  # tiles cover no more than seeds do
+            wanted = np.zeros(len(distinct), dtype=bool)
+            wanted[which[k:m]] = True
+            starts = whole[wanted[place]]
+            if reach(starts) < need:
+                continue
+            starts = starts.tolist()
             part, end = [], 0
             for start in starts:
                 if start > end and part:
@@ -164,6 +191,12 @@ class Index:
         return out
 
 
+def reach(starts: np.ndarray) -> int:
+    """How many words the seeds that begin at these places cover."""
+    starts = np.unique(starts)
+    return int(np.minimum(np.diff(starts), SEED_WORDS).sum()) + SEED_WORDS
+
+
 def chunks(benchmark: DataFrame, key: str, text: str, limit: int):
     """The items in groups whose text is at most ``limit`` bytes (one item may be longer)."""
     picked = benchmark.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).dropDuplicates()
@@ -174,45 +207,46 @@ def chunks(benchmark: DataFrame, key: str, text: str, limit: int):
         yield sorted(((r["k"], r["t"]) for r in share.collect()), key=lambda r: (r[0] is None, r))
 
 
-def with_hits(df: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", coverage: float = COVERAGE, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """``df`` with all its columns and one more, HITS: the items leaked in each row's text.
-
-    The benchmark is sent to the executors in chunks of bounded size, and the documents stream
-    through CHAINED of them in a pass without a shuffle; between passes they are written."""
-    place = df.columns.index(text)
-    out, scratch = df.withColumn(HITS, F.array().cast(HIT_TYPE)), Scratch(df.sparkSession, "tiling")
-    for number, items in enumerate(chunks(benchmark, item_key, item_text, chunk_bytes)):
-        if number and number % CHAINED == 0:
-            out = scratch.keep(out, f"pass-{number}")
-        shared = df.sparkSession.sparkContext.broadcast(items)
+def with_hits(df: DataFrame, items: list[tuple], text: str = "text", coverage: float = COVERAGE) -> DataFrame:
+    """``df`` with all its columns and one more, HITS: those of the benchmark's ``items``, a chunk of
+    bounded size, that leak into each row's text. One pass without a shuffle, one index in a task."""
+    place, shared = df.columns.index(text), df.sparkSession.sparkContext.broadcast(items)
+    schema = T.StructType([*df.schema.fields, T.StructField(HITS, HIT_TYPE)])
 
-        def run(batches, shared=shared):
-            index = Index(shared.value)
-            for batch in batches:
-                for piece in slices(batch, place):
-                    bodies = piece.column(place).to_pylist()
-                    before = piece.column(piece.num_columns - 1).to_pylist()
-                    hits = [[*b, *(index.hits(t, coverage) if t else ())] for t, b in zip(bodies, before, strict=True)]
-                    yield pa.RecordBatch.from_arrays([*piece.columns[:-1], pa.array(hits, _HIT_ARROW)], names=piece.schema.names)
+    def run(batches):
+        index = Index(shared.value)
+        for batch in batches:
+            for piece in slices(batch, place):
+                hits = [index.hits(t, coverage) if t else [] for t in piece.column(place).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(hits, _HIT_ARROW)], names=[*piece.schema.names, HITS])
 
-        out = map_arrow(out, run, out.schema)
-    return out
+    return map_arrow(df, run, schema)
 
 
-def contamination(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+def contamination(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", coverage: float = COVERAGE, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """One row for each document and benchmark item that it leaks: key, item_id, item_words,
     covered_words, n_tiles, coverage. Clean documents have no row.
 
-    Null and empty texts leak nothing, neither do items of fewer than five words (they would flag
-    common phrases). Items with equal text each have their row; repeated rows of ``df`` give
-    repeated rows; repeated (item, text) rows of the benchmark count once. Other columns of either
-    table are not read. Covered words are those of the item, each counted once.
+    Keys are numbers; a key that can't be cast to long is an error. Null and empty texts leak nothing,
+    neither do items of fewer than five words (they would flag common phrases). Items with equal text
+    each have their row; repeated rows of ``df`` give repeated rows; repeated (item, text) rows of the
+    benchmark count once. Other columns of either table are not read. Covered words are those of the
+    item, each counted once. A benchmark beyond ``chunk_bytes`` is looked for chunk by chunk, each in
+    a pass of its own over the documents.
     """
     picked = df.select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias(text))
-    hits = with_hits(picked, benchmark, text, **options).select(key, F.explode(HITS).alias("h"))
+    found = [with_hits(picked, items, text, coverage).select(key, F.explode(HITS).alias("h")) for items in chunks(benchmark, item_key, item_text, chunk_bytes)]
+    hits = reduce(DataFrame.unionByName, found)
     return hits.select(key, "h.item_id", "h.item_words", "h.covered_words", "h.n_tiles", (F.col("h.covered_words") / F.col("h.item_words")).alias("coverage"))
 
 
-def remove_leaks(df: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
-    """The rows of ``df``, all columns, that leak no benchmark item."""
-    return with_hits(df, benchmark, text, **options).where(F.size(HITS) == 0).drop(HITS)
+def remove_leaks(df: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", coverage: float = COVERAGE, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """The rows of ``df``, all columns, that leak no benchmark item; after each chunk of the benchmark
+    but the last what is kept is written."""
+    scratch, before = Scratch(df.sparkSession, "tiling"), None
+    for number, items in enumerate(chunks(benchmark, item_key, item_text, chunk_bytes)):
+        if before is not None:
+            df = scratch.keep(df, f"pass-{number}")
+            scratch.drop(before)
+        before, df = f"pass-{number}", with_hits(df, items, text, coverage).where(F.size(HITS) == 0).drop(HITS)
+    return df

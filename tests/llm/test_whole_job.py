@@ -1,12 +1,13 @@
 """Cases in which an operator once did less than the whole job."""
 
 import json
+import random
 import time
 
 import numpy as np
 import pytest
 
-from reelspan.llm import class_lm, html_text, licenses
+from reelspan.llm import class_lm, decontaminate, html_text, licenses
 from reelspan.llm.common import Scratch
 
 
@@ -148,4 +149,37 @@ def test_ranking_is_by_compression():
     assert any("GNU General Public License" in licenses.TEMPLATES[i][1] for _, i in ranked[:3])
 
 
+def test_whole_decontamination_equals_brute_force(spark, small):
+    """All rows against plain tilings of every pair that shares a seed, in one chunk and in several."""
+    docs, bench = spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/benchmark.parquet")
+    rng, items = random.Random(6), [(r["item_id"], r["text"]) for r in bench.collect()]
+    mixed = []
+    for n, (_, text) in enumerate(items[:40]):
+        words = text.split()
+        parts = [words[i : i + rng.randint(2, 12)] for i in range(0, len(words), rng.randint(3, 12))]
+        rng.shuffle(parts)
+        mixed.append((10_000 + n, "and so ".join(" ".join(p) + " " for p in parts[: rng.randint(1, len(parts))])))
+    docs = docs.select("doc_id", "text").union(spark.createDataFrame([*mixed, (20_009, "a " * 300)], "doc_id long, text string"))
+    bench = bench.select("item_id", "text").union(spark.createDataFrame([(-1, "a a a a a a a a"), (-2, "一二三四五六七八")], "item_id long, text string"))
+    docs = docs.union(spark.createDataFrame([(20_008, "他说一二三四五六七八的")], "doc_id long, text string"))
+    seqs = {r["item_id"]: decontaminate.words_of(r["text"]) for r in bench.collect()}
+    five = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    seeds, want, number = {i: five(w) for i, w in seqs.items()}, set(), {}
+    for r in docs.collect():
+        words = decontaminate.words_of(r["text"] or "")
+        own = five(words)
+        for i, w in seqs.items():
+            if own & seeds[i]:
+                ids = [[number.setdefault(x, len(number)) for x in y] for y in (w, words)]
+                covered = sum(n for _, _, n in decontaminate.tiles(*ids))
+                if covered >= 0.5 * len(w):
+                    want.add((r["doc_id"], i, covered))
+    for size in (1 << 24, 4000):
+        got = {(r["doc_id"], r["item_id"], r["covered_words"]) for r in decontaminate.contamination(docs, bench, chunk_bytes=size).collect()}
+        assert got == want
+    assert {d for d, _, _ in want} >= {20_008, 20_009}
+    left = {r["doc_id"] for r in decontaminate.remove_leaks(docs, bench, chunk_bytes=4000).collect()}
+    assert left == {r["doc_id"] for r in docs.collect()} - {d for d, _, _ in want}
+
+
 SCANNER = licenses.Scanner()
