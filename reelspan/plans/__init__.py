@@ -1 +1,3 @@
 """Prompt plans and the query catalogue."""
+
+from reelspan.plans import catalogue, cases  # noqa: F401  (both register queries)

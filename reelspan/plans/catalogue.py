@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelspan.functions import keys as K
-from reelspan.functions import rules, text
+from reelspan.functions import text
 from reelspan.operators import aggregates as A
 from reelspan.operators import entities as E
 from reelspan.operators import intervals as I
@@ -117,18 +117,10 @@ def context_semi(spark: SparkSession, d: str) -> DataFrame:
     return I.within_padding(segments_of(spark, d), ranges_of(spark, d))
 
 
-@query(f"""{BASE}, shown AS (SELECT *, '[' || printf('%.2f', start_sec) || 's-' || printf('%.2f', end_sec) || 's] ' || text AS line FROM segments),
-run AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY video_id ORDER BY seg_no) AS total FROM shown)
-SELECT video_id, seg_no::BIGINT AS seg_no, total::BIGINT AS running_chars, total >= 8000 AS cut FROM run WHERE total - length(line) - 1 < 8000""")
-def context_budget(spark: SparkSession, d: str) -> DataFrame:
-    """Segments whose lines fit into a budget of 8,000 characters."""
-    return T.within_budget(segments_of(spark, d), 8000).select("video_id", "seg_no", F.col("running_chars").cast("long").alias("running_chars"), "cut")
-
-
 @query(f"""{BASE}, shown AS (SELECT *, '[' || printf('%.2f', start_sec) || 's-' || printf('%.2f', end_sec) || 's] ' || text AS line FROM segments),
 run AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY video_id ORDER BY seg_no) AS total FROM shown)
 SELECT video_id, seg_no::BIGINT AS seg_no, total::BIGINT AS running_chars, total >= {text.MOST_CONTEXT_CHARS} AS cut FROM run WHERE total - length(line) - 1 < {text.MOST_CONTEXT_CHARS}""")
-def context_budget_whole(spark: SparkSession, d: str) -> DataFrame:
+def context_budget(spark: SparkSession, d: str) -> DataFrame:
     """Segments whose lines fit into the budget of the operator, 60,000 characters."""
     return T.within_budget(segments_of(spark, d)).select("video_id", "seg_no", F.col("running_chars").cast("long").alias("running_chars"), "cut")
 
@@ -277,48 +269,6 @@ def name_counts(spark: SparkSession, d: str) -> DataFrame:
     return E.name_counts(segments_of(spark, d))
 
 
-@query()
-def top_names(spark: SparkSession, d: str) -> DataFrame:
-    """The best names of each video, merged where they overlap."""
-    return E.top_names(segments_of(spark, d))
-
-
-@query()
-def reference_facts(spark: SparkSession, d: str) -> DataFrame:
-    """Names, and whether a transcript depends on them."""
-    return E.reference_facts(segments_of(spark, d)).select("video_id", E.names_text("names").alias("names"), "pronoun_dependent", "unlock_method")
-
-
-PROMPT_SQL = "CASE doc_id % 4 WHEN 0 THEN 'OPUS_PROMPT: Find ' || lower(left(text, 300)) WHEN 1 THEN text WHEN 2 THEN 'Find the method and the roadmap: why they started, what minutes' ELSE '  ' END"
-
-
-def lit_sql(words: tuple[str, ...]) -> str:
-    """A SQL test for any of some phrases in ``low``."""
-    return "(" + " OR ".join("contains(low, '" + w.replace("'", "''") + "')" for w in words) + ")"
-
-
-ISSUES_SQL = [
-    ("prompt does not start with Find", "NOT starts_with(low, 'find ')"), ("too verbose for a predictable ClipAnything search prompt", "len(string_split(norm, ' ')) > 95"),
-    ("does not follow the expected 3-sentence maximum", "(length(norm) - length(replace(norm, '. ', ''))) / 2 > 2"), ("uses especially to append adjacent topics", "contains(low, 'especially')"),
-    ("uses a colon that may introduce a topic catalog", "contains(norm, ':')"), ("adds a second search target", lit_sql(("also look for", "also find"))),
-    ("uses too many OR alternatives", "(length(low) - length(replace(low, ' or ', ''))) / 4 >= 2"), ("looks like a topic catalog", "length(norm) - length(replace(norm, ',', '')) >= 7"), ("mixes method/routine with roadmap/progression", f"{lit_sql(rules.METHOD)} AND {lit_sql(rules.ROADMAP)}"),
-    ("mixes method, tools, and roadmap in one target", f"{lit_sql(rules.METHOD)} AND {lit_sql(rules.TOOLS)} AND {lit_sql(rules.ROADMAP)}"), ("mixes motivation/challenge with method/routine", f"{lit_sql(rules.METHOD)} AND {lit_sql(rules.MOTIVATION)}"),
-    ("mixes motivation, method, and roadmap", f"{lit_sql(rules.METHOD)} AND {lit_sql(rules.MOTIVATION)} AND {lit_sql(rules.ROADMAP)}"), ("too broad for the short clip preset", f"({lit_sql(rules.ROADMAP)} OR (length(low) - length(replace(low, ' and ', ''))) / 5 >= 5)"),
-    ("mentions duration or timestamps", lit_sql(("duration", "seconds", "minutes", "timestamps"))),
-]
-
-
-@query(rf"""WITH raw AS (SELECT doc_id AS video_id, {PROMPT_SQL} AS prompt FROM documents),
-payload AS (SELECT video_id, CASE WHEN starts_with(prompt, 'OPUS_PROMPT:') THEN regexp_replace(string_split(prompt, chr(10))[1], '^OPUS_PROMPT:', '') ELSE prompt END AS p FROM raw),
-norm AS (SELECT video_id, trim(regexp_replace(p, '\s+', ' ', 'g')) AS norm FROM payload), low AS (SELECT *, lower(norm) AS low FROM norm)
-SELECT video_id, CASE WHEN norm = '' THEN 'empty prompt' ELSE array_to_string(list_filter([{", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, c in ISSUES_SQL)}], lambda x: x IS NOT NULL), '; ') END AS issues FROM low""")
-def prompt_issues(spark: SparkSession, d: str) -> DataFrame:
-    """Findings of the prompt rules on prompts made from documents (section 2.9, C1 to C5)."""
-    docs = derived.table(spark, d, "documents").select(F.col("doc_id").alias("video_id"), F.expr("CASE doc_id % 4 WHEN 0 THEN concat('OPUS_PROMPT: Find ', lower(left(text, 300))) WHEN 1 THEN text WHEN 2 THEN 'Find the method and the roadmap: why they started, what minutes' ELSE '  ' END").alias("prompt"))
-    none = F.array().cast("array<string>")
-    return docs.select("video_id", F.array_join(rules.issues("prompt", F.lit("short_range_best_moment"), none, F.lit(False), F.lit(False)), "; ").alias("issues"))
-
-
 @query("""SELECT doc_id AS video_id, CASE WHEN lang = 'en' THEN 'en' ELSE 'auto' END AS prompt_language, CASE WHEN doc_id % 2 = 0 THEN lang ELSE 'pt' END AS language,
 CASE doc_id % 4 WHEN 1 THEN 'Short' WHEN 2 THEN 'Medium' WHEN 3 THEN 'Long' ELSE 'Auto' END AS preset, CASE doc_id % 4 WHEN 1 THEN 30.0 WHEN 2 THEN 60.0 WHEN 3 THEN 120.0 END::DOUBLE AS low_sec,
 CASE doc_id % 4 WHEN 1 THEN 60.0 WHEN 2 THEN 120.0 WHEN 3 THEN 180.0 END::DOUBLE AS high_sec FROM documents""")
@@ -509,37 +459,6 @@ def plan_render(spark: SparkSession, d: str) -> DataFrame:
     return docs.select(F.col("doc_id").alias("plan_id"), P.rendered_plan(P.plan_object(raw), F.lit("medium_range_one_or_more_clips"), F.lit("x")).alias("prompt"))
 
 
-@query()
-def prompt_ladder(spark: SparkSession, d: str) -> DataFrame:
-    """Prompts from cache, model, repair or fallback (J3, J5, J6, J12, J13): replies are whole texts,
-    repairs speak of the names; the second round finds in the cache what the first may store."""
-    requests = ladder_requests(spark, d)
-    said = lambda *parts: F.to_json(F.struct(F.concat(*parts).alias("output_text"))).alias("body")
-    replies = requests.select("request_id", said(F.lit("Find "), "text"))
-    repairs = requests.select("request_id", said(F.lit("Find one clear clip where the speaker explains "), F.array_join("names", " and "), F.lit(".")))
-    first = P.prompt_ladder(requests, replies, repairs)
-    stored = first.where("cacheable").select("request_id", F.col("prompt").alias("stored"))
-    again = requests.join(stored, "request_id", "left").withColumn("cached_prompt", F.coalesce("stored", "cached_prompt")).drop("stored")
-    return first.withColumn("round", F.lit(1)).unionByName(P.prompt_ladder(again, replies, repairs).withColumn("round", F.lit(2)))
-
-
-@query()
-def prompt_issues_whole(spark: SparkSession, d: str) -> DataFrame:
-    """Findings of all prompt rules on the whole text of every document, with the facts of its
-    transcript (section 2.9, C1 to C5)."""
-    docs = derived.table(spark, d, "documents").select(F.col("doc_id").alias("video_id"), F.col("text").alias("prompt"))
-    facts = ladder_requests(spark, d).select(F.col("request_id").alias("video_id"), "scope", "names", "pronoun_dependent", "unlock_method")
-    return docs.join(facts, "video_id", "left").select("video_id", F.array_join(rules.issues("prompt", "scope", "names", "pronoun_dependent", "unlock_method"), "; ").alias("issues"))
-
-
-def ladder_requests(spark: SparkSession, d: str) -> DataFrame:
-    """One request for each video, from its transcript."""
-    s = segments_of(spark, d)
-    overall = derived.table(spark, d, "documents").select(F.col("doc_id").alias("video_id"), F.lit(0.0).alias("range_start_sec"), F.lit(0.0).alias("range_end_sec"))
-    facts = E.reference_facts(s).join(A.selected_duration(s, ranges_of(spark, d), overall), "video_id")
-    return facts.select(F.col("video_id").alias("request_id"), F.lit("").alias("cached_prompt"), "scope", "may_have_no_clip", "text", "names", "pronoun_dependent", "unlock_method", F.array(F.lit("topic, and more")).alias("keywords"))
-
-
 @query()
 def input_prompts(spark: SparkSession, d: str) -> DataFrame:
     """Input texts rendered from a template for every video, digested."""
