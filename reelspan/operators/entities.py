@@ -7,7 +7,7 @@ in which merged names feed further merges; it runs in Arrow batches over one row
 
 from __future__ import annotations
 
-from itertools import combinations
+from collections import defaultdict
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -59,18 +59,32 @@ def merged(a: list[str], b: list[str]) -> list[str]:
 
 def grown(counts: dict[str, int]) -> dict[str, int]:
     """Adds merged names, as long as they are longer than both parts and have at most MOST_WORDS
-    words, with the sum of their counts, until nothing changes."""
-    counts = dict(counts)
-    changed = True
-    while changed:
-        changed = False
-        for a, b in combinations(sorted(counts), 2):
-            wa, wb = a.split(), b.split()
-            both = merged(wa, wb)
-            if max(len(wa), len(wb)) < len(both) <= MOST_WORDS:
-                name, n = " ".join(both), counts[a] + counts[b]
-                if counts.get(name, 0) < n:
-                    counts[name], changed = n, True
+    words, with the sum of their counts, until nothing changes.
+
+    A name can only be merged with one that holds its last word, or whose last word it holds, so names
+    meet by an index of their words. A merged name is longer than its parts, so its count is settled
+    when those of all shorter names are: each length is looked at once, in whatever order."""
+    counts, length = dict(counts), {n: len(n.split()) for n in counts}
+    holds: dict[str, set[str]] = defaultdict(set)
+    ends: dict[str, set[str]] = defaultdict(set)
+    for size in range(1, MOST_WORDS):
+        fresh = sorted(n for n in counts if length[n] == size)
+        for name in fresh:
+            parts = name.lower().split()
+            ends[parts[-1]].add(name)
+            for word in parts:
+                holds[word].add(name)
+        for name in fresh:  # with all that are no longer
+            parts = name.lower().split()
+            for other in sorted(holds[parts[-1]].union(*(ends[w] for w in parts))):
+                if other == name or length[other] == size and other > name:
+                    continue
+                a, b = sorted((name, other))
+                both = merged(a.split(), b.split())
+                if max(length[a], length[b]) < len(both) <= MOST_WORDS:
+                    new, n = " ".join(both), counts[a] + counts[b]
+                    if counts.get(new, 0) < n:
+                        counts[new], length[new] = n, len(both)
     return counts
 
 

@@ -1,10 +1,10 @@
 """Interval algebra over a time-stamped transcript.
 
 Tables: segments (video_id, seg_no, start_sec, end_sec, text), ranges (video_id, range_no,
-start_sec, end_sec), markers (video_id, marker_sec, marker_id). Every join has the equality on
-``video_id``, so it is a sort-merge or broadcast join with the overlap as residual condition and
-never a Cartesian product; windows partition by keys that begin with ``video_id`` and reuse its
-exchange. Overlap is strict: touching intervals do not overlap.
+start_sec, end_sec), markers (video_id, marker_sec, marker_id). Joins of times have the equality on
+``video_id`` and a stretch of time, with the overlap as residual condition, so only what lies near each
+other meets, however long a video is; windows partition by keys that begin with ``video_id``.
+Overlap is strict: touching intervals do not overlap.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 DEFAULT_CLIP_SEC = 90.0
 #: Marker distance that counts as equal, and pixels within which a marker is hit.
 SAME_MARKER_SEC, HIT_PIXELS = 0.01, 10.0
+#: Seconds of a stretch by which intervals are joined.
+STRETCH_SEC = 300.0
 
 
 def overlaps(a_start, a_end, b_start, b_end) -> Column:
@@ -48,8 +50,7 @@ def marker_ranges(markers: DataFrame, durations: DataFrame) -> DataFrame:
 def clip_to_first(segments: DataFrame, ranges: DataFrame) -> DataFrame:
     """Clips each segment to the first range, in list order, that it overlaps; others go. Videos
     without ranges keep their segments as they are."""
-    r = ranges.select("video_id", "range_no", F.col("start_sec").alias("from_sec"), F.col("end_sec").alias("to_sec"))
-    hit = segments.join(r, "video_id").where(overlaps("start_sec", "end_sec", "from_sec", "to_sec"))
+    hit = bucketed_overlaps(segments, ranges)
     first = hit.withColumn("nth", F.row_number().over(W.partitionBy("video_id", "seg_no").orderBy("range_no"))).where("nth = 1")
     clipped = first.select("video_id", "seg_no", F.greatest("start_sec", "from_sec").alias("start_sec"), F.least("end_sec", "to_sec").alias("end_sec"), "text")
     whole = segments.join(ranges.select("video_id").distinct(), "video_id", "left_anti").select("video_id", "seg_no", "start_sec", "end_sec", "text")
@@ -58,9 +59,9 @@ def clip_to_first(segments: DataFrame, ranges: DataFrame) -> DataFrame:
 
 def within_padding(segments: DataFrame, ranges: DataFrame, padding_sec: float = 60.0) -> DataFrame:
     """Segments that overlap a range widened on both sides (its start not below 0); a semi join."""
-    r = ranges.select("video_id", F.greatest(F.col("start_sec") - padding_sec, F.lit(0.0)).alias("from_sec"), (F.col("end_sec") + padding_sec).alias("to_sec"))
-    s, p = segments.alias("s"), r.alias("r")
-    return s.join(p, (F.col("s.video_id") == F.col("r.video_id")) & (F.col("s.end_sec") > F.col("r.from_sec")) & (F.col("s.start_sec") < F.col("r.to_sec")), "left_semi")
+    r = ranges.select("video_id", F.greatest(F.col("start_sec") - padding_sec, F.lit(0.0)).alias("start_sec"), (F.col("end_sec") + padding_sec).alias("end_sec"))
+    hit = bucketed_overlaps(segments.select("video_id", "seg_no", "start_sec", "end_sec"), r).select("video_id", "seg_no").distinct()
+    return segments.join(hit, ["video_id", "seg_no"], "left_semi")
 
 
 def coalesced(ranges: DataFrame, padding_sec: float = 0.0) -> DataFrame:
@@ -85,8 +86,7 @@ def compacted(ranges: DataFrame) -> DataFrame:
 def remapped(segments: DataFrame, ranges: DataFrame) -> DataFrame:
     """Clips each segment to every range that it overlaps and moves it to the compacted timeline.
     Overlapping ranges give a segment more than once. seg_no counts by range, then by segment."""
-    r = compacted(ranges.where("end_sec > start_sec")).select("video_id", "range_no", F.col("start_sec").alias("from_sec"), F.col("end_sec").alias("to_sec"), "new_start_sec")
-    hit = segments.join(r, "video_id").where(overlaps("start_sec", "end_sec", "from_sec", "to_sec"))
+    hit = bucketed_overlaps(segments, compacted(ranges.where("end_sec > start_sec")))
     shift = F.col("new_start_sec") - F.col("from_sec")
     number = F.row_number().over(W.partitionBy("video_id").orderBy("range_no", "seg_no")) - 1
     return hit.select("video_id", number.cast("long").alias("seg_no"), (F.greatest("start_sec", "from_sec") + shift).alias("start_sec"), (F.least("end_sec", "to_sec") + shift).alias("end_sec"), "text")
@@ -115,7 +115,7 @@ def without_range(markers: DataFrame, doomed: DataFrame) -> DataFrame:
     order = W.partitionBy("video_id").orderBy("marker_sec", "marker_id")
     ranked = markers.withColumn("nth", F.row_number().over(order) - 1)
     wanted = ranked.withColumn("range_no", F.floor(F.col("nth") / 2).cast("long")).join(doomed.select("video_id", "range_no").distinct(), ["video_id", "range_no"]).select("video_id", F.col("marker_sec").alias("gone_sec"), F.col("nth").alias("gone"))
-    near = ranked.join(wanted, "video_id").where(F.abs(F.col("marker_sec") - F.col("gone_sec")) < SAME_MARKER_SEC)
+    near = joined_nearby(ranked, "marker_sec", wanted, "gone_sec", SAME_MARKER_SEC).where(F.abs(F.col("marker_sec") - F.col("gone_sec")) < SAME_MARKER_SEC)
     first = near.withColumn("k", F.row_number().over(W.partitionBy("video_id", "gone").orderBy(F.abs(F.col("nth") - F.col("gone")), "nth"))).where("k = 1")
     return markers.join(first.select("video_id", "marker_id"), ["video_id", "marker_id"], "left_anti")
 
@@ -128,10 +128,11 @@ def markers_of(ranges: DataFrame) -> DataFrame:
 def range_at(points: DataFrame, ranges: DataFrame) -> DataFrame:
     """For each point (video_id, point_id, point_sec) the first range that holds it, both ends
     included; where none does, DEFAULT_CLIP_SEC from the point on with a null number."""
-    r = ranges.select("video_id", "range_no", "start_sec", "end_sec").alias("r")
-    p = points.select("video_id", "point_id", "point_sec").alias("p")
-    on = (F.col("p.video_id") == F.col("r.video_id")) & F.col("p.point_sec").between(F.col("r.start_sec"), F.col("r.end_sec"))
-    hit = p.join(r, on, "left").select("p.*", "r.range_no", "r.start_sec", "r.end_sec")
+    stretch = lambda c: F.floor(F.col(c) / STRETCH_SEC)
+    r = ranges.where("end_sec >= start_sec").select("video_id", "range_no", "start_sec", "end_sec", F.explode(F.sequence(stretch("start_sec"), stretch("end_sec"))).alias("stretch")).alias("r")
+    p = points.select("video_id", "point_id", "point_sec", stretch("point_sec").alias("stretch")).alias("p")
+    on = (F.col("p.video_id") == F.col("r.video_id")) & (F.col("p.stretch") == F.col("r.stretch")) & F.col("p.point_sec").between(F.col("r.start_sec"), F.col("r.end_sec"))
+    hit = p.join(r, on, "left").select("p.video_id", "p.point_id", "p.point_sec", "r.range_no", "r.start_sec", "r.end_sec")
     first = hit.withColumn("k", F.row_number().over(W.partitionBy("video_id", "point_id").orderBy("range_no"))).where("k = 1")
     return first.select("video_id", "point_id", "point_sec", "range_no", F.coalesce("start_sec", "point_sec").alias("start_sec"), F.coalesce("end_sec", F.col("point_sec") + DEFAULT_CLIP_SEC).alias("end_sec"))
 
@@ -139,14 +140,15 @@ def range_at(points: DataFrame, ranges: DataFrame) -> DataFrame:
 def nearest_marker(points: DataFrame, markers: DataFrame, tolerance: float) -> DataFrame:
     """For each point (video_id, point_id, point_sec) the nearest marker within ``tolerance``; of
     equally near ones the later. Points without one have no row."""
-    near = points.select("video_id", "point_id", "point_sec").join(markers.select("video_id", "marker_sec", "marker_id"), "video_id")
+    near = joined_nearby(points.select("video_id", "point_id", "point_sec"), "point_sec", markers.select("video_id", "marker_sec", "marker_id"), "marker_sec", tolerance)
     near = near.where(F.abs(F.col("marker_sec") - F.col("point_sec")) <= tolerance)
     best = F.min(F.struct(F.abs(F.col("marker_sec") - F.col("point_sec")).alias("d"), (-F.col("marker_sec")).alias("s"), (-F.col("marker_id")).alias("m"))).alias("best")
     return near.groupBy("video_id", "point_id").agg(best).select("video_id", "point_id", (-F.col("best.s")).alias("marker_sec"), (-F.col("best.m")).alias("marker_id"), F.col("best.d").alias("distance_sec"))
 
 
 def with_settings(paths: DataFrame, settings: DataFrame) -> DataFrame:
-    """Every pending path with the one reviewed row of settings, which is broadcast: one row."""
+    """Every pending path with the one reviewed row of settings, which is broadcast. One row is reviewed;
+    of a table with more any one is taken and the others are dropped."""
     return paths.crossJoin(F.broadcast(settings.limit(1)))
 
 
@@ -201,12 +203,22 @@ def positions(markers: DataFrame, durations: DataFrame) -> DataFrame:
     return markers.where(ok).join(d, "video_id", "left").select("video_id", sec.alias("marker_sec"), "marker_id")
 
 
-def bucketed_overlaps(segments: DataFrame, ranges: DataFrame, bucket_sec: float = 300.0) -> DataFrame:
-    """All pairs of a segment and a range that overlap, by (video, time bucket) instead of by video
-    alone, for videos so large that one of them would fill a task. A pair that shares several buckets
-    comes out of the first one only."""
-    span = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / bucket_sec), F.floor(F.col(b) / bucket_sec)))
-    s = segments.where("end_sec > start_sec").withColumn("bucket", span("start_sec", "end_sec"))
-    r = ranges.where("end_sec > start_sec").select("video_id", "range_no", F.col("start_sec").alias("from_sec"), F.col("end_sec").alias("to_sec")).withColumn("bucket", span("from_sec", "to_sec"))
-    first = F.greatest(F.floor(F.col("start_sec") / bucket_sec), F.floor(F.col("from_sec") / bucket_sec))
+def joined_nearby(left: DataFrame, at: str, right: DataFrame, to: str, tolerance: float) -> DataFrame:
+    """Pairs of a video whose times may be within ``tolerance`` (and some that are not): each row of
+    ``left`` meets the stretch of that length it lies in and both neighbours."""
+    width = max(tolerance, 1e-9) * 1.001
+    near = right.withColumn("stretch", F.explode(F.array(*[F.floor(F.col(to) / width) + k for k in (-1, 0, 1)])))
+    return left.withColumn("stretch", F.floor(F.col(at) / width)).join(near, ["video_id", "stretch"]).drop("stretch")
+
+
+def bucketed_overlaps(segments: DataFrame, ranges: DataFrame, bucket_sec: float = STRETCH_SEC) -> DataFrame:
+    """All pairs of a segment and a range that overlap, with the range's columns, its times as from_sec
+    and to_sec; joined by (video, stretch of time). A pair that shares several stretches comes out of
+    the first one only. What is empty or inverted overlaps as its ends say. Times are finite, and ranges
+    are no longer than their videos, as markers are clamped: each stretch that one touches is a row."""
+    span = lambda a, b: F.explode(F.sequence(F.floor(F.least(a, b) / bucket_sec), F.floor(F.greatest(a, b) / bucket_sec)))
+    s = segments.withColumn("bucket", span("start_sec", "end_sec"))
+    r = ranges.withColumnsRenamed({"start_sec": "from_sec", "end_sec": "to_sec"}).withColumn("bucket", span("from_sec", "to_sec"))
+    low = lambda a, b: F.floor(F.least(a, b) / bucket_sec)
+    first = F.greatest(low("start_sec", "end_sec"), low("from_sec", "to_sec"))
     return s.join(r, ["video_id", "bucket"]).where(overlaps("start_sec", "end_sec", "from_sec", "to_sec") & (F.col("bucket") == first)).drop("bucket")

@@ -58,8 +58,8 @@ BASE = f"WITH {SEGMENTS},{MARKERS},{RANGES}"
 
 
 def segments_of(spark: SparkSession, d: str) -> DataFrame:
-    """Segments of a data folder."""
-    return derived.segments(derived.table(spark, d, "documents"))
+    """Segments of a data folder, derived once."""
+    return derived.held(spark, d, "segments", lambda: derived.segments(derived.table(spark, d, "documents")))
 
 
 def markers_of(spark: SparkSession, d: str) -> DataFrame:
@@ -68,8 +68,8 @@ def markers_of(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ranges_of(spark: SparkSession, d: str) -> DataFrame:
-    """Ranges of a data folder's markers."""
-    return I.marker_ranges(markers_of(spark, d), derived.durations(segments_of(spark, d)))
+    """Ranges of a data folder's markers, derived once."""
+    return derived.held(spark, d, "ranges", lambda: I.marker_ranges(markers_of(spark, d), derived.durations(segments_of(spark, d))))
 
 
 def points_of(spark: SparkSession, d: str) -> DataFrame:

@@ -6,6 +6,9 @@ events; settings come from a document's language and number; sound is an embeddi
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -20,6 +23,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_held: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def held(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """What ``make`` derives from a data folder, worked out once in an application: the rows stay in
+    the executors' memory, or on their disks, and a lost part is worked out anew from its lineage."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _held:
+        _held[key] = make().persist(StorageLevel.MEMORY_AND_DISK)
+    return _held[key]
+
+
 def segments(documents: DataFrame) -> DataFrame:
     """(video_id, seg_no, start_sec, end_sec, text); blank lines have no segment."""
     lines = documents.select(F.col("doc_id").alias("video_id"), F.posexplode(F.split("text", "\n")).alias("seg_no", "line"))

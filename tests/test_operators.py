@@ -247,3 +247,46 @@ def test_empty_tables(spark):
     lengths = spark.createDataFrame([], "video_id long, duration_sec double")
     for df in (I.marker_ranges(mrk, lengths), I.clip_to_first(seg, rng), I.coalesced(rng), I.remapped(seg, rng), T.window_previews(seg), T.timeline_text(seg), E.top_names(seg), E.reference_facts(seg), A.range_totals(rng), A.transcript_totals(seg), store.marker_values(mrk)):
         assert df.count() == 0
+
+
+def test_one_very_long_video(spark):
+    """A million segments of one video: what is near meets, nothing else does."""
+    n = 1_000_000
+    seg = spark.range(n).select(F.lit(1).cast("long").alias("video_id"), F.col("id").alias("seg_no"), F.col("id").cast("double").alias("start_sec"), (F.col("id") + 1).cast("double").alias("end_sec"), F.lit("x").alias("text"))
+    rng = spark.range(2000).select(F.lit(1).cast("long").alias("video_id"), F.col("id").alias("range_no"), (F.col("id") * 400.0 + 0.5).alias("start_sec"), (F.col("id") * 400.0 + 3.5).alias("end_sec"))
+    assert I.clip_to_first(seg, rng).count() == 2000 * 4 == I.remapped(seg, rng).count()
+    assert I.within_padding(seg, rng, 5.0).count() == 9 + 1999 * 14
+    points = seg.select("video_id", F.col("seg_no").alias("point_id"), (F.col("start_sec") + 0.6).alias("point_sec"))
+    assert I.range_at(points, rng).where("range_no is not null").count() == 2000 * 3
+    markers = rng.select("video_id", F.col("start_sec").alias("marker_sec"), F.col("range_no").alias("marker_id"))
+    assert I.nearest_marker(points, markers, 0.2).count() == 2000
+
+
+def test_names_by_index_equal_all_pairs():
+    """The index finds what all pairs, merged until nothing changes, give."""
+    from itertools import combinations
+
+    def plain(counts):
+        counts, changed = dict(counts), True
+        while changed:
+            changed = False
+            for a, b in combinations(sorted(counts), 2):
+                both = E.merged(a.split(), b.split())
+                if max(len(a.split()), len(b.split())) < len(both) <= E.MOST_WORDS and counts.get(" ".join(both), 0) < counts[a] + counts[b]:
+                    counts[" ".join(both)], changed = counts[a] + counts[b], True
+        return counts
+
+    import random
+
+    rng = random.Random(2)
+    for _ in range(60):
+        made = {" ".join(rng.choice(("Ann", "ann", "Bo", "Cy", "Di", "Ed")) for _ in range(rng.randint(2, 5))): rng.randint(1, 4) for _ in range(rng.randint(0, 7))}
+        assert E.grown(made) == plain(made)
+
+
+def test_derived_tables_are_worked_out_once(spark, small):
+    from reelspan.plans import catalogue
+
+    assert catalogue.segments_of(spark, small) is catalogue.segments_of(spark, small)
+    plan = catalogue.QUERIES["clip_transcript"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("InMemoryRelation")[0].count("FileScan") == 0
