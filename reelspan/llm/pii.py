@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import string
 from functools import lru_cache
 
 import numpy as np
@@ -38,6 +39,7 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _EVIDENCE = re.compile(r"[0-9@]")
 _TOKEN = re.compile(r"[^\W_]+|[^\s]")
 _LOOSE_FIELD = re.compile(r"[0-9().+-]*[0-9][0-9().+-]*\Z")
+_PREFIXED = re.compile(r"[A-Za-z]{2,9}[_-](?:[A-Za-z]{2,9}[_-])?[A-Za-z0-9]{16,}\Z")
 _HEX = re.compile(r"[0-9a-fA-F]{24,}\Z")
 
 
@@ -143,6 +145,8 @@ def span_features(text: str, start: int, end: int, n_tokens: int) -> list[str]:
         out.append("like=hex")
     elif s.isalnum() and len(s) >= 20 and n and any(c.isalpha() for c in s):
         out.append("like=mixed")
+    elif n and _PREFIXED.match(s):
+        out.append("like=prefixed")
     cue = re.search(r"([^\W\d_]+)\W{0,4}\Z", text[max(0, start - 24) : start])
     out.append(f"cue={_CUE_OF.get(cue[1].lower(), 'none') if cue else 'none'}")
     if before in "\"'" and before and after == before:
@@ -288,8 +292,11 @@ def sentences(count: int, seed: int) -> list[tuple[str, list[tuple[int, int, str
         a, b, c = digits(3), digits(3), digits(4)
         return rng.choice((f"+{rng.randint(1, 99)} ({a}) {b}-{c}", f"+{rng.randint(1, 99)} {a} {b} {c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"+{digits(11)}"))
 
+    mixed = lambda n: "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(n - 2)) + rng.choice(string.ascii_letters) + digits(1)
+
     def secret() -> str:
-        return "".join(rng.choice("0123456789abcdef") for _ in range(rng.choice((32, 40, 64))))
+        plain = "".join(rng.choice("0123456789abcdef") for _ in range(rng.choice((32, 40, 64))))
+        return rng.choice((plain, plain, mixed(rng.choice((20, 24, 40))), f"{word()[:4]}_{mixed(rng.choice((24, 36)))}"))
 
     entity = {
         "email": lambda: f"{rng.choice((word(), word() + '.' + digits(2), digits(2), word() + '_' + word()))}@{word()}{rng.choice(('', digits(1)))}.{rng.choice(('example.com', 'org', 'co.uk'))}",
@@ -361,9 +368,10 @@ def redacted(text: str, spans: list[tuple[int, int, str]]) -> str:
 
 
 def detect(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each row of ``df``: key, n_email, n_ip, n_card, n_phone (base spans), base_sha256
-    (of the base spans as kind:start:end, comma-joined), spans (all spans, joined likewise; in code
-    points, end exclusive) and redacted (the text with every span replaced).
+    """One row for each row of ``df``: key, n_email, n_ip, n_card, n_phone (base spans), n_secret (which
+    the model alone finds), n_spans (all spans), base_sha256 (of the base spans as kind:start:end,
+    comma-joined), spans (all spans, joined likewise; in code points, end exclusive) and redacted (the
+    text with every span replaced).
 
     A null text counts as empty and has no spans; a null key stays null; repeated rows give
     repeated rows; other columns are not read. No shuffle; the model is a few hundred numbers.
@@ -375,14 +383,14 @@ def detect(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
             rows = []
             for body in batch.column(1).to_pylist():
                 base, spans = find(body, model)
-                rows.append([*(sum(s[2] == k for s in base) for k in BASE_KINDS), hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans), redacted(body, spans) if spans else body])
+                rows.append([*(sum(s[2] == k for s in base) for k in BASE_KINDS), sum(s[2] == "secret" for s in spans), len(spans), hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans), redacted(body, spans) if spans else body])
             columns = [list(c) for c in zip(*rows, strict=True)]
-            types = [pa.int64()] * 4 + [pa.string()] * 3
-            return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=[key, "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "redacted"])
+            types = [pa.int64()] * 6 + [pa.string()] * 3
+            return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=[key, "n_email", "n_ip", "n_card", "n_phone", "n_secret", "n_spans", "base_sha256", "spans", "redacted"])
 
         return work
 
-    return map_batches(keyed_text(df, key, text), make, f"{key} long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, redacted string")
+    return map_batches(keyed_text(df, key, text), make, f"{key} long, n_email long, n_ip long, n_card long, n_phone long, n_secret long, n_spans long, base_sha256 string, spans string, redacted string")
 
 
 def redact(df: DataFrame, text: str = "text", length: str = "n_chars") -> DataFrame:
