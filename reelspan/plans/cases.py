@@ -488,3 +488,36 @@ def chat_requests(spark: SparkSession, d: str) -> DataFrame:
     """Bodies of model requests."""
     said = F.concat_ws(" ", "source", F.col("doc_id").cast("string"))
     return docs_of(spark, d).select(F.col("doc_id").alias("video_id"), F.md5(P.chat_request(F.lit(" m "), said, "Return JSON.")).alias("body"), F.md5(P.chat_request(F.lit("m"), said, "Mend.", P.REPAIR_TOKENS, False)).alias("mend"))
+
+
+@query("""SELECT doc_id AS request_id, list_distinct(c)[1] IS NOT NULL AS any_place, array_to_string(list_filter(c, lambda x, i: x IS NOT NULL AND NOT list_contains(c[:i - 1], x)), '|') AS places FROM (
+SELECT doc_id, [CASE WHEN doc_id % 3 = 0 THEN '/set/t.ini' WHEN doc_id % 3 = 1 THEN '/mod/t.ini' END, CASE WHEN doc_id % 4 > 0 THEN '/mod/t.ini' END, CASE WHEN doc_id % 5 > 0 THEN '/' || source || '/t.ini' END] AS c FROM documents)""")
+def template_places(spark: SparkSession, d: str) -> DataFrame:
+    """Where a template file is looked for, in order, without what is blank or recurs."""
+    n = F.col("doc_id")
+    variable = F.when(n % 3 == 0, " /set/t.ini ").when(n % 3 == 1, "/mod/t.ini").otherwise(" ")
+    places = files.template_candidates(variable, F.when(n % 4 > 0, "/mod").otherwise(""), F.when(n % 5 > 0, F.concat(F.lit("/"), "source")).otherwise(" "), "t.ini")
+    return docs_of(spark, d).select(n.alias("request_id"), (F.size(places) > 0).alias("any_place"), F.array_join(places, "|").alias("places"))
+
+
+@query("""WITH s AS (SELECT vec_id::BIGINT AS stream_id, embedding[(vec_id % 4 * 16 + 1):(vec_id % 4 * 16 + 32)] AS x FROM embeddings) SELECT stream_id, len(x)::BIGINT AS n_samples, x[1]::FLOAT AS first, x[-1]::FLOAT AS last FROM s""")
+def sound_stretches(spark: SparkSession, d: str) -> DataFrame:
+    """Stretches of 2 ms of sound, shorter at the end of a stream."""
+    pcm = derived.pcm(derived.table(spark, d, "embeddings"))
+    cut = files.sound_range(pcm, F.col("stream_id") % 4 * 0.001, F.lit(0.002))
+    return cut.select("stream_id", F.size("samples").cast("long").alias("n_samples"), F.get("samples", F.lit(0)).alias("first"), F.try_element_at("samples", F.lit(-1)).alias("last"))
+
+
+@query("""WITH b AS (SELECT doc_id, source, doc_id % 2 = 0 AS fixed, (doc_id % 7 * 10.5)::DOUBLE AS s, (doc_id % 7 * 10.5 + doc_id % 5 * 2)::DOUBLE AS e, CASE doc_id % 4 WHEN 1 THEN '[[30.0,60.0]]' WHEN 3 THEN '[[120.0,180.0]]' END AS bounds FROM documents)
+SELECT doc_id AS video_id, '{"videoUrl":"up-' || doc_id || '","importPref":{"sourceLang":"' || CASE WHEN doc_id % 6 = 0 THEN 'auto' ELSE source END || '"},' || CASE WHEN doc_id % 3 = 0 THEN '"brandTemplateId":"b",' ELSE '' END || '"curationPref":{"range":{"startSec":' || s || ',"endSec":' || e || '},' ||
+CASE WHEN fixed THEN '"clipDurations":[[' || s || ',' || e || ']],"clip_start":[' || s || '],"clip_duration":[' || (e - s) || '],' WHEN bounds IS NOT NULL THEN '"clipDurations":' || bounds || ',' ELSE '' END || '"model":"' || CASE WHEN doc_id % 3 = 0 THEN 'ClipAnything' ELSE 'm' END || '","topicKeywords":["k"],"genre":"' || CASE WHEN doc_id % 4 = 0 THEN 'Auto' ELSE 'Talk' END ||
+'","skipCurate":' || fixed || CASE WHEN doc_id % 5 > 0 THEN ',"prompt":"p","userPrompt":"p"' ELSE '' END || '}}' AS body FROM b""")
+def project_bodies(spark: SparkSession, d: str) -> DataFrame:
+    """Whole request bodies."""
+    n = F.col("doc_id")
+    start, presets = (n % 7 * 10.5).cast("double"), F.array(*map(F.lit, ("Auto", "Short", "x", "long ")))
+    s = docs_of(spark, d).select(
+        n.alias("video_id"), F.concat(F.lit("up-"), n.cast("string")).alias("upload_id"), start.alias("start_sec"), (start + n % 5 * 2).alias("end_sec"), (n % 2 == 0).alias("skip_curate"), F.element_at(presets, (n % 4 + 1).cast("int")).alias("clip_length_preset"), F.array(F.lit("k")).alias("keywords"),
+        F.when(n % 3 == 0, " ").otherwise(" m").alias("model"), F.when(n % 4 == 0, "").otherwise("Talk").alias("genre"), F.when(n % 6 == 0, " ").otherwise(F.col("source")).alias("source_language"), F.when(n % 3 == 0, " b ").otherwise(" ").alias("brand_template_id"), F.when(n % 5 > 0, " p ").otherwise("").alias("ai_prompt"),
+    )
+    return P.project_request(s).select("video_id", "body")

@@ -104,9 +104,17 @@ def first_existing(candidates: DataFrame, existing: DataFrame) -> DataFrame:
 
 
 def search_paths(names: DataFrame, folders: list[str]) -> DataFrame:
-    """(name, priority, path) of each model name in each folder, in order."""
-    listed = F.array(*[F.struct(F.lit(i).alias("priority"), F.lit(f).alias("folder")) for i, f in enumerate(dict.fromkeys(folders)) if f])
-    return names.select("name", F.explode(listed).alias("f")).select("name", F.col("f.priority").alias("priority"), F.concat_ws("/", "f.folder", "name").alias("path"))
+    """(name, priority, path) of each model name in each folder, in order; an empty folder goes, one that
+    recurs keeps its first place."""
+    listed = F.array_distinct(F.filter(F.array(*map(F.lit, folders)), lambda f: f != ""))
+    return names.select("name", F.posexplode(listed).alias("priority", "folder")).select("name", "priority", F.concat_ws("/", "folder", "name").alias("path"))
+
+
+def template_candidates(variable: Column | str, module_folder: Column | str, working_folder: Column | str, file: str) -> Column:
+    """The places of a template file in order: what a variable names, beside the module, in the working
+    folder; blank ones go, one that recurs keeps its first place."""
+    beside = lambda c: F.when(trimmed(c) != "", F.concat(trimmed(c), F.lit("/" + file)))
+    return F.array_distinct(F.array_compact(F.array(F.nullif(trimmed(variable), F.lit("")), beside(module_folder), beside(working_folder))))
 
 
 def file_parts(path: Column | str) -> Column:
@@ -132,7 +140,16 @@ def sound(files: DataFrame) -> DataFrame:
             for i in range(batch.num_rows):
                 one = batch.slice(i, 1)
                 data = one.column(1)[0].as_py()
-                values = None if data is None else pa.Array.from_buffers(pa.float32(), len(data) // 4, [None, pa.py_buffer(data)])
-                yield pa.RecordBatch.from_arrays([one.column(0), pa.array([values.to_pylist() if values is not None else None], pa.list_(pa.float32()))], names=["stream_id", "samples"])
+                values = pa.Array.from_buffers(pa.float32(), len(data or b"") // 4, [None, pa.py_buffer(data or b"")])
+                held = pa.array([None], pa.list_(pa.float32())) if data is None else pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+                yield pa.RecordBatch.from_arrays([one.column(0), held], names=["stream_id", "samples"])
 
     return files.select(F.col("stream_id").cast("long"), "content").mapInArrow(run, "stream_id long, samples array<float>")
+
+
+def sound_range(pcm: DataFrame, start_sec: Column | str, length_sec: Column | str, rate: int = 16_000) -> DataFrame:
+    """(stream_id, samples) of a stretch of each stream: from ``start_sec`` on, ``length_sec`` long, as
+    far as there are samples; none before the beginning."""
+    first = F.greatest(F.floor(col(start_sec) * rate), F.lit(0)).cast("int")
+    count = F.greatest(F.floor(col(length_sec) * rate), F.lit(0)).cast("int")
+    return pcm.select("stream_id", F.slice("samples", first + 1, count).alias("samples"))
