@@ -43,8 +43,8 @@ TEMPLATE_PAGES, MERGE_SALT = 3, 16
 #: Containers that are nested deeper become neighbours of each other, with the marks of those around
 #: them; cells of the table of an alignment, beyond which labels are matched in order.
 MOST_DEPTH, MOST_CELLS = 100, 1 << 20
-#: Rows of the table of hosts up to which it is broadcast; beyond, pages are joined by host.
-BROADCAST_HOSTS = 50_000
+#: Bytes of the table of hosts up to which it is broadcast; beyond, pages are joined by host.
+BROADCAST_BYTES = 16 << 20
 
 _OPEN = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*))")
 _REST = re.compile(r"([^>\"'<]*+(?:\"[^\"<>]*+\"[^>\"'<]*+|'[^'<>]*+'[^>\"'<]*+)*+)>")
@@ -472,7 +472,7 @@ def extract(df: DataFrame, key: str = "page_id", url: str = "url", source: str =
     picked = df.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("html"), F.col(url).cast("string").alias("url"), F.coalesce(F.regexp_extract(F.lower(url), HOST, 1), F.lit("")).alias("host"))
     scratch = Scratch(df.sparkSession, "html-text")
     places = scratch.keep(infer(picked.select("host", "html")), "places")
-    small = places.count() <= BROADCAST_HOSTS
+    small = (places.agg(F.sum(F.octet_length("host") + F.octet_length("place") + 64)).first()[0] or 0) <= BROADCAST_BYTES
     placed = picked.join(F.broadcast(places) if small else places.hint("merge"), "host", "left").select("key", "html", "url", "place")
 
     def run(batches):

@@ -220,7 +220,8 @@ def train(df: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "q
         return fit(np.zeros((0, len(STATS))), np.zeros(0))
     ids = df.sparkSession.createDataFrame([(r[key], r["label"]) for r in chosen], f"{key} long, label double")
     pairs = keyed_text(df, key, text).join(F.broadcast(ids.select(key).distinct()), key, "left_semi")  # bounded by ``rows``
-    stats = with_stats(pairs, key).join(F.broadcast(ids), key).select("label", *STATS)
+    one = with_stats(pairs, key).groupBy(key).agg(F.min(F.struct(*STATS)).alias("s"))  # of rows that share an id one counts
+    stats = one.join(F.broadcast(ids), key).select("label", "s.*")
     table = np.array(sorted(list(r) for r in stats.collect()), dtype=np.float64).reshape(-1, 1 + len(STATS))
     return fit(table[:, 1:], (table[:, 0] >= 0.5).astype(np.float64))
 
