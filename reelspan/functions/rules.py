@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from reelspan.functions.text import col, contains_any, let, prompt_payload, simplified, starts_with_ignoring_case, substring_count, word_count
+from reelspan.functions.text import col, contains_any, let, prompt_payload, simplified, substring_count, word_count
 from reelspan.operators.entities import mentions_a_name
 
 #: Vocabularies, and the text of each finding.
@@ -22,27 +22,27 @@ def rules(normalized: Column, lowered: Column, scope: Column, names: Column, pro
     """(finding, condition) of all rules but the one for an empty prompt, in order; the text comes as
     it is and in lower case."""
     low = lowered
-    has = lambda *p: contains_any(low, p)
-    method, roadmap, tools, motivation = (contains_any(low, v) for v in (METHOD, ROADMAP, TOOLS, MOTIVATION))
+    has = lambda *p: contains_any(low, p, lowered=True)
+    method, roadmap, tools, motivation = (contains_any(low, v, lowered=True) for v in (METHOD, ROADMAP, TOOLS, MOTIVATION))
     return [
-        ("prompt does not start with Find", ~starts_with_ignoring_case(normalized, "Find ")),
+        ("prompt does not start with Find", ~F.startswith(low, F.lit("find "))),
         ("too verbose for a predictable ClipAnything search prompt", word_count(normalized) > 95),
-        ("does not follow the expected 3-sentence maximum", substring_count(normalized, ". ") > 2),
+        ("does not follow the expected 3-sentence maximum", substring_count(normalized, ". ", lowered=True) > 2),
         ("uses especially to append adjacent topics", has("especially")),
         ("uses a colon that may introduce a topic catalog", F.contains(normalized, F.lit(":"))),
         ("adds a second search target", has("also look for", "also find")),
         ("assumes the speaker's gender", F.regexp_like(normalized, F.lit(GENDERED))),
         ("uses broad alternative objectives", has("why it matters") & has("how it works", "what the plan")),
-        ("uses too many OR alternatives", substring_count(low, " or ") >= 2),
-        ("looks like a topic catalog", substring_count(normalized, ",") >= 7),
+        ("uses too many OR alternatives", substring_count(low, " or ", lowered=True) >= 2),
+        ("looks like a topic catalog", substring_count(normalized, ",", lowered=True) >= 7),
         ("mixes method/routine with roadmap/progression", method & roadmap),
         ("mixes method, tools, and roadmap in one target", method & tools & roadmap),
         ("mixes motivation/challenge with method/routine", method & motivation),
         ("mixes motivation, method, and roadmap", method & motivation & roadmap),
-        ("mixes reference-backed unlock method with routine, motivation, roadmap, tools, or practice", unlock_method & contains_any(low, ROUTINE)),
+        ("mixes reference-backed unlock method with routine, motivation, roadmap, tools, or practice", unlock_method & contains_any(low, ROUTINE, lowered=True)),
         ("uses a meta-instruction instead of a ClipAnything search target", unlock_method & has("making sure", "make sure")),
-        ("too broad for the short clip preset", (scope == "short_range_best_moment") & (roadmap | (substring_count(low, " and ") >= 5))),
-        ("drops a named reference needed to resolve pronouns or indirect references", pronoun_dependent & ~mentions_a_name(normalized, names)),
+        ("too broad for the short clip preset", (scope == "short_range_best_moment") & (roadmap | (substring_count(low, " and ", lowered=True) >= 5))),
+        ("drops a named reference needed to resolve pronouns or indirect references", pronoun_dependent & ~mentions_a_name(low, names)),
         ("mentions duration or timestamps", has("duration", "seconds", "minutes", "timestamps")),
     ]
 

@@ -119,9 +119,9 @@ def reference_facts(segments: DataFrame) -> DataFrame:
     named = top_names(segments).groupBy("video_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "name"))), lambda x: x["name"]).alias("names"))
     pieces = F.transform(F.array_sort(F.collect_list(F.struct("seg_no", trimmed("text").alias("t")))), lambda x: x["t"])
     text = segments.where(trimmed("text") != "").groupBy("video_id").agg(F.array_join(pieces, " ").alias("text"))
-    both = text.join(named, "video_id", "left").withColumn("names", F.coalesce("names", F.array().cast("array<string>")))
-    has = F.size("names") > 0
-    return both.withColumn("pronoun_dependent", has & contains_any("text", PRONOUN_PHRASES)).withColumn("unlock_method", has & contains_any("text", UNLOCK_PHRASES) & contains_any("text", METHOD_PHRASES))
+    both = text.join(named, "video_id", "left").withColumn("names", F.coalesce("names", F.array().cast("array<string>"))).withColumn("low", F.lower("text"))
+    has = lambda phrases: (F.size("names") > 0) & contains_any("low", phrases, lowered=True)
+    return both.withColumn("pronoun_dependent", has(PRONOUN_PHRASES)).withColumn("unlock_method", has(UNLOCK_PHRASES) & has(METHOD_PHRASES)).drop("low")
 
 
 def names_text(names: Column | str) -> Column:

@@ -379,7 +379,12 @@ low AS (SELECT *, lower(norm) AS low FROM norms)"""
 
 def requests_of(spark: SparkSession, d: str) -> DataFrame:
     """One request for each video with a transcript: request_id, cached_prompt, scope, may_have_no_clip,
-    text, names, pronoun_dependent, unlock_method, keywords."""
+    text, names, pronoun_dependent, unlock_method, keywords; worked out once."""
+    return derived.held(spark, d, "requests", lambda: made_requests(spark, d))
+
+
+def made_requests(spark: SparkSession, d: str) -> DataFrame:
+    """What ``requests_of`` holds."""
     s = segments_of(spark, d)
     overall = docs_of(spark, d).select(F.col("doc_id").alias("video_id"), F.lit(0.0).alias("range_start_sec"), F.lit(0.0).alias("range_end_sec"))
     facts = E.reference_facts(s).join(A.selected_duration(s, ranges_of(spark, d), overall), "video_id")
@@ -458,7 +463,7 @@ def prompt_ladder(spark: SparkSession, d: str) -> DataFrame:
     said = lambda *parts: F.to_json(F.struct(F.concat(*parts).alias("output_text"))).alias("body")
     replies = requests.select("request_id", said(F.lit("Find "), "text"))
     repairs = requests.select("request_id", said(F.lit("Find one clear clip where the speaker explains "), F.array_join("names", " and "), F.lit(".")))
-    first = P.prompt_ladder(requests, replies, repairs)
+    first = derived.held(spark, d, "first-round", lambda: P.prompt_ladder(requests, replies, repairs))
     stored = first.where("cacheable").select("request_id", F.col("prompt").alias("stored"))
     again = requests.join(stored, "request_id", "left").withColumn("cached_prompt", F.coalesce("stored", "cached_prompt")).drop("stored")
     both = first.withColumn("round", F.lit(1)).unionByName(P.prompt_ladder(again, replies, repairs).withColumn("round", F.lit(2)))
