@@ -341,10 +341,21 @@ def further_words(docs: DataFrame, hot: list[bytes], cls: np.ndarray, grid: np.n
     counted = map_arrow(docs, count, "word binary, cells array<smallint>, n array<long>").repartition(parts, "word")
     table = scratch.keep(map_arrow(counted, choose, "word binary, n long, cls int, moves array<long>"), "words")
     shared.destroy()
-    sums = table.where("word is null").select(F.posexplode("moves").alias("code", "n")).groupBy("code").agg(F.sum("n").alias("n")).collect()
+
+    def summed(batches):
+        moves = np.zeros(square, dtype=np.int64)
+        for batch in batches:
+            moves += batch.column(0).flatten().to_numpy().reshape(-1, square).sum(0)
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % 16], pa.int32()), pa.array([moves], pa.list_(pa.int64()))], names=["part", "moves"])
+
+    def together(data: pa.Table) -> pa.Table:
+        moves = data.column("moves").combine_chunks().flatten().to_numpy().reshape(-1, square).sum(0)
+        return pa.table({"moves": pa.array([moves], pa.list_(pa.int64()))})
+
+    shares = map_arrow(table.where("word is null").select("moves"), summed, "part int, moves array<long>")
     moves = np.zeros(square)
-    for r in sums:
-        moves[r["code"]] = r["n"]
+    for r in shares.groupBy("part").applyInArrow(together, "moves array<long>").collect():  # 16 at most
+        moves += r["moves"]
     return table.where("word is not null").select("word", "n", "cls"), moves.reshape(classes + 1, classes + 1)[:, :classes]
 
 
