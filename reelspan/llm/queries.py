@@ -7,10 +7,11 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from reelspan.llm import class_lm, decontaminate, html_text, licenses, ngram_join, packing, pii, quality, tiff, token_counts
+from reelspan.llm import class_lm, decontaminate, html_text, licenses, ngram_join, packing, pii, quality, tiff, token_blocks, token_counts
 from reelspan.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
+WORD_TOKENIZER = "word_bpe_49k.json"
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,9 +65,14 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op11_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids of all documents, written in token blocks and read back."""
+    return token_blocks.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_TOKENIZER))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The queries by name."""
-    return {f.__name__: f for f in (op1_decontaminate, op2_class_lm, op3_pii_spans, op4_tiff_pages, op5_quality_rules, op6_token_counts, op7_html_text, op8_license_scan, op9_ngram_join, op10_packing)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_class_lm, op3_pii_spans, op4_tiff_pages, op5_quality_rules, op6_token_counts, op7_html_text, op8_license_scan, op9_ngram_join, op10_packing, op11_token_blocks)}
 
 
 def oracle_sql() -> dict[str, str]:
