@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from reelspan.llm import class_lm, decontaminate, html_text, licenses, ngram_join, packing, pii, quality, tiff, token_blocks, token_counts
+from reelspan.llm import class_lm, decontaminate, html_text, licenses, ngram_join, packing, pii, prefix_trie, quality, tiff, token_blocks, token_counts
 from reelspan.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -70,9 +70,14 @@ def op11_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_blocks.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_TOKENIZER))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of the prefix trie of all rebuilt conversations."""
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The queries by name."""
-    return {f.__name__: f for f in (op1_decontaminate, op2_class_lm, op3_pii_spans, op4_tiff_pages, op5_quality_rules, op6_token_counts, op7_html_text, op8_license_scan, op9_ngram_join, op10_packing, op11_token_blocks)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_class_lm, op3_pii_spans, op4_tiff_pages, op5_quality_rules, op6_token_counts, op7_html_text, op8_license_scan, op9_ngram_join, op10_packing, op11_token_blocks, op12_prefix_trie)}
 
 
 def oracle_sql() -> dict[str, str]:
