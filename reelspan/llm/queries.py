@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from reelspan.llm import class_lm, decontaminate, html_text, licenses, ngram_join, packing, pii, prefix_trie, quality, tiff, token_blocks, token_counts
+from reelspan.llm import class_lm, decontaminate, html_text, licenses, ngram_join, packing, pii, prefix_trie, quality, tiff, token_blocks, token_counts, whitening
 from reelspan.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -75,9 +75,14 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(table(spark, sf_dir, "conversations"))
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings whitened along their first components."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The queries by name."""
-    return {f.__name__: f for f in (op1_decontaminate, op2_class_lm, op3_pii_spans, op4_tiff_pages, op5_quality_rules, op6_token_counts, op7_html_text, op8_license_scan, op9_ngram_join, op10_packing, op11_token_blocks, op12_prefix_trie)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_class_lm, op3_pii_spans, op4_tiff_pages, op5_quality_rules, op6_token_counts, op7_html_text, op8_license_scan, op9_ngram_join, op10_packing, op11_token_blocks, op12_prefix_trie, op13_whitening)}
 
 
 def oracle_sql() -> dict[str, str]:
