@@ -55,19 +55,26 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(_ARROW_BYTES, f"{BATCH_BYTES}b")
 
 
+@contextlib.contextmanager
+def tidied():
+    """Gives back the memory that a task took: Spark uses Python workers again, and what one task leaves behind
+    would count against the next."""
+    try:
+        yield
+    finally:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # glibc only
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """``mapInArrow`` whose tasks give back the memory that they took: Spark uses Python workers again,
-    and what one task leaves behind would count against the next."""
+    """``mapInArrow`` whose tasks give back the memory that they took."""
     bound_batches(df.sparkSession)
 
     def tidy(batches):
-        try:
+        with tidied():
             yield from run(batches)
-        finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):  # glibc only
-                ctypes.CDLL("libc.so.6").malloc_trim(0)
 
     return df.mapInArrow(tidy, schema)
 

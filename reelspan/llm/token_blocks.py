@@ -7,7 +7,8 @@ index of the places where blocks start and a directory of its documents; ``_inde
 lists the files in order with the ids before each. Files are written by one task each under a name
 of their own and count only once the index names them, so tasks may fail and run again.
 
-``token_blocks`` is a Spark data source: it writes (doc_id long, ids binary) and reads back
+``token_blocks`` is a Spark data source: it writes (doc_id long, ids binary), or with option ``tokenizer`` (doc_id long,
+text string), which the writing task encodes, and reads back
 (doc_id, start, n_tokens, ids_crc32), with option ``ids`` set to ``true`` the ids too. Ids in columns are
 little-endian unsigned 32-bit integers. Tasks read stretches of a file by the index of block starts.
 """
@@ -18,6 +19,7 @@ import json
 import os
 import re
 import struct
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -31,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-from reelspan.llm.common import Scratch, bound_batches, keyed_text, map_batches
+from reelspan.llm.common import Scratch, bound_batches, keyed_text, slices, tidied
 
 MAGIC = b"PFORIDS1"
 #: Ids of a block; percentiles of its widths that are tried; bits of an exception.
@@ -153,24 +155,32 @@ class Stretch(InputPartition):
 
 class BlockWriter(DataSourceArrowWriter):
     def __init__(self, options: dict):
-        self.folder, self.most = options["path"], int(options.get("file_ids", FILE_IDS))
+        self.folder, self.most, self.tokenizer = options["path"], int(options.get("file_ids", FILE_IDS)), options.get("tokenizer")
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         partition, current, files = TaskContext.get().partitionId(), None, []
         where, folder = file_system(self.folder)
         where.create_dir(folder, recursive=True)
-        for batch in iterator:
-            for doc, ids in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        with tidied():
+            for doc, ids in self.documents(iterator):
                 if current is None:
                     current = BlockFile(self.folder, f"part-{partition:05d}-{len(files):03d}-{uuid.uuid4().hex}.ids")
-                current.add(doc, ids.as_py())
+                current.add(doc, ids)
                 if current.ids >= self.most:
                     files.append(current.close())
                     current = None
-        if current is not None:
-            files.append(current.close())
+            if current is not None:
+                files.append(current.close())
         return Written(partition, files)
 
+    def documents(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, bytes]]:
+        """The documents with their ids, with END_ID at the end where this task encodes them."""
+        own, end = self.tokenizer and encoder(self.tokenizer), struct.pack("<I", END_ID)
+        for batch in batches:
+            for piece in slices(batch):
+                values = piece.column(1).to_pylist()
+                yield from zip(piece.column(0).to_pylist(), [x + end for x in own.encode(values)] if own else values, strict=True)
+
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
         """Writes the index, which names the files that count, and moves it into place."""
         start, files = 0, []
@@ -285,10 +295,37 @@ class TokenBlocks(DataSource):
 #: which the words of a text between white space are encoded each for itself.
 WORD_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: The same pattern for lower-cased ASCII words.
-ASCII_PIECES = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
-#: Words and pieces that a worker remembers, and the longest of them in bytes.
-CACHE_ENTRIES, CACHE_LENGTH = 1 << 18, 48
+ASCII_SPACE = re.compile("[ \t-\r]+")
+_LATIN = [chr(c) for c in range(256)]  # characters that are their own composed form and lower-case one by one
+_LOWER = bytes(ord(c.lower()) for c in _LATIN)
+_CLASS = {k: b"".join(b"\\x%02x" % ord(c) for c in _LATIN if test(c)) for k, test in {b"L": str.isalpha, b"N": lambda c: unicodedata.category(c)[0] == "N", b"S": lambda c: re.match(r"\s", c) and not "\x1c" <= c <= "\x1f"}.items()}
+#: The same pattern for lower-cased text of such characters, one byte each.
+PIECES = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[%(L)s]+|[%(N)s]|[^%(S)s%(L)s%(N)s]+" % _CLASS)
+#: Pieces of a generation that a worker remembers, the longest of them, and characters that are cut at once.
+PIECES_HELD, PIECE_LENGTH, HELD_CHARS = 1 << 18, 48, 1 << 19
+
+
+class Remembered:
+    """Values by key in two generations: what was used since the last change, and what was used in the
+    one before it. Rare keys go, frequent ones stay."""
+
+    def __init__(self, limit: int):
+        self.limit, self.now, self.before = limit, {}, {}
+
+    def missing(self, keys: set) -> list:
+        """Keys without a value; those of the older generation are taken over."""
+        keys = keys.difference(self.now)
+        known = [k for k in keys if k in self.before]
+        self.now.update(zip(known, map(self.before.__getitem__, known), strict=True))
+        return list(keys.difference(known))
+
+    def age(self, fresh: list) -> None:
+        """Forgets long ones among new keys, and the older generation where the newer one is full."""
+        for k in fresh:
+            if len(k) > PIECE_LENGTH:
+                del self.now[k]
+        if len(self.now) > self.limit:
+            self.now, self.before = {}, self.now
 
 
 class Encoder:
@@ -305,37 +342,52 @@ class Encoder:
         rules = (spec["normalizer"] or {}).get("normalizers"), splits[0].get("pattern"), splits[0].get("behavior"), splits[0].get("invert")
         plain = not any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] or re.search(r"\s", t["content"]) for t in spec["added_tokens"])
         self.by_word = plain and rules == (WORD_NORMALIZERS, {"Regex": WORD_PATTERN}, "Removed", True)
-        self.marks = [t["content"].encode() for t in spec["added_tokens"]]
+        self.marks = [t["content"] for t in spec["added_tokens"]]
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.words: dict[bytes, bytes] = {}
-        self.pieces: dict[bytes, bytes] = {}
+        self.pieces = Remembered(PIECES_HELD)
 
-    def plain(self, texts: list[bytes]) -> list[bytes]:
+    def plain(self, texts: list[str]) -> list[bytes]:
         """The library's ids of whole texts."""
-        found = self.library.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
+    def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_word:
             return self.plain(texts)
-        parted = [t.split() for t in texts]  # at ASCII white space
-        fresh = {w for words in parted for w in words}.difference(self.words)
-        if len(self.words) + len(fresh) > CACHE_ENTRIES:
-            self.words = {}
-            fresh = {w for words in parted for w in words}
-        cut = {w: ASCII_PIECES.findall(w.lower()) if w.isascii() and not any(m in w for m in self.marks) else [w] for w in fresh}
-        asked = {p for found in cut.values() for p in found}
-        if len(self.pieces) + len(asked) > CACHE_ENTRIES:
-            self.pieces = {}
-        missing = sorted(asked.difference(self.pieces))
-        self.pieces.update(zip(missing, self.plain(missing), strict=True))
-        self.words.update((w, b"".join([self.pieces[p] for p in found])) for w, found in cut.items())
-        out = [b"".join([self.words[w] for w in words]) for words in parted]
-        for held in (self.words, self.pieces):
-            for w in [w for w in (fresh if held is self.words else missing) if len(w) > CACHE_LENGTH]:
-                del held[w]
+        out: list[bytes] = []
+        first = held = 0
+        for i, text in enumerate(texts):  # pieces of a bounded number of texts are held
+            held += len(text)
+            if held >= HELD_CHARS or i == len(texts) - 1:
+                out += self.encode_words(texts[first : i + 1])
+                first, held = i + 1, 0
+        return out
+
+    def encode_words(self, texts: list[str]) -> list[bytes]:
+        cut = [self.cut(t) for t in texts]
+        fresh = self.pieces.missing(set().union(*cut))
+        self.pieces.now.update(zip(fresh, self.plain([k if isinstance(k, str) else k.decode("latin-1") for k in fresh]), strict=True))
+        of = self.pieces.now.__getitem__
+        out = [b"".join(map(of, pieces)) for pieces in cut]
+        self.pieces.age(fresh)
+        return out
+
+    def cut(self, text: str) -> list:
+        """Pieces that are encoded each for itself: as the pattern cuts a text, where all its characters are of
+        the first 256 (as bytes); else the words between ASCII white space, which are cut on if they can be."""
+        if any(m in text for m in self.marks):
+            return [text]
+        try:
+            return PIECES.findall(text.encode("latin-1").translate(_LOWER))
+        except UnicodeEncodeError:
+            words = ASCII_SPACE.split(text)
+        out: list = []
+        for word in words:
+            try:
+                out += PIECES.findall(word.encode("latin-1").translate(_LOWER))
+            except UnicodeEncodeError:
+                out.append(word)
         return out
 
 
@@ -349,26 +401,9 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def encoded(df: DataFrame, path: str, end_id: int | None = END_ID) -> DataFrame:
-    """(doc_id, ids): whole texts by the tokenizers file at ``path``, special strings as the library takes
-    them, with ``end_id`` after each document. Order of rows stays."""
-    end = b"" if end_id is None else struct.pack("<I", end_id)
-
-    def make():
-        own = encoder(path)
-
-        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            ids = [x + end for x in own.encode(batch.column(1).cast(pa.binary()).to_pylist())]
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
-
-        return run
-
-    return map_batches(df, make, "doc_id long, ids binary")
-
-
 def write_ids(df: DataFrame, path: str, folder: str, key: str = "doc_id", text: str = "text") -> None:
-    """Writes all documents of ``df``, encoded by the tokenizers file at ``path``, to a folder of token blocks in
-    ascending order of their keys.
+    """Writes all documents of ``df``, encoded by the tokenizers file at ``path`` (special strings as the library takes
+    them), each with END_ID after it, to a folder of token blocks in ascending order of their keys.
 
     A null or empty text is its end id alone; null keys come first; rows with equal keys are all
     written, in an order that their texts give; other columns are not read; an empty table gives
@@ -381,7 +416,7 @@ def write_ids(df: DataFrame, path: str, folder: str, key: str = "doc_id", text:
     docs = keyed_text(df, key, text).toDF("doc_id", "text").withColumn("h", F.xxhash64("text")).withColumn("row", F.monotonically_increasing_id())  # equal rows are interchangeable
     order = [F.col("doc_id").asc_nulls_first(), "h", "row"]
     sorted_docs = docs.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
-    encoded(sorted_docs, path).write.format("token_blocks").mode("append").save(folder)
+    sorted_docs.write.format("token_blocks").option("tokenizer", path).mode("append").save(folder)
 
 
 def read_ids(spark: SparkSession, folder: str, ids: bool = False) -> DataFrame:

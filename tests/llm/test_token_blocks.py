@@ -60,13 +60,16 @@ def test_outliers_go_to_the_exceptions():
 def test_words_that_are_remembered_have_the_ids_of_whole_texts():
     rng, encoder, ids_of = random.Random(5), token_blocks.Encoder(WORD), library(WORD)
     texts = ["", " ", "It's  the DOG'S\tday, they'll\x1cgo\x85on　x", "<|endoftext|>a <|startoftext|> b<|endof text|>", "Ünï H̱ ẖ KK İx ΑΣ Σ", "日本語 テキスト", "½²3 ①", "a" * 20_000, "1," * 5_000, " " * 300_000, "́a é ́"]
+    texts += [w + m for w in ("Straße", "»é", "éa's", "é", "ça1") for m in (",***", "'s", "'S.", "'", "»", "...», a", "<|", "!")]
     texts += ["".join(rng.choice("abT '\n\t.,é1İ́😀 <|\x1f\xa0") for _ in range(rng.randint(0, 60))) for _ in range(400)]
+    texts += ["".join(chr(rng.choice([rng.randrange(256), 32, 39, 115, 108])) for _ in range(60)) for _ in range(600)] + [f"a{chr(c)}b{chr(c)} '{chr(c)}" for c in range(256)]
+    encoder.pieces.limit = 500
     assert encoder.by_word
-    got = encoder.encode([t.encode() for t in texts]) + encoder.encode([t.encode() for t in texts])
+    got = encoder.encode(texts) + encoder.encode(texts)
     assert [np.frombuffer(x, "<u4").tolist() for x in got] == [ids_of(t)[:-1] for t in texts] * 2
     other = token_blocks.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
     whole = library(public_tokenizers.path("byte_bpe_50k.json"))
-    assert not other.by_word and [np.frombuffer(x, "<u4").tolist() for x in other.encode([t.encode() for t in texts[:200]])] == [whole(t)[:-1] for t in texts[:200]]
+    assert not other.by_word and [np.frombuffer(x, "<u4").tolist() for x in other.encode(texts[:200])] == [whole(t)[:-1] for t in texts[:200]]
 
 
 def odd(spark, rows):
@@ -94,7 +97,7 @@ def test_files_stretches_and_ids(spark, small):
     folder = Scratch(spark, "blocks").base
     spark.dataSource.register(token_blocks.TokenBlocks)
     ordered = docs.select("doc_id", "text").repartitionByRange(3, "doc_id").sortWithinPartitions("doc_id")
-    token_blocks.encoded(ordered, WORD).write.format("token_blocks").mode("append").option("file_ids", "5000").save(folder)
+    ordered.write.format("token_blocks").mode("append").option("tokenizer", WORD).option("file_ids", "5000").save(folder)
     want = expected(sorted((r["doc_id"], r["text"]) for r in docs.collect()))
     read = spark.read.format("token_blocks").option("ids", "true").option("read_ids", "700").load(folder)
     got = sorted(read.collect())
@@ -114,3 +117,13 @@ def test_a_failed_write_leaves_nothing_readable(spark):
         bad.write.format("token_blocks").mode("append").save(folder)
     where, path = token_blocks.file_system(folder)
     assert where.get_file_info(f"{path}/{token_blocks.INDEX}").type.name == "NotFound"
+
+
+def test_ids_of_other_encoders_are_written_as_they_are(spark):
+    folder = Scratch(spark, "blocks").base
+    spark.dataSource.register(token_blocks.TokenBlocks)
+    ids = {2: [7] * 3000, 5: [], 9: [2**32 - 1, 0], None: [1]}
+    rows = [(d, bytearray(np.array(x, "<u4").tobytes())) for d, x in sorted(ids.items(), key=lambda x: x[0] or -1)]
+    spark.createDataFrame(rows, "doc_id long, ids binary").coalesce(1).write.format("token_blocks").mode("append").save(folder)
+    got = token_blocks.read_ids(spark, folder, ids=True).orderBy("start", "n_tokens").collect()
+    assert {r["doc_id"]: np.frombuffer(r["ids"], "<u4").tolist() for r in got} == ids and [r["start"] for r in got] == [0, 1, 3001, 3001]
