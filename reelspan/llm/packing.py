@@ -11,6 +11,7 @@ until few remain.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 
 import numpy as np
@@ -28,6 +29,8 @@ WINDOW, OPEN_WINDOWS, LEAST_CUT = 2048, 32, 8
 #: Leftover windows that one task of the merge sees at most.
 MERGE_GROUP = 64
 END_ID = 1
+#: A run of white space so long that the pattern's search for its end would go too deep; the characters are the pattern's ``\\s``.
+LONG_RUN = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{4096,}")
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
@@ -45,6 +48,7 @@ class Encoder(dict):
         back = {c: b for b, c in enumerate(byte_symbols())}
         ranks = {bytes(back[c] for c in word): i for word, i in spec["model"]["vocab"].items() if word not in self.special}
         self.encoder = tiktoken.Encoding("own", pat_str=PRE_TOKENS, mergeable_ranks=ranks, special_tokens=dict(self.special))
+        self.one_piece = tiktoken.Encoding("piece", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={})
         self.allowed = set(self.special)
 
     def __missing__(self, piece: str) -> bytes:
@@ -56,7 +60,16 @@ class Encoder(dict):
         return ids
 
     def encode_plain(self, text: str) -> bytes:
-        return np.array(self.encoder.encode(text, allowed_special=self.allowed), dtype="<u4").tobytes()
+        """The ids of a text by the encoder's pattern. A long run of white space is one piece, without its last
+        character where a word follows, which that belongs to."""
+        ids, at = [], 0
+        for run in LONG_RUN.finditer(text):
+            end = run.end() if run.end() == len(text) or any(text.startswith(s, run.end()) for s in self.special) else run.end() - 1
+            ids += self.encoder.encode(text[at : run.start()], allowed_special=self.allowed)
+            ids += self.one_piece.encode_ordinary(text[run.start() : end])
+            at = end
+        ids += self.encoder.encode(text[at:], allowed_special=self.allowed)
+        return np.array(ids, dtype="<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
         """All ids of a text; the strings of special tokens count as those tokens."""

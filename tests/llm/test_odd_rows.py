@@ -1,8 +1,10 @@
 """Every operator on nulls, empty and very long texts, ties, repeated rows, empty tables and extra
 columns whose names clash with its own."""
 
+import numpy as np
 import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
 from reelspan.llm import class_lm, decontaminate, html_text, licenses, ngram_join, packing, pii, quality, tiff, token_counts
 
@@ -57,6 +59,20 @@ def test_no_crash(spark, name):
     assert SOME_ROWS[name](spark, odd(spark, empty=True)).count() == 0
 
 
+@pytest.mark.parametrize("run", [" ", "\n", "\t \n", "\u3000", "7", "a", "-", "\xa0"])
+def test_long_runs_have_the_ids_of_the_library(run):
+    """Runs of which the encoder's pattern would look for the end too deep, alone and beside words and special strings."""
+    encoder, library = packing.Encoder(PATH), Tokenizer.from_file(PATH)
+    long, some = run * (1_200_000 // len(run)), run * 5000
+    for text in (long, f"a{long}b", f"{some}it's {some} x{some}", f"<|endoftext|>{some}<|endoftext|>{some}b\n", f"é{some}\x85"):
+        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_long_runs_are_packed(spark):
+    d = spark.createDataFrame([(1, " " * 3_000_000), (2, "x" + "\n" * 1_500_000 + "y")], "doc_id long, text string")
+    assert packing.pack(d, PATH).groupBy("doc_id").sum("length").count() == 2
+
+
 def test_stated_results(spark):
     d = odd(spark)
     assert {(r["doc_id"], r["item_id"]) for r in decontaminate.contamination(d, benchmark(spark)).collect()} == {(3, 1), (4, 1)}
