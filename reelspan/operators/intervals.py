@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from reelspan.operators.scan import Fold, dense, running, timed
+
 #: Seconds that an unpaired last marker opens, and that a video without markers gets.
 DEFAULT_CLIP_SEC = 90.0
 #: Marker distance that counts as equal, and pixels within which a marker is hit.
@@ -31,9 +33,9 @@ def marker_ranges(markers: DataFrame, durations: DataFrame) -> DataFrame:
     DEFAULT_CLIP_SEC. Ranges are clamped to the duration (video_id, duration_sec) where it is known
     and positive; empty ones go, the numbers of the others stay, so range i comes from markers 2i and
     2i+1. A video with a duration and no markers has one default range."""
-    order = W.partitionBy("video_id").orderBy("marker_sec", "marker_id")
+    numbered = running(markers, ["video_id"], ["marker_sec", "marker_id"], timed("marker_sec", STRETCH_SEC), {"nth": Fold("count", F.lit(1), own=False)})
     pairs = (
-        markers.withColumn("range_no", F.floor((F.row_number().over(order) - 1) / 2).cast("long"))
+        numbered.withColumn("range_no", F.floor(F.col("nth") / 2).cast("long"))
         .groupBy("video_id", "range_no")
         .agg(F.min("marker_sec").alias("low"), F.max("marker_sec").alias("high"), F.count("*").alias("n"))
     )
@@ -68,19 +70,24 @@ def coalesced(ranges: DataFrame, padding_sec: float = 0.0) -> DataFrame:
     """Widens ranges, sorts them and merges those that overlap or touch; inverted and empty ones go
     first. Numbers count from 0 in order of time."""
     p = ranges.where("end_sec > start_sec").select("video_id", F.greatest(F.col("start_sec") - padding_sec, F.lit(0.0)).alias("start_sec"), (F.col("end_sec") + padding_sec).alias("end_sec"))
-    order = W.partitionBy("video_id").orderBy("start_sec", "end_sec")
-    reach = F.max("end_sec").over(order.rowsBetween(W.unboundedPreceding, -1))
-    p = p.withColumn("new", F.when(reach.isNull() | (F.col("start_sec") > reach), 1).otherwise(0))
-    p = p.withColumn("range_no", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0)) - 1)
+    order, stretch = ["start_sec", "end_sec"], timed("start_sec", STRETCH_SEC)
+    p = running(p, ["video_id"], order, stretch, {"reach": Fold("max", F.col("end_sec"), own=False)})
+    new = F.when(F.col("reach").isNull() | (F.col("start_sec") > F.col("reach")), 1).otherwise(0)
+    p = running(p, ["video_id"], order, stretch, {"range_no": Fold("sum", new)}).withColumn("range_no", F.col("range_no") - 1)
     return p.groupBy("video_id", "range_no").agg(F.min("start_sec").alias("start_sec"), F.max("end_sec").alias("end_sec"))
 
 
 def compacted(ranges: DataFrame) -> DataFrame:
     """Adds new_start_sec and new_end_sec: the ranges laid end to end in list order from 0."""
-    order = W.partitionBy("video_id").orderBy("range_no").rowsBetween(W.unboundedPreceding, 0)
     length = F.greatest(F.col("end_sec") - F.col("start_sec"), F.lit(0.0))
-    end = F.sum(length).over(order)
-    return ranges.withColumn("new_end_sec", end).withColumn("new_start_sec", F.col("new_end_sec") - length)
+    laid = running(ranges, ["video_id"], ["range_no"], dense("range_no"), {"new_end_sec": Fold("sum", length)})
+    return laid.withColumn("new_start_sec", F.col("new_end_sec") - length)
+
+
+def numbered(segments: DataFrame, outer: str = "range_no", inner: str = "seg_no") -> DataFrame:
+    """Adds ``nth``: the number of a segment in its video, counted by ``outer``, then by ``inner``."""
+    stretch = F.col(outer).cast("long") * F.lit(1 << 40) + dense(inner)
+    return running(segments, ["video_id"], [outer, inner], stretch, {"nth": Fold("count", F.lit(1), own=False)})
 
 
 def remapped(segments: DataFrame, ranges: DataFrame) -> DataFrame:
@@ -88,16 +95,14 @@ def remapped(segments: DataFrame, ranges: DataFrame) -> DataFrame:
     Overlapping ranges give a segment more than once. seg_no counts by range, then by segment."""
     hit = bucketed_overlaps(segments, compacted(ranges.where("end_sec > start_sec")))
     shift = F.col("new_start_sec") - F.col("from_sec")
-    number = F.row_number().over(W.partitionBy("video_id").orderBy("range_no", "seg_no")) - 1
-    return hit.select("video_id", number.cast("long").alias("seg_no"), (F.greatest("start_sec", "from_sec") + shift).alias("start_sec"), (F.least("end_sec", "to_sec") + shift).alias("end_sec"), "text")
+    return numbered(hit).select("video_id", F.col("nth").alias("seg_no"), (F.greatest("start_sec", "from_sec") + shift).alias("start_sec"), (F.least("end_sec", "to_sec") + shift).alias("end_sec"), "text")
 
 
 def shifted(local: DataFrame, ranges: DataFrame) -> DataFrame:
     """Moves segments with times within a range (video_id, range_no, ...) to times of the video;
     numbers them by range, then by segment."""
     r = ranges.select("video_id", "range_no", F.col("start_sec").alias("offset_sec"))
-    number = F.row_number().over(W.partitionBy("video_id").orderBy("range_no", "seg_no")) - 1
-    return local.join(r, ["video_id", "range_no"]).select("video_id", number.cast("long").alias("seg_no"), (F.col("start_sec") + F.col("offset_sec")).alias("start_sec"), (F.col("end_sec") + F.col("offset_sec")).alias("end_sec"), "text")
+    return numbered(local.join(r, ["video_id", "range_no"])).select("video_id", F.col("nth").alias("seg_no"), (F.col("start_sec") + F.col("offset_sec")).alias("start_sec"), (F.col("end_sec") + F.col("offset_sec")).alias("end_sec"), "text")
 
 
 def chunk_segments(chunks: DataFrame) -> DataFrame:

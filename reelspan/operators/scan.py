@@ -15,35 +15,56 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from reelspan.functions.text import col
-
 #: Rows of a stretch where the order is a dense number.
 STRETCH_ROWS = 1 << 16
-_KINDS = {
-    "sum": (F.sum, lambda a, b: F.coalesce(a + b, a, b)), "count": (F.count, lambda a, b: F.coalesce(a + b, a, b)),
-    "max": (F.max, lambda a, b: F.greatest(a, b)), "min": (F.min, lambda a, b: F.least(a, b)),
-    "bit_xor": (F.bit_xor, lambda a, b: F.coalesce(a.bitwiseXOR(b), a, b)),
-}
+_FIRST_STRETCH = -(2**62)
 
 
 @dataclass(frozen=True)
 class Fold:
-    """A running value: its kind (sum, count, max, min or bit_xor), what is folded, and whether a row's own value
-    counts. Nulls are passed over; where there is nothing yet the value is null (a count: 0)."""
+    """A running value: its kind (count, sum, max, min, bit_xor, first or last), what is folded, and whether a row's
+    own value counts. Nulls are passed over; where there is nothing yet the value is null (a count: 0)."""
 
     kind: str
     value: Column
     own: bool = True
 
+    def over(self, value: Column, window) -> Column:
+        """The fold within a window, of what was not folded yet."""
+        plain = {"count": F.count, "sum": F.sum, "max": F.max, "min": F.min, "bit_xor": F.bit_xor}
+        at_edge = {"first": F.first, "last": F.last}
+        return (plain[self.kind](value) if self.kind in plain else at_edge[self.kind](value, ignorenulls=True)).over(window)
+
+    def total(self, value: Column, order: list[str], descending: bool) -> Column:
+        """The fold of a whole stretch."""
+        if self.kind in ("first", "last"):
+            pick = F.min_by if (self.kind == "first") != descending else F.max_by
+            return pick(value, F.when(value.isNotNull(), F.struct(*order)))
+        return {"count": F.count, "sum": F.sum, "max": F.max, "min": F.min, "bit_xor": F.bit_xor}[self.kind](value)
+
+    def joined(self, before: Column, here: Column) -> Column:
+        """The fold of what lies before a stretch and of what lies in it."""
+        if self.kind in ("max", "min"):
+            return F.greatest(before, here) if self.kind == "max" else F.least(before, here)
+        if self.kind in ("first", "last"):
+            return F.coalesce(before, here) if self.kind == "first" else F.coalesce(here, before)
+        both = before.bitwiseXOR(here) if self.kind == "bit_xor" else before + here
+        return F.coalesce(both, before, here)
 
-def dense(order: str, size: int = STRETCH_ROWS, descending: bool = False) -> Column:
+
+def dense(order: str, size: int | None = None) -> Column:
     """The stretch of a row by a whole number that counts up, as positions do."""
-    place = F.floor(F.col(order) / size).cast("long")
-    return -place if descending else place
+    return F.floor(F.col(order) / (size or STRETCH_ROWS)).cast("long")
+
+
+def timed(seconds: str, size: float) -> Column:
+    """The stretch of a row by a time; what is not finite goes to the ends, null stays null."""
+    bounded = F.when(F.col(seconds).isNotNull(), F.greatest(F.least(F.col(seconds), F.lit(1e15)), F.lit(-1e15)))
+    return F.floor(bounded / size).cast("long")
 
 
-def running(df: DataFrame, by: list[str], order: list[Column | str], stretch: Column, folds: Mapping[str, Fold]) -> DataFrame:
-    """Adds running values over the rows of each key in ``order``.
+def running(df: DataFrame, by: list[str], order: list[str], stretch: Column, folds: Mapping[str, Fold], descending: bool = False) -> DataFrame:
+    """Adds running values over the rows of each key in ``order`` (nulls first), or all of it backwards.
 
     ``stretch`` is a whole number that never falls along the order and has few rows to a value; a null one
     comes first. Keys that hold a null make one group, as in a window, in one stretch. Sums of
@@ -53,13 +74,14 @@ def running(df: DataFrame, by: list[str], order: list[Column | str], stretch: Co
     no_key = F.lit(False)
     for k in by:
         no_key = no_key | F.col(k).isNull()
-    cut = df.withColumn("_stretch", F.when(no_key, F.lit(0)).otherwise(F.coalesce(stretch, F.lit(-(2**62)))).cast("long"))
+    place = F.coalesce(stretch, F.lit(_FIRST_STRETCH))
+    cut = df.withColumn("_stretch", F.when(no_key, F.lit(0)).otherwise(-place if descending else place).cast("long"))
     cut = cut.withColumns({f"_value_{n}": f.value for n, f in folds.items()})
-    inside = W.partitionBy(*by, "_stretch").orderBy(*[col(o) for o in order])
-    here = cut.withColumns({f"_here_{n}": _KINDS[f.kind][0](f"_value_{n}").over(inside.rowsBetween(W.unboundedPreceding, 0 if f.own else -1)) for n, f in folds.items()})
-    totals = cut.groupBy(*by, "_stretch").agg(*[_KINDS[f.kind][0](f"_value_{n}").alias(f"_all_{n}") for n, f in folds.items()])
+    inside = W.partitionBy(*by, "_stretch").orderBy(*[F.col(o).desc() if descending else F.col(o) for o in order])
+    here = cut.withColumns({f"_here_{n}": f.over(F.col(f"_value_{n}"), inside.rowsBetween(W.unboundedPreceding, 0 if f.own else -1)) for n, f in folds.items()})
+    totals = cut.groupBy(*by, "_stretch").agg(*[f.total(F.col(f"_value_{n}"), order, descending).alias(f"_all_{n}") for n, f in folds.items()])
     earlier = W.partitionBy(*by).orderBy("_stretch").rowsBetween(W.unboundedPreceding, -1)
-    again = {n: "sum" if f.kind == "count" else f.kind for n, f in folds.items()}
-    before = totals.select(*by, "_stretch", *[_KINDS[again[n]][0](f"_all_{n}").over(earlier).alias(f"_before_{n}") for n in folds])
+    across = {n: Fold("sum", f.value) if f.kind == "count" else f for n, f in folds.items()}
+    before = totals.select(*by, "_stretch", *[f.over(F.col(f"_all_{n}"), earlier).alias(f"_before_{n}") for n, f in across.items()])
     joined = here.join(before, [*by, "_stretch"], "left")
-    return joined.select(*[F.col(c) for c in df.columns if c not in folds], *[_KINDS[f.kind][1](F.col(f"_before_{n}"), F.col(f"_here_{n}")).alias(n) for n, f in folds.items()])
+    return joined.select(*[F.col(c) for c in df.columns if c not in folds], *[f.joined(F.col(f"_before_{n}"), F.col(f"_here_{n}")).alias(n) for n, f in folds.items()])

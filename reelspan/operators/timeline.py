@@ -3,21 +3,19 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from reelspan.functions.text import MOST_CONTEXT_CHARS, PREVIEW_CHARS, WINDOW_SEC, decimals, segment_line, trimmed
+from reelspan.operators.scan import Fold, dense, running
 
 
 def windowed(segments: DataFrame, size: float = WINDOW_SEC) -> DataFrame:
     """Adds the start of the tumbling window of each segment. The first segment, blank or not, sets
     the first window; a segment that steps back stays in the window that was open. Blank ones go."""
-    order = W.partitionBy("video_id").orderBy("seg_no").rowsBetween(W.unboundedPreceding, 0)
-    first = F.row_number().over(W.partitionBy("video_id").orderBy("seg_no")) == 1
     filled = trimmed("text") != ""
     start = F.greatest(F.floor(F.col("start_sec") / size) * size, F.lit(0.0))
-    counted = segments.withColumn("anchor", F.when(filled | first, start))
-    return counted.withColumn("window_sec", F.max("anchor").over(order)).where(filled).drop("anchor")
+    held = running(segments, ["video_id"], ["seg_no"], dense("seg_no"), {"opened_sec": Fold("first", F.coalesce(start, F.lit(0.0))), "latest_sec": Fold("max", F.when(filled, start))})
+    return held.where(filled).withColumn("window_sec", F.greatest("opened_sec", "latest_sec")).drop("opened_sec", "latest_sec")
 
 
 def window_totals(segments: DataFrame, size: float = WINDOW_SEC) -> DataFrame:
@@ -58,12 +56,22 @@ def within_budget(segments: DataFrame, budget: int = MOST_CONTEXT_CHARS) -> Data
     """Segments whose lines begin before ``budget`` characters are reached; the line that reaches it
     is kept. Adds the line, its running length with line feeds, and whether it is the cut."""
     lines = segments.where(trimmed("text") != "").withColumn("line", segment_line("start_sec", "end_sec", "text"))
-    order = W.partitionBy("video_id").orderBy("seg_no").rowsBetween(W.unboundedPreceding, 0)
-    counted = lines.withColumn("running_chars", F.sum(F.length("line") + 1).over(order))
+    counted = running(lines, ["video_id"], ["seg_no"], dense("seg_no"), {"running_chars": Fold("sum", F.length("line") + 1)})
     kept = counted.where(F.col("running_chars") - F.length("line") - 1 < budget)
     return kept.withColumn("cut", F.col("running_chars") >= budget)
 
 
+def channel_timeline(segments: DataFrame, videos: DataFrame, videos_held: int = 64) -> DataFrame:
+    """All videos of a channel (video_id, channel) laid end to end by id: (channel, video_id, seg_no, start_sec, end_sec,
+    running_chars) with times of the channel and the characters of its texts so far, a line feed each. A
+    channel is as many tasks' work as it has stretches of ``videos_held`` ids."""
+    placed = segments.join(videos.select("video_id", "channel"), "video_id")
+    length = F.col("end_sec") - F.col("start_sec")
+    folds = {"until_sec": Fold("sum", length), "running_chars": Fold("sum", F.length("text") + 1)}
+    laid = running(placed, ["channel"], ["video_id", "seg_no"], dense("video_id", videos_held), folds)
+    return laid.select("channel", "video_id", "seg_no", (F.col("until_sec") - length).alias("start_sec"), F.col("until_sec").alias("end_sec"), "running_chars")
+
+
 def transcript_text(segments: DataFrame) -> DataFrame:
     """Per video the lines of its segments; blank ones go."""
     lines = segments.where(trimmed("text") != "").select("video_id", F.struct("seg_no", segment_line("start_sec", "end_sec", "text").alias("line")).alias("l"))

@@ -214,6 +214,15 @@ def timeline_windows(spark: SparkSession, d: str) -> DataFrame:
     return T.window_totals(segments_of(spark, d))
 
 
+@query(f"""WITH {SEGMENTS}, placed AS (SELECT d.lang AS channel, s.*, s.end_sec - s.start_sec AS secs FROM segments s JOIN documents d ON d.doc_id = s.video_id)
+SELECT channel, video_id, seg_no, sum(secs) OVER w - secs AS start_sec, sum(secs) OVER w AS end_sec, (sum(length(text) + 1) OVER w)::BIGINT AS running_chars
+FROM placed WINDOW w AS (PARTITION BY channel ORDER BY video_id, seg_no)""")
+def channel_timeline(spark: SparkSession, d: str) -> DataFrame:
+    """All videos of a language laid end to end, by running sums across stretches."""
+    videos = derived.table(spark, d, "documents").select(F.col("doc_id").alias("video_id"), F.col("lang").alias("channel"))
+    return T.channel_timeline(segments_of(spark, d), videos)
+
+
 @query(f"""WITH {SEGMENTS},{WINDOWED}, grouped AS (SELECT video_id, window_sec, list(text ORDER BY seg_no) AS texts FROM anchored GROUP BY 1, 2)
 SELECT video_id, window_sec, list_reduce(texts, lambda a, x: CASE WHEN length(a) >= 520 THEN a ELSE
   (CASE WHEN a = '' THEN '' ELSE a || ' ' END) || (CASE WHEN length(x) <= 520 - length(CASE WHEN a = '' THEN '' ELSE a || ' ' END) THEN x

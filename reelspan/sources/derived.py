@@ -10,10 +10,10 @@ from collections.abc import Callable
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from reelspan.functions.text import trimmed, words
+from reelspan.operators.scan import Fold, dense, running
 
 SECONDS_A_WORD = 0.5
 
@@ -40,8 +40,8 @@ def segments(documents: DataFrame) -> DataFrame:
     lines = documents.select(F.col("doc_id").alias("video_id"), F.posexplode(F.split("text", "\n")).alias("seg_no", "line"))
     filled = lines.select("video_id", F.col("seg_no").cast("long").alias("seg_no"), trimmed("line").alias("text")).where("text <> ''")
     length = F.size(words("text")) * SECONDS_A_WORD
-    end = F.sum(length).over(W.partitionBy("video_id").orderBy("seg_no").rowsBetween(W.unboundedPreceding, 0))
-    return filled.select("video_id", "seg_no", (end - length).alias("start_sec"), end.alias("end_sec"), "text")
+    timed = running(filled.withColumn("length", length), ["video_id"], ["seg_no"], dense("seg_no"), {"end_sec": Fold("sum", F.col("length"))})
+    return timed.select("video_id", "seg_no", (F.col("end_sec") - F.col("length")).alias("start_sec"), "end_sec", "text")
 
 
 def durations(segments: DataFrame) -> DataFrame:
