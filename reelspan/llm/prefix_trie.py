@@ -46,7 +46,7 @@ def ordered_turns(conversations: DataFrame) -> DataFrame:
     role, text = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("role", "text"))
     turns = conversations.where("conv_id is not null").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), role.alias("role"), text.alias("text"))
     hashed = turns.select("conv_id", "turn", F.xxhash64(F.lit(1), "role", "text").alias("a"), F.xxhash64(F.lit(2), "role", "text").alias("b"), F.length("text").cast("long").alias("n"))
-    return running(hashed, ["conv_id"], [F.col("turn").asc_nulls_first(), F.col("a"), F.col("b")], dense("turn"), {"pos": Fold("count", F.lit(1), own=False)}).drop("turn")
+    return running(hashed, ["conv_id"], ["turn", "a", "b"], dense("turn"), {"pos": Fold("count", F.lit(1), own=False)}).drop("turn")
 
 
 def rebuilt_prefixes(turns: DataFrame, scratch: Scratch) -> DataFrame:
@@ -222,7 +222,7 @@ def subtree_sums(nodes: DataFrame, scratch: Scratch) -> DataFrame:
     for given in gifts:
         summed = summed.unionByName(given)
     merged = summed.groupBy("label", "depth").agg(*sums)
-    return running(merged, ["label"], [F.col("depth").desc()], dense("depth", descending=True), {"n_leaves": Fold("sum", F.col("leaf")), "saved": Fold("sum", F.col("worth"))}).select("label", "depth", "n_leaves", "saved")
+    return running(merged, ["label"], ["depth"], dense("depth"), {"n_leaves": Fold("sum", F.col("leaf")), "saved": Fold("sum", F.col("worth"))}, descending=True).select("label", "depth", "n_leaves", "saved")
 
 
 def trie(conversations: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
