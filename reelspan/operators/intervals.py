@@ -62,6 +62,7 @@ def clip_to_first(segments: DataFrame, ranges: DataFrame) -> DataFrame:
 def within_padding(segments: DataFrame, ranges: DataFrame, padding_sec: float = 60.0) -> DataFrame:
     """Segments that overlap a range widened on both sides (its start not below 0); a semi join."""
     r = ranges.select("video_id", F.greatest(F.col("start_sec") - padding_sec, F.lit(0.0)).alias("start_sec"), (F.col("end_sec") + padding_sec).alias("end_sec"))
+    r = merged(r.where("end_sec > start_sec"), touching=False).drop("range_no").unionByName(r.where("end_sec <= start_sec"))  # overlapping ranges are met once
     hit = bucketed_overlaps(segments.select("video_id", "seg_no", "start_sec", "end_sec"), r).select("video_id", "seg_no").distinct()
     return segments.join(hit, ["video_id", "seg_no"], "left_semi")
 
@@ -70,10 +71,16 @@ def coalesced(ranges: DataFrame, padding_sec: float = 0.0) -> DataFrame:
     """Widens ranges, sorts them and merges those that overlap or touch; inverted and empty ones go
     first. Numbers count from 0 in order of time."""
     p = ranges.where("end_sec > start_sec").select("video_id", F.greatest(F.col("start_sec") - padding_sec, F.lit(0.0)).alias("start_sec"), (F.col("end_sec") + padding_sec).alias("end_sec"))
+    return merged(p)
+
+
+def merged(ranges: DataFrame, touching: bool = True) -> DataFrame:
+    """Ranges that overlap, or also those that touch, as one each: a sweep that carries the furthest end. Numbers count
+    from 0 in order of time."""
     order, stretch = ["start_sec", "end_sec"], timed("start_sec", STRETCH_SEC)
-    p = running(p, ["video_id"], order, stretch, {"reach": Fold("max", F.col("end_sec"), own=False)})
-    new = F.when(F.col("reach").isNull() | (F.col("start_sec") > F.col("reach")), 1).otherwise(0)
-    p = running(p, ["video_id"], order, stretch, {"range_no": Fold("sum", new)}).withColumn("range_no", F.col("range_no") - 1)
+    p = running(ranges, ["video_id"], order, stretch, {"reach": Fold("max", F.col("end_sec"), own=False)})
+    apart = F.col("start_sec") > F.col("reach") if touching else F.col("start_sec") >= F.col("reach")
+    p = running(p, ["video_id"], order, stretch, {"range_no": Fold("sum", F.when(F.col("reach").isNull() | apart, 1).otherwise(0))}).withColumn("range_no", F.col("range_no") - 1)
     return p.groupBy("video_id", "range_no").agg(F.min("start_sec").alias("start_sec"), F.max("end_sec").alias("end_sec"))
 
 
@@ -144,11 +151,17 @@ def range_at(points: DataFrame, ranges: DataFrame) -> DataFrame:
 
 def nearest_marker(points: DataFrame, markers: DataFrame, tolerance: float) -> DataFrame:
     """For each point (video_id, point_id, point_sec) the nearest marker within ``tolerance``; of
-    equally near ones the later. Points without one have no row."""
-    near = joined_nearby(points.select("video_id", "point_id", "point_sec"), "point_sec", markers.select("video_id", "marker_sec", "marker_id"), "marker_sec", tolerance)
-    near = near.where(F.abs(F.col("marker_sec") - F.col("point_sec")) <= tolerance)
-    best = F.min(F.struct(F.abs(F.col("marker_sec") - F.col("point_sec")).alias("d"), (-F.col("marker_sec")).alias("s"), (-F.col("marker_id")).alias("m"))).alias("best")
-    return near.groupBy("video_id", "point_id").agg(best).select("video_id", "point_id", (-F.col("best.s")).alias("marker_sec"), (-F.col("best.m")).alias("marker_id"), F.col("best.d").alias("distance_sec"))
+    equally near ones the later. Points without one have no row; repeated points have each their own. An as-of join: points and markers
+    are sorted as one, and the marker before and the one after are carried along, so dense markers cost no more than their number."""
+    at = lambda sec: timed(sec, STRETCH_SEC)
+    last = markers.groupBy("video_id", F.col("marker_sec").alias("at_sec")).agg(F.max("marker_id").alias("marker_id"))
+    rows = last.select("video_id", "at_sec", F.lit(0).alias("kind"), F.lit(None).cast(points.schema["point_id"].dataType).alias("point_id"), F.struct(F.col("at_sec").alias("sec"), F.col("marker_id").alias("id")).alias("marker"))
+    rows = rows.unionByName(points.select("video_id", F.col("point_sec").alias("at_sec"), F.lit(1).alias("kind"), "point_id"), allowMissingColumns=True)  # markers before points of one time
+    both = running(rows, ["video_id"], ["at_sec", "kind"], at("at_sec"), {"before": Fold("last", F.col("marker")), "after": Fold("last", F.col("marker"), backward=True)}).where("kind = 1")
+    away = lambda m: F.abs(F.col(m)["sec"] - F.col("at_sec"))
+    near = F.when(F.col("before").isNull() | (away("after") <= away("before")), F.col("after")).otherwise(F.col("before"))
+    found = both.withColumn("near", near).withColumn("distance_sec", away("near")).where(F.col("distance_sec") <= tolerance)
+    return found.select("video_id", "point_id", F.col("near.sec").alias("marker_sec"), F.col("near.id").alias("marker_id"), "distance_sec")
 
 
 def with_settings(paths: DataFrame, settings: DataFrame) -> DataFrame:

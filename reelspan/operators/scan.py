@@ -9,7 +9,7 @@ A key of any length is thus as many tasks' work as it has stretches. Rows move o
 from __future__ import annotations
 
 from collections.abc import Mapping
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -22,12 +22,14 @@ _FIRST_STRETCH = -(2**62)
 
 @dataclass(frozen=True)
 class Fold:
-    """A running value: its kind (count, sum, max, min, bit_xor, first or last), what is folded, and whether a row's
-    own value counts. Nulls are passed over; where there is nothing yet the value is null (a count: 0)."""
+    """A running value: its kind (count, sum, max, min, bit_xor, first or last), what is folded, whether a row's
+    own value counts, and whether it runs backward, from the last row on. Nulls are passed over; where there is nothing
+    yet the value is null (a count: 0)."""
 
     kind: str
     value: Column
     own: bool = True
+    backward: bool = False
 
     def over(self, value: Column, window) -> Column:
         """The fold within a window, of what was not folded yet."""
@@ -35,10 +37,15 @@ class Fold:
         at_edge = {"first": F.first, "last": F.last}
         return (plain[self.kind](value) if self.kind in plain else at_edge[self.kind](value, ignorenulls=True)).over(window)
 
-    def total(self, value: Column, order: list[str], descending: bool) -> Column:
+    def frame(self, keys: list[str], order: list[str], own: bool):
+        """The window of the rows up to one, with or without itself."""
+        ordered = W.partitionBy(*keys).orderBy(*[F.col(o).desc() if self.backward else F.col(o) for o in order])
+        return ordered.rowsBetween(W.unboundedPreceding, 0 if own else -1)
+
+    def total(self, value: Column, order: list[str]) -> Column:
         """The fold of a whole stretch."""
         if self.kind in ("first", "last"):
-            pick = F.min_by if (self.kind == "first") != descending else F.max_by
+            pick = F.min_by if (self.kind == "first") != self.backward else F.max_by
             return pick(value, F.when(value.isNotNull(), F.struct(*order)))
         return {"count": F.count, "sum": F.sum, "max": F.max, "min": F.min, "bit_xor": F.bit_xor}[self.kind](value)
 
@@ -63,8 +70,8 @@ def timed(seconds: str, size: float) -> Column:
     return F.floor(bounded / size).cast("long")
 
 
-def running(df: DataFrame, by: list[str], order: list[str], stretch: Column, folds: Mapping[str, Fold], descending: bool = False) -> DataFrame:
-    """Adds running values over the rows of each key in ``order`` (nulls first), or all of it backwards.
+def running(df: DataFrame, by: list[str], order: list[str], stretch: Column, folds: Mapping[str, Fold]) -> DataFrame:
+    """Adds running values over the rows of each key in ``order`` (nulls first).
 
     ``stretch`` is a whole number that never falls along the order and has few rows to a value; a null one
     comes first. Keys that hold a null make one group, as in a window, in one stretch. Sums of
@@ -74,14 +81,12 @@ def running(df: DataFrame, by: list[str], order: list[str], stretch: Column, fol
     no_key = F.lit(False)
     for k in by:
         no_key = no_key | F.col(k).isNull()
-    place = F.coalesce(stretch, F.lit(_FIRST_STRETCH))
-    cut = df.withColumn("_stretch", F.when(no_key, F.lit(0)).otherwise(-place if descending else place).cast("long"))
+    place = F.coalesce(stretch, F.lit(_FIRST_STRETCH)).cast("long")
+    cut = df.withColumn("_stretch", F.when(no_key, F.lit(0).cast("long")).otherwise(place))
     cut = cut.withColumns({f"_value_{n}": f.value for n, f in folds.items()})
-    inside = W.partitionBy(*by, "_stretch").orderBy(*[F.col(o).desc() if descending else F.col(o) for o in order])
-    here = cut.withColumns({f"_here_{n}": f.over(F.col(f"_value_{n}"), inside.rowsBetween(W.unboundedPreceding, 0 if f.own else -1)) for n, f in folds.items()})
-    totals = cut.groupBy(*by, "_stretch").agg(*[f.total(F.col(f"_value_{n}"), order, descending).alias(f"_all_{n}") for n, f in folds.items()])
-    earlier = W.partitionBy(*by).orderBy("_stretch").rowsBetween(W.unboundedPreceding, -1)
-    across = {n: Fold("sum", f.value) if f.kind == "count" else f for n, f in folds.items()}
-    before = totals.select(*by, "_stretch", *[f.over(F.col(f"_all_{n}"), earlier).alias(f"_before_{n}") for n, f in across.items()])
+    here = cut.withColumns({f"_here_{n}": f.over(F.col(f"_value_{n}"), f.frame([*by, "_stretch"], order, f.own)) for n, f in folds.items()})
+    totals = cut.groupBy(*by, "_stretch").agg(*[f.total(F.col(f"_value_{n}"), order).alias(f"_all_{n}") for n, f in folds.items()])
+    across = {n: replace(f, kind="sum") if f.kind == "count" else f for n, f in folds.items()}
+    before = totals.select(*by, "_stretch", *[f.over(F.col(f"_all_{n}"), f.frame(by, ["_stretch"], own=False)).alias(f"_before_{n}") for n, f in across.items()])
     joined = here.join(before, [*by, "_stretch"], "left")
     return joined.select(*[F.col(c) for c in df.columns if c not in folds], *[f.joined(F.col(f"_before_{n}"), F.col(f"_here_{n}")).alias(n) for n, f in folds.items()])

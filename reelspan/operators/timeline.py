@@ -39,9 +39,10 @@ def preview(texts: Column, limit: int = PREVIEW_CHARS) -> Column:
 
 
 def window_previews(segments: DataFrame, size: float = WINDOW_SEC, limit: int = PREVIEW_CHARS) -> DataFrame:
-    """Per video and window the preview of its text."""
+    """Per video and window the preview of its text. Only the rows that a preview may show are collected."""
     texts = F.transform(F.array_sort(F.collect_list(F.struct("seg_no", "text"))), lambda s: s["text"])
-    grouped = windowed(segments, size).groupBy("video_id", "window_sec").agg(texts.alias("texts"))
+    held = running(windowed(segments, size), ["video_id", "window_sec"], ["seg_no"], dense("seg_no"), {"chars_before": Fold("sum", F.length(trimmed("text")) + 1, own=False)})
+    grouped = held.where(F.coalesce("chars_before", F.lit(0)) <= limit).groupBy("video_id", "window_sec").agg(texts.alias("texts"))  # at most limit pieces
     return grouped.select("video_id", "window_sec", trimmed(preview(F.col("texts"), limit)).alias("preview"))
 
 

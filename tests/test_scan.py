@@ -21,13 +21,13 @@ def events(spark, n=600, seed=1):
 @pytest.mark.parametrize("own", [True, False])
 def test_every_fold_equals_its_window(spark, own, descending):
     df = events(spark)
-    folds = {kind: scan.Fold(kind, F.col("w" if kind == "bit_xor" else "v"), own) for kind in ("count", "sum", "max", "min", "bit_xor", "first", "last")}
+    folds = {kind: scan.Fold(kind, F.col("w" if kind == "bit_xor" else "v"), own, descending) for kind in ("count", "sum", "max", "min", "bit_xor", "first", "last")}
     order = [F.col(c).desc() if descending else F.col(c) for c in ("at", "id")]
     w = W.partitionBy("k").orderBy(*order).rowsBetween(W.unboundedPreceding, 0 if own else -1)
     plain = {"count": F.count("v"), "sum": F.sum("v"), "max": F.max("v"), "min": F.min("v"), "bit_xor": F.bit_xor("w"), "first": F.first("v", True), "last": F.last("v", True)}
     want = df.withColumns({n: c.over(w) for n, c in plain.items()})
     for size in (3, 50, 10_000):
-        got = scan.running(df, ["k"], ["at", "id"], scan.dense("at", size), folds, descending)
+        got = scan.running(df, ["k"], ["at", "id"], scan.dense("at", size), folds)
         assert got.columns == want.columns
         assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
 
