@@ -222,7 +222,7 @@ def subtree_sums(nodes: DataFrame, scratch: Scratch) -> DataFrame:
     for given in gifts:
         summed = summed.unionByName(given)
     merged = summed.groupBy("label", "depth").agg(*sums)
-    return running(merged, ["label"], ["depth"], dense("depth"), {"n_leaves": Fold("sum", F.col("leaf")), "saved": Fold("sum", F.col("worth"))}, descending=True).select("label", "depth", "n_leaves", "saved")
+    return running(merged, ["label"], ["depth"], dense("depth"), {"n_leaves": Fold("sum", F.col("leaf"), backward=True), "saved": Fold("sum", F.col("worth"), backward=True)}).select("label", "depth", "n_leaves", "saved")
 
 
 def trie(conversations: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
