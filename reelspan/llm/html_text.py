@@ -27,13 +27,18 @@ from reelspan.llm.common import Scratch, map_arrow, slices
 #: Fixed sets of element names.
 CONTAINERS = frozenset("html body div section article main nav header footer aside form table thead tbody tfoot ul ol dl menu figure fieldset details dialog noscript template center".split())
 BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th tr blockquote pre address figcaption caption summary legend hr option optgroup label".split())
-RAW = frozenset("script style title textarea iframe noembed noframes xmp svg math select button object canvas audio video".split())
+RAW = frozenset("script style title textarea iframe noembed noframes xmp svg select button canvas audio video".split())
 VOID_BLOCKS = frozenset(("hr",))
 #: Elements, roles and name parts that mark what is not the article.
 ASIDE_TAGS = frozenset("nav footer aside form noscript template dialog menu".split())
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 ASIDE_NAMES = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo nav navbar navigation menu breadcrumb breadcrumbs footer sidebar notice notices cookie cookies consent gdpr banner alert popup modal comment comments disqus replies respond reply share sharing social related recommended newsletter subscribe subscription signup login search pagination pager widget".split())
 HEADER_NAMES = frozenset(("header", "masthead", "topbar"))
+#: Parts that say how a name's container is built, and such that say what a page is like, not what a container is.
+BUILT = frozenset("area bar block body box buttons column col container content group holder icons inner item items left links list outer panel posts region right row section top bottom text title unit wrap wrapper zone".split())
+STATES = frozenset("has have is no not with without hide hides show shows hidden enable enabled disable disabled can".split())
+#: Elements that names don't mark: they are the page itself.
+WHOLE = frozenset("html body main".split())
 
 #: A task passes its wrappers on when it holds this many hosts.
 HOSTS_HELD = 500
@@ -67,11 +72,10 @@ class Node:
                 role = value.strip()
             else:
                 names += value.split()
-        parts = {p for n in names for p in re.split(r"[-_:.]+", n)}
         self.name, self.children, self.deep = name, [], False
         self.label = ".".join([name, *sorted(re.sub(r"\d+", "0", n) for n in set(names))])
-        self.outside = name in ASIDE_TAGS or role in ASIDE_ROLES or bool(parts & ASIDE_NAMES)
-        self.header = name == "header" or bool(parts & HEADER_NAMES)
+        self.outside = name in ASIDE_TAGS or role in ASIDE_ROLES or marks(name, names, ASIDE_NAMES)
+        self.header = name == "header" or marks(name, names, HEADER_NAMES)
 
     def again(self) -> Node:
         """A container of the same label and marks, without children."""
@@ -80,6 +84,25 @@ class Node:
         return other
 
 
+def marks(element: str, names: list[str], known: frozenset[str]) -> bool:
+    """Whether a name says that an element is one of ``known``: the whole name, its last part (``site-footer``),
+    or its first where the rest tells how it is built (``comments-area``). Names of states (``has-sidebar``) and of other
+    things (``social-post``) don't, nor any name of the page itself; an article is marked by whole names only."""
+    if element in WHOLE:
+        return False
+    for name in names:
+        parts = [p for p in re.split(r"[-_:.]+", re.sub(r"\d+", "", name)) if p]
+        if not parts or parts[0] in STATES:
+            continue
+        if len(parts) == 1 or element == "article":
+            found = len(parts) == 1 and parts[0] in known
+        else:
+            found = parts[-1] in known or parts[0] in known and all(p in BUILT or p in known for p in parts[1:])
+        if found:
+            return True
+    return False
+
+
 class Tags:
     """Finds the tags of a page in time that grows with its length alone."""
 

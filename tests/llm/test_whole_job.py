@@ -45,6 +45,21 @@ def test_template_text_goes_only_from_its_place(spark):
     assert got[7] == "Text 7\n\nThe Daily" and got[8] == "Text 8\n\nQuote 8"
 
 
+STATES = ["has-sidebar", "no-banner", "single has-sidebar", "with-comments", "social-post", "related-to-x", "without-ads", "not-a-popup", "hide-footer", "page-with-menu-x", "is-shared", "show-related"]
+
+
+@pytest.mark.parametrize("name", STATES)
+@pytest.mark.parametrize("page", ["<body class='{}'><div class=content><p>Real text</div></body>", "<html class='{}'><body><p>Real text", "<body><div class='post {}'><p>Real text</div>", "<body><article class='post {}'><p>Real text</article>", "<body><main id='{}'><p>Real text</main>"])
+def test_names_of_states_mark_nothing(name, page):
+    assert html_text.main_text(page.format(name), None) == "Real text"
+
+
+@pytest.mark.parametrize("name", ["sidebar", "site-footer", "comments-area", "comment-list", "ad_1 ad", "nav-main menu", "cookie-bar", "share-buttons", "main-nav", "related-posts", "sidebar-left"])
+def test_names_of_other_parts_leave_them_out(name):
+    assert html_text.main_text(f"<body><div class='{name}'><p>Other</div><div id='{name}'>More</div><p>Real text</body>", None) == "Real text"
+    assert html_text.main_text("<body class=sidebar><p>E = <math><mi>m</mi></math> <object>c</object></body>", None) == "E = m c"
+
+
 BSD = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:"
 APACHE = "Licensed under the Apache License, Version 2.0 (the \"License\"); you\nmay not use this file except in compliance with the License. You may\nobtain a copy of the License at"
 MIT = next(t for n, t in licenses.TEMPLATES if n == "MIT" and len(t) > 200).replace("obtaining a ", "obtaining a\n# ").replace("without limitation ", "without limitation\n# ")
