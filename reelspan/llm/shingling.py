@@ -13,17 +13,6 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-@lru_cache(maxsize=2)
-def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    """The powers of the base and of its inverse, modulo 2**64."""
-    out = []
-    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-        p = np.full(size, base, dtype=np.uint64)
-        p[0] = 1
-        out.append(np.cumprod(p, dtype=np.uint64))
-    return out[0], out[1]
-
-
 def mixed(h: np.ndarray) -> np.ndarray:
     """Spreads every bit over all others."""
     h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
@@ -31,23 +20,32 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+@lru_cache(maxsize=2)
+def factors(size: int) -> np.ndarray:
+    """A pseudo-random factor for each place in a word."""
+    return mixed(np.arange(1, size + 1, dtype=np.uint64) * np.uint64(_BASE))
+
+
 def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(start, hash) of each word of lower-cased bytes, words parted by ASCII white space: the
-    polynomial hash of its bytes, taken from running sums."""
+    """(start, hash) of each word of lower-cased bytes, words parted by ASCII white space. A hash is the sum of the
+    bytes, each times the factor of its place: unlike powers of a base, the factors of neighbouring places have nothing
+    in common, so no regular pattern of letters makes unequal words collide."""
     starts, hashes, at = [], [], 0
     while at < len(data):
         end = min(at + STRETCH, len(data))
         while end < len(data) and not _SPACE[data[end]]:
             end += 1
         part = np.frombuffer(data, dtype=np.uint8, count=end - at, offset=at)
-        size = 1 << max(16, int(len(part)).bit_length())
-        power, inverse = powers(size)
-        inside = np.r_[False, ~_SPACE[part], False]
-        edges = np.flatnonzero(inside[1:] != inside[:-1])
-        first, last = edges[::2], edges[1::2]
-        sums = np.r_[np.uint64(0), np.cumsum((part.astype(np.uint64) + np.uint64(1)) * power[: len(part)], dtype=np.uint64)]
-        starts.append(first + at)
-        hashes.append(mixed((sums[last] - sums[first]) * inverse[first]))
+        inside = ~_SPACE[part]
+        edges = np.flatnonzero(np.diff(np.r_[False, inside, False]))
+        first, length = edges[::2], edges[1::2] - edges[::2]
+        if len(first):
+            ends = length.cumsum()
+            place = np.arange(ends[-1]) - np.repeat(ends - length, length)
+            factor = factors(1 << max(12, int(length.max()).bit_length()))
+            sums = np.add.reduceat((part[inside].astype(np.uint64) + np.uint64(1)) * factor[place], ends - length)
+            starts.append(first + at)
+            hashes.append(mixed(sums + length.astype(np.uint64)))
         at = end
     if not starts:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
