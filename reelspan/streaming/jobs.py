@@ -26,21 +26,21 @@ def after_cancel(states: DataFrame) -> DataFrame:
     return states.withColumn("signalled", F.col("state") == "running").withColumn("state", F.when(F.col("state") == "pending", "canceled").otherwise(F.col("state")))
 
 
-def batch_progress(states: DataFrame) -> DataFrame:
-    """Whole mean of the progress (finished jobs count as 100), the message of the last job that has
-    one, and counts."""
+def batch_progress(states: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """For all jobs, or for those of each batch that the columns ``by`` name: whole mean of the progress (finished
+    jobs count as 100), the message of the last job that has one, and counts."""
     done = F.col("state").isin(*FINISHED)
     progress = F.when(done, 100).otherwise(F.col("progress"))
-    return states.agg(
+    return states.groupBy(*by).agg(
         F.floor(F.sum(progress) / F.count("*")).cast("long").alias("progress"),
         F.max_by(F.col("message"), F.when(F.col("message").isNotNull(), F.col("job_id"))).alias("message"),
         F.count("*").alias("n_jobs"), F.count_if(done).alias("n_done"), F.count_if(F.col("state") == "failed").alias("n_failed"), F.count_if(F.col("state") == "canceled").alias("n_canceled"),
     )
 
 
-def batch_outcome(states: DataFrame) -> DataFrame:
-    """running while a job isn't finished; then canceled, failed or success."""
-    p = batch_progress(states)
+def batch_outcome(states: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """For all jobs or by batch: running while a job isn't finished; then canceled, failed or success."""
+    p = batch_progress(states, by)
     outcome = F.when(F.col("n_done") < F.col("n_jobs"), "running").when(F.col("n_canceled") > 0, "canceled").when(F.col("n_failed") > 0, "failed").otherwise("success")
     return p.withColumn("outcome", outcome)
 
