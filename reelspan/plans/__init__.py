@@ -1,3 +1,3 @@
 """Prompt plans and the query catalogue."""
 
-from reelspan.plans import catalogue, cases, led, pieces  # noqa: F401  (all register queries)
+from reelspan.plans import catalogue, cases, led, pieces, rendered  # noqa: F401  (all register queries)

@@ -184,8 +184,8 @@ def repair_values(lang: str = "source_language") -> dict[str, Column]:
 
 def chosen_template(languages: DataFrame, templates: DataFrame, default: str) -> DataFrame:
     """Per request (request_id, language) the template of its language, else that of auto, else the
-    default; ``templates`` (language, template) is one row a language and is broadcast."""
-    t = F.broadcast(templates.where(trimmed("template") != "").groupBy("language").agg(F.first("template").alias("template")))
+    default; ``templates`` (language, template) is one row a language; of several the greatest."""
+    t = templates.where(trimmed("template") != "").groupBy("language").agg(F.max("template").alias("template"))
     own = languages.join(t, "language", "left")
     auto = F.broadcast(templates.where("language = 'auto'").agg(F.max("template").alias("auto")))
     return own.crossJoin(auto).select("request_id", "language", F.coalesce("template", F.when(trimmed("auto") != "", F.col("auto")), F.lit(default)).alias("template"))

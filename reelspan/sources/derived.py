@@ -23,18 +23,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_held: dict[tuple[str, str, str], DataFrame] = {}
+_held: dict[tuple, DataFrame] = {}
+
+
+def version_of(spark: SparkSession, sf_dir: str) -> tuple:
+    """Names, sizes and times of the tables that a data folder holds, files in their folders included: other files,
+    other version."""
+    jvm, found = spark._jvm, []
+    root = jvm.org.apache.hadoop.fs.Path(sf_dir)
+    where = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    for table_ in where.listStatus(root):
+        parts = where.listStatus(table_.getPath()) if table_.isDirectory() else [table_]
+        found += [(p.getPath().toString(), p.getLen(), p.getModificationTime()) for p in parts]
+    return tuple(sorted(found))
 
 
 def held(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """What ``make`` derives from a data folder, worked out once in an application: the rows stay in
-    the executors' memory, or on their disks, and a lost part is worked out anew from its lineage."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    """What ``make`` derives from a data folder, worked out once for each version of its files: the rows stay in
+    the executors' memory, or on their disks, until ``release``, or until the folder has changed; a lost part is worked
+    out anew from its lineage."""
+    place = (spark.sparkContext.applicationId, sf_dir, name)
+    key = (*place, version_of(spark, sf_dir))
     if key not in _held:
+        for old in [k for k in _held if k[:3] == place]:
+            _held.pop(old).unpersist()
         _held[key] = make().persist(StorageLevel.MEMORY_AND_DISK)
     return _held[key]
 
 
+def release(spark: SparkSession) -> int:
+    """Lets go of all that this application holds; how many tables that were."""
+    own = [k for k in _held if k[0] == spark.sparkContext.applicationId]
+    for k in own:
+        _held.pop(k).unpersist()
+    return len(own)
+
+
 def segments(documents: DataFrame) -> DataFrame:
     """(video_id, seg_no, start_sec, end_sec, text); blank lines have no segment."""
     lines = documents.select(F.col("doc_id").alias("video_id"), F.posexplode(F.split("text", "\n")).alias("seg_no", "line"))

@@ -93,7 +93,7 @@ def template_sections(lines: DataFrame) -> DataFrame:
 def first_section(sections: DataFrame, candidates: DataFrame, section: str) -> DataFrame:
     """The body of a section in the first candidate file (priority, file) that has one."""
     has = sections.where((F.col("section") == section) & (F.col("body") != ""))
-    return has.join(F.broadcast(candidates), "file").agg(F.min_by("body", "priority").alias("body")).where("body is not null")
+    return has.join(candidates, "file").agg(F.min_by("body", "priority").alias("body")).where("body is not null")
 
 
 def first_existing(candidates: DataFrame, existing: DataFrame) -> DataFrame:

@@ -290,3 +290,19 @@ def test_derived_tables_are_worked_out_once(spark, small):
     assert catalogue.segments_of(spark, small) is catalogue.segments_of(spark, small)
     plan = catalogue.QUERIES["clip_transcript"](spark, small)._jdf.queryExecution().executedPlan().toString()
     assert plan.split("InMemoryRelation")[0].count("FileScan") == 0
+
+
+def test_derived_tables_follow_their_files(spark, tmp_path):
+    """A folder that is written anew gives its new rows; what is held can be let go."""
+    from reelspan.plans import catalogue
+    from reelspan.sources import derived
+
+    folder = str(tmp_path / "data")
+    write = lambda text: spark.createDataFrame([(1, text, "en", "web", len(text))], "doc_id long, text string, lang string, source string, n_chars int").write.mode("overwrite").parquet(f"{folder}/documents.parquet")
+    write("one\ntwo")
+    first = catalogue.segments_of(spark, folder)
+    assert first.count() == 2 and catalogue.segments_of(spark, folder) is first and first.is_cached
+    write("one\ntwo\nthree words here")
+    assert catalogue.segments_of(spark, folder).count() == 3 and not first.is_cached
+    second = catalogue.segments_of(spark, folder)
+    assert derived.release(spark) >= 1 and not second.is_cached
