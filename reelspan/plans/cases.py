@@ -3,6 +3,8 @@ and each with SQL of its own to be held against."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -400,13 +402,16 @@ def prompt_issues(spark: SparkSession, d: str) -> DataFrame:
     return prompts.join(facts, "video_id", "left").select("video_id", F.array_join(rules.issues("prompt", "scope", "names", "pronoun_dependent", "unlock_method"), "; ").alias("issues"))
 
 
-TARGET = """CASE WHEN unlock_ AND german THEN 'the unlock method for learning German through ' || name || '''s language-learning approach' WHEN unlock_ THEN 'the unlock method through ' || name || '''s language-learning approach'
-WHEN pronoun THEN 'the selected idea connected to ' || name WHEN german AND (contains(h, 'unlock') OR contains(h, 'key clicks') OR contains(h, 'one key') OR contains(h, 'one logic')) THEN 'the unlock-based method for learning German'
-WHEN german AND (contains(h, 'daily loop') OR contains(h, 'routine') OR contains(h, 'spaced repetition') OR contains(h, 'practice with natives')) THEN 'the daily German-learning loop'
-WHEN german AND (contains(h, 'roadmap') OR contains(h, '8-week') OR contains(h, 'eight-week') OR contains(h, 'week-by-week')) THEN 'one resolved part of the German-learning plan' WHEN topic <> '' THEN 'one clear idea about ' || topic ELSE 'one clear idea from the selected range' END"""
-FALLBACK = f"""CASE scope WHEN 'large_range_multiple_clips' THEN 'Find multiple strong self-contained clips where the speaker explains ' WHEN 'short_range_best_moment' THEN 'Find the strongest self-contained moment where the speaker explains ' ELSE 'Find one clear self-contained clip where the speaker explains ' END || target || '. ' ||
-CASE WHEN unlock_ THEN 'Prioritize moments that introduce ' || name || ' or the key/unlock metaphor before later pronouns, then show how one piece of language logic becomes easier to understand.' WHEN pronoun THEN 'Prioritize moments that introduce ' || name || ' or the target idea before later pronouns and indirect references, then develop one continuous local explanation.'
-WHEN scope = 'short_range_best_moment' THEN 'Prioritize moments that introduce the idea with enough local context and complete one resolved part of the explanation.' ELSE 'Prioritize moments that introduce the idea with enough local context and develop the same continuous explanation.' END || ' {P.LAST_SENTENCE}'"""
+def put_sql(sentence: str) -> str:
+    """A sentence with columns in the place of ``{name}``, in SQL."""
+    return "'" + re.sub(r"\{(\w+)\}", r"' || \1 || '", sentence.replace("'", "''")) + "'"
+
+
+TOLD = {k: put_sql(v) for k, v in P.TARGETS.items()}
+TARGET = f"""CASE WHEN unlock_ AND german THEN {TOLD["unlock_german"]} WHEN unlock_ THEN {TOLD["unlock"]} WHEN pronoun THEN {TOLD["pronoun"]}
+{" ".join(f"WHEN german AND {any_sql('h', words)} THEN {TOLD[kind]}" for kind, words in P.TARGET_WORDS.items())} WHEN topic <> '' THEN {TOLD["topic"]} ELSE {TOLD["none"]} END"""
+FALLBACK = f"""CASE scope {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in P.OPENERS.items() if k != "other")} ELSE '{P.OPENERS["other"]}' END || target || '. ' ||
+CASE WHEN unlock_ THEN {put_sql(P.MIDDLES["unlock"])} WHEN pronoun THEN {put_sql(P.MIDDLES["pronoun"])} WHEN scope = 'short_range_best_moment' THEN '{P.MIDDLES["short"]}' ELSE '{P.MIDDLES["other"]}' END || ' {P.LAST_SENTENCE}'"""
 
 
 @query(f"""WITH base AS (SELECT doc_id AS video_id, lower({trim_sql("text")} || ' ' || CASE doc_id % 6 WHEN 0 THEN 'german one key' WHEN 1 THEN 'german daily loop' WHEN 2 THEN 'GERMAN roadmap' WHEN 3 THEN 'routine' ELSE 'german' END) AS h, CASE WHEN doc_id % 4 < 2 THEN 'Anna Berg' END AS name, doc_id % 4 = 0 AS unlock_, doc_id % 4 = 1 AS pronoun,

@@ -5,6 +5,8 @@ Network calls are not part of this library: replies come in as a table, requests
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +28,29 @@ NO_TOPIC = "the strongest topics in the selected range"
 RUBRIC = "Find self-contained clips within the selected range from one dominant sub-arc about {{topic_keywords}}. Prefer complete arcs with a natural start, focused development, clear payoff, and natural ending. Avoid isolated fragments, housekeeping, timestamps, visual effects, and duration requests."
 LAST_SENTENCE = "Prefer clips that end after the local point is resolved, with clean natural boundaries and without unfinished setup, list items, and mid-thought transitions."
 SEED, REPLY_TOKENS, REPAIR_TOKENS = 12345, 500, 350
+#: Targets of prompts made without a model, and the words that lead to some of them.
+TARGETS = {
+    "unlock_german": "the unlock method for learning German through {name}'s language-learning approach", "unlock": "the unlock method through {name}'s language-learning approach", "pronoun": "the selected idea connected to {name}",
+    "key": "the unlock-based method for learning German", "loop": "the daily German-learning loop", "plan": "one resolved part of the German-learning plan", "topic": "one clear idea about {topic}", "none": "one clear idea from the selected range",
+}
+TARGET_WORDS = {"key": ("unlock", "key clicks", "one key", "one logic"), "loop": ("daily loop", "routine", "spaced repetition", "practice with natives"), "plan": ("roadmap", "8-week", "eight-week", "week-by-week")}
+#: First and second sentences of such prompts.
+OPENERS = {
+    "large_range_multiple_clips": "Find multiple strong self-contained clips where the speaker explains ", "short_range_best_moment": "Find the strongest self-contained moment where the speaker explains ",
+    "other": "Find one clear self-contained clip where the speaker explains ",
+}
+MIDDLES = {
+    "unlock": "Prioritize moments that introduce {name} or the key/unlock metaphor before later pronouns, then show how one piece of language logic becomes easier to understand.",
+    "pronoun": "Prioritize moments that introduce {name} or the target idea before later pronouns and indirect references, then develop one continuous local explanation.",
+    "short": "Prioritize moments that introduce the idea with enough local context and complete one resolved part of the explanation.",
+    "other": "Prioritize moments that introduce the idea with enough local context and develop the same continuous explanation.",
+}
+
+
+def put(sentence: str, **values: Column) -> Column:
+    """A sentence with values in the place of ``{name}``."""
+    parts = re.split(r"\{(\w+)\}", sentence)
+    return F.concat(*[values[p] if i % 2 else F.lit(p) for i, p in enumerate(parts) if p])
 
 
 def reply_text(body: Column | str) -> Column:
@@ -81,15 +106,11 @@ def default_target(prompt: Column | str, text: Column | str, names: Column | str
     def chosen(both: Column) -> Column:
         has = lambda *p: F.exists(F.array(*map(F.lit, p)), lambda x: F.contains(both, x))
         german = has("german")
-        return (
-            F.when(unlock & german, F.concat(F.lit("the unlock method for learning German through "), name, F.lit("'s language-learning approach")))
-            .when(unlock, F.concat(F.lit("the unlock method through "), name, F.lit("'s language-learning approach")))
-            .when(pronoun & name.isNotNull(), F.concat(F.lit("the selected idea connected to "), name))
-            .when(has("unlock", "key clicks", "one key", "one logic") & german, "the unlock-based method for learning German")
-            .when(has("daily loop", "routine", "spaced repetition", "practice with natives") & german, "the daily German-learning loop")
-            .when(has("roadmap", "8-week", "eight-week", "week-by-week") & german, "one resolved part of the German-learning plan")
-            .otherwise(let(first_keyword(keywords), lambda k: F.when(k != "", F.concat(F.lit("one clear idea about "), k)).otherwise("one clear idea from the selected range")))
-        )
+        topic = let(first_keyword(keywords), lambda k: F.when(k != "", put(TARGETS["topic"], topic=k)).otherwise(TARGETS["none"]))
+        out = F.when(unlock & german, put(TARGETS["unlock_german"], name=name)).when(unlock, put(TARGETS["unlock"], name=name)).when(pronoun & name.isNotNull(), put(TARGETS["pronoun"], name=name))
+        for kind, words in TARGET_WORDS.items():
+            out = out.when(has(*words) & german, TARGETS[kind])
+        return out.otherwise(topic)
 
     return let(F.lower(F.concat(prompt_payload(prompt), F.lit(" "), F.coalesce(col(text), F.lit("")))), chosen)
 
@@ -140,13 +161,8 @@ def fallback_prompt(scope: Column | str, target: Column, names: Column | str, pr
     s, name = col(scope), F.try_element_at(col(names), F.lit(1))
     unlock, pronoun = F.coalesce(col(unlock_method), F.lit(False)), F.coalesce(col(pronoun_dependent), F.lit(False)) & name.isNotNull()
     short = s == "short_range_best_moment"
-    opener = F.when(s == "large_range_multiple_clips", "Find multiple strong self-contained clips where the speaker explains ").when(short, "Find the strongest self-contained moment where the speaker explains ").otherwise("Find one clear self-contained clip where the speaker explains ")
-    middle = (
-        F.when(unlock, F.concat(F.lit("Prioritize moments that introduce "), name, F.lit(" or the key/unlock metaphor before later pronouns, then show how one piece of language logic becomes easier to understand.")))
-        .when(pronoun, F.concat(F.lit("Prioritize moments that introduce "), name, F.lit(" or the target idea before later pronouns and indirect references, then develop one continuous local explanation.")))
-        .when(short, "Prioritize moments that introduce the idea with enough local context and complete one resolved part of the explanation.")
-        .otherwise("Prioritize moments that introduce the idea with enough local context and develop the same continuous explanation.")
-    )
+    opener = F.when(s == "large_range_multiple_clips", OPENERS["large_range_multiple_clips"]).when(short, OPENERS["short_range_best_moment"]).otherwise(OPENERS["other"])
+    middle = F.when(unlock, put(MIDDLES["unlock"], name=name)).when(pronoun, put(MIDDLES["pronoun"], name=name)).when(short, MIDDLES["short"]).otherwise(MIDDLES["other"])
     return F.concat(opener, target, F.lit(". "), middle, F.lit(" " + LAST_SENTENCE))
 
 
