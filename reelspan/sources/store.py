@@ -98,10 +98,12 @@ def concat_lines(paths: DataFrame) -> DataFrame:
     return paths.select("part_no", F.concat(F.lit("file '"), F.replace("path", F.lit("'"), F.lit("'\\''")), F.lit("'")).alias("line"))
 
 
-def free_paths(wanted: DataFrame, existing: DataFrame, tries: int = 100) -> DataFrame:
+def free_paths(wanted: DataFrame, existing: DataFrame, tries: int = 100, millis: Column | None = None) -> DataFrame:
     """Per (stem, extension) the first of ``tries`` paths that doesn't exist: without a number, then
-    with -2, -3 and so on; null when all exist."""
+    with -2, -3 and so on. When all exist, the one with ``millis``, the time of the run, unchecked; null without a time."""
+    named = lambda suffix: F.concat("stem", suffix, F.lit("."), "extension")
     options = wanted.select("stem", "extension", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))).alias("k"))
-    path = F.concat("stem", F.when(F.col("k") > 0, F.concat(F.lit("-"), (F.col("k") + 1).cast("string"))).otherwise(""), F.lit("."), "extension")
+    path = named(F.when(F.col("k") > 0, F.concat(F.lit("-"), (F.col("k") + 1).cast("string"))).otherwise(""))
     free = options.withColumn("path", path).join(existing.select("path"), "path", "left_anti")
-    return wanted.join(free.groupBy("stem", "extension").agg(F.min_by("path", "k").alias("path")), ["stem", "extension"], "left")
+    found = wanted.join(free.groupBy("stem", "extension").agg(F.min_by("path", "k").alias("path")), ["stem", "extension"], "left")
+    return found if millis is None else found.withColumn("path", F.coalesce("path", named(F.concat(F.lit("-"), millis.cast("string")))))

@@ -177,6 +177,8 @@ def test_store(spark):
     assert rows(store.values_or_default(defaults, s), "key", "value") == [("k", "d"), ("none", "e")]
     want = spark.createDataFrame([("v", "mp4")], "stem string, extension string")
     assert store.free_paths(want, spark.createDataFrame([("v.mp4",), ("v-2.mp4",)], "path string")).first()["path"] == "v-3.mp4"
+    taken = spark.createDataFrame([("v.mp4",), ("v-2.mp4",)], "path string")
+    assert store.free_paths(want, taken, 2).first()["path"] is None and store.free_paths(want, taken, 2, F.lit(1700)).first()["path"] == "v-1700.mp4"
 
 
 def test_settings_round_trip(spark):
