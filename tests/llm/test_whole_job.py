@@ -5,6 +5,7 @@ import json
 import random
 import re
 import time
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -202,6 +203,52 @@ def test_whole_decontamination_equals_brute_force(spark, small):
 SCANNER = licenses.Scanner()
 
 
+def plain_segments(model, text):
+    """The best segmentation of a field over all its candidates, without leaving any out."""
+    tokens, spans = pii.candidates(text, 0, len(text))
+    best = [{0: (0.0, None)}] + [{} for _ in tokens]
+    by_end = {}
+    for i, j in spans:
+        by_end.setdefault(j, []).append((i, model.weights[model.ids_of(pii.span_features(text, tokens[i][0], tokens[j - 1][1], j - i))].sum(0)))
+    for j in range(1, len(tokens) + 1):
+        options = [(0, j - 1, y, v + model.follow[y, 0]) for y, (v, _) in sorted(best[j - 1].items())]
+        options += [(k + 1, i, y, v + model.follow[y, k + 1] + s[k]) for i, s in by_end.get(j, ()) for k in range(len(pii.KINDS)) for y, (v, _) in sorted(best[i].items())]
+        for y, i, before, value in options:
+            if y not in best[j] or value > best[j][y][0]:
+                best[j][y] = (value, (i, before))
+    j, y, out = len(tokens), min(best[-1], key=lambda y: (-best[-1][y][0], y)), []
+    while j:
+        i, before = best[j][y][1]
+        out += [(tokens[i][0], tokens[j - 1][1], pii.KINDS[y - 1])] if y else []
+        j, y = i, before
+    return out[::-1]
+
+
+@pytest.mark.parametrize("stretch", [70, 4096])
+def test_long_fields_are_segmented_as_a_whole(monkeypatch, stretch):
+    monkeypatch.setattr(pii, "STRETCH", stretch)
+    rng, model, found = random.Random(5), pii.trained(), 0
+    pieces = ["1", ",", "2024", "-", "12", "@", "a", "b.c", "+49", "(030)", "1.2.3.4", "4111111111111111", "key=", "token:", "9f86d081884c7d659a2feaa0c55ad015", "_", '"', "é", "(123)-456-7890", "ab12cd34ef56gh78ij90kl", ".", "1."]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.choice((9, 60, 260)))) for _ in range(40)]
+    for text in [*texts, "1," * 300, "1." * 300, "1.2.3.4," * 60, "token=9f86d081884c7d659a2feaa0c55ad015," * 40]:
+        got = model.decode(text, 0, len(text))
+        assert got == plain_segments(model, text), text
+        found += len(got)
+    assert found > 200
+
+
+def test_long_fields_take_linear_time_and_little_memory():
+    model = pii.trained()
+    for text in ("1," * 500_000, "7" * 1_000_000, "x1," * 60_000, "12;" * 100_000 + "a@b.example " + "3/" * 100_000, "a 1" + "1" * 1_000_000 + "x"):
+        tracemalloc.start()
+        at = time.time()
+        base, spans = pii.find(text, model)
+        assert time.time() - at < 60
+        assert tracemalloc.get_traced_memory()[1] < 100 << 20
+        tracemalloc.stop()
+        assert set(base) <= set(spans) and len(spans) <= 1
+
+
 def test_spans_in_sentences_of_another_hand():
     """Recall on sentences, languages and forms that the training's generator doesn't make, and none in
     harmless ones."""
