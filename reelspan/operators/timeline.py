@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reelspan.functions.text import MOST_CONTEXT_CHARS, PREVIEW_CHARS, WINDOW_SEC, decimals, segment_line, trimmed
+from reelspan.operators.intervals import TIMES, with_texts
 from reelspan.operators.scan import Fold, dense, running
 
 
@@ -41,8 +42,10 @@ def preview(texts: Column, limit: int = PREVIEW_CHARS) -> Column:
 def window_previews(segments: DataFrame, size: float = WINDOW_SEC, limit: int = PREVIEW_CHARS) -> DataFrame:
     """Per video and window the preview of its text. Only the rows that a preview may show are collected."""
     texts = F.transform(F.array_sort(F.collect_list(F.struct("seg_no", "text"))), lambda s: s["text"])
-    held = running(windowed(segments, size), ["video_id", "window_sec"], ["seg_no"], dense("seg_no"), {"chars_before": Fold("sum", F.length(trimmed("text")) + 1, own=False)})
-    grouped = held.where(F.coalesce("chars_before", F.lit(0)) <= limit).groupBy("video_id", "window_sec").agg(texts.alias("texts"))  # at most limit pieces
+    bare = segments.select(*TIMES, F.left(trimmed("text"), F.lit(1)).alias("text"), F.length(trimmed("text")).alias("chars"))  # whether it is blank, and its length
+    held = running(windowed(bare, size), ["video_id", "window_sec"], ["seg_no"], dense("seg_no"), {"chars_before": Fold("sum", F.col("chars") + 1, own=False)})
+    shown = with_texts(held.where(F.coalesce("chars_before", F.lit(0)) <= limit).drop("text"), segments)
+    grouped = shown.groupBy("video_id", "window_sec").agg(texts.alias("texts"))  # at most limit pieces
     return grouped.select("video_id", "window_sec", trimmed(preview(F.col("texts"), limit)).alias("preview"))
 
 
@@ -62,14 +65,17 @@ def within_budget(segments: DataFrame, budget: int = MOST_CONTEXT_CHARS) -> Data
     return kept.withColumn("cut", F.col("running_chars") >= budget)
 
 
-def channel_timeline(segments: DataFrame, videos: DataFrame, videos_held: int = 64) -> DataFrame:
+def channel_timeline(segments: DataFrame, videos: DataFrame, videos_held: int = 64, first_chars: int | None = None) -> DataFrame:
     """All videos of a channel (video_id, channel) laid end to end by id: (channel, video_id, seg_no, start_sec, end_sec,
     running_chars) with times of the channel and the characters of its texts so far, a line feed each. A
-    channel is as many tasks' work as it has stretches of ``videos_held`` ids."""
-    placed = segments.join(videos.select("video_id", "channel"), "video_id")
+    channel is as many tasks' work as it has stretches of ``videos_held`` ids. With ``first_chars`` only segments before which there are
+    fewer characters."""
+    placed = segments.select("video_id", "seg_no", "start_sec", "end_sec", F.length("text").alias("chars")).join(videos.select("video_id", "channel"), "video_id")  # texts stay
     length = F.col("end_sec") - F.col("start_sec")
-    folds = {"until_sec": Fold("sum", length), "running_chars": Fold("sum", F.length("text") + 1)}
+    folds = {"until_sec": Fold("sum", length), "running_chars": Fold("sum", F.col("chars") + 1)}
     laid = running(placed, ["channel"], ["video_id", "seg_no"], dense("video_id", videos_held), folds)
+    if first_chars is not None:
+        laid = laid.where(F.col("running_chars") - F.col("chars") - 1 < first_chars)
     return laid.select("channel", "video_id", "seg_no", (F.col("until_sec") - length).alias("start_sec"), F.col("until_sec").alias("end_sec"), "running_chars")
 
 

@@ -83,10 +83,11 @@ def store_versions(spark: SparkSession, d: str) -> DataFrame:
     return table.read().withColumn("version", F.lit(table.manifest()["version"]))
 
 
-def channels_of(spark: SparkSession, d: str) -> DataFrame:
-    """The channel of each language as one long video of segments."""
+def channels_of(spark: SparkSession, d: str, first_chars: int | None = None) -> DataFrame:
+    """The channel of each language as one long video of segments; of these all that may begin within ``first_chars``
+    characters of lines, which are no shorter than their texts, or all."""
     videos = derived.table(spark, d, "documents").select(F.col("doc_id").alias("video_id"), F.coalesce("lang", F.lit("")).alias("channel"))
-    laid = T.channel_timeline(segments_of(spark, d), videos).join(segments_of(spark, d).select("video_id", "seg_no", "text"), ["video_id", "seg_no"])
+    laid = T.channel_timeline(segments_of(spark, d), videos, first_chars=first_chars).join(segments_of(spark, d).select("video_id", "seg_no", "text"), ["video_id", "seg_no"])
     return laid.select(F.col("channel").alias("video_id"), (F.col("video_id") * (1 << 20) + F.col("seg_no")).alias("seg_no"), "start_sec", "end_sec", "text")
 
 
@@ -99,7 +100,7 @@ run AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY channel ORDER BY seg_
 SELECT channel, seg_no::BIGINT AS seg_no, total::BIGINT AS running_chars, total >= 60000 AS cut FROM run WHERE total - length(line) - 1 < 60000""")
 def channel_budget(spark: SparkSession, d: str) -> DataFrame:
     """The beginning of each channel's transcript that fits into 60,000 characters, with the line that is cut."""
-    kept = T.within_budget(channels_of(spark, d))
+    kept = T.within_budget(channels_of(spark, d, T.MOST_CONTEXT_CHARS))
     return kept.select(F.col("video_id").alias("channel"), "seg_no", F.col("running_chars").cast("long").alias("running_chars"), "cut")
 
 
