@@ -40,9 +40,18 @@ def led_of(spark: SparkSession, d: str) -> DataFrame:
 
 
 def requests_of(spark: SparkSession, d: str) -> DataFrame:
-    """One request for each led document, with the facts of its transcript."""
-    docs = led_of(spark, d)
-    s = derived.segments(docs)
+    """One request for each led document, with the facts of its transcript; worked out once."""
+    return derived.held(spark, d, "led-requests", lambda: made_requests(spark, d))
+
+
+def segments_of(spark: SparkSession, d: str) -> DataFrame:
+    """Segments of the led documents, derived once."""
+    return derived.held(spark, d, "led-segments", lambda: derived.segments(led_of(spark, d)))
+
+
+def made_requests(spark: SparkSession, d: str) -> DataFrame:
+    """What ``requests_of`` holds."""
+    docs, s = led_of(spark, d), segments_of(spark, d)
     r = I.marker_ranges(markers_of(spark, d), derived.durations(s))
     overall = docs.select(F.col("doc_id").alias("video_id"), F.lit(0.0).alias("range_start_sec"), F.lit(0.0).alias("range_end_sec"))
     facts = E.reference_facts(s).join(A.selected_duration(s, r, overall), "video_id")
@@ -56,7 +65,7 @@ JUDGED_SQL = f"WITH {LED_SQL}, " + over_led(f"{SEGMENTS},{MARKERS},{RANGES}, {ca
 @query(f"{FACTS_SQL} SELECT video_id, array_to_string(names, ', ') AS names, pronoun AS pronoun_dependent, unlock_ AS unlock_method FROM facts")
 def led_facts(spark: SparkSession, d: str) -> DataFrame:
     """Names, and whether transcripts depend on them, where some do."""
-    return E.reference_facts(derived.segments(led_of(spark, d))).select("video_id", F.array_join("names", ", ").alias("names"), "pronoun_dependent", "unlock_method")
+    return E.reference_facts(segments_of(spark, d)).select("video_id", F.array_join("names", ", ").alias("names"), "pronoun_dependent", "unlock_method")
 
 
 LED_LOW = f"""{JUDGED_SQL}, prompts AS (SELECT doc_id AS video_id, 'whole' AS kind, text AS p FROM opened UNION ALL SELECT doc_id, 'lead', lead FROM opened UNION ALL SELECT doc_id, 'own', text FROM documents),
