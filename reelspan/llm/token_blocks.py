@@ -302,7 +302,9 @@ _CLASS = {k: b"".join(b"\\x%02x" % ord(c) for c in _LATIN if test(c)) for k, tes
 #: The same pattern for lower-cased text of such characters, one byte each.
 PIECES = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[%(L)s]+|[%(N)s]|[^%(S)s%(L)s%(N)s]+" % _CLASS)
 #: Pieces of a generation that a worker remembers, the longest of them, and characters that are cut at once.
-PIECES_HELD, PIECE_LENGTH, HELD_CHARS = 1 << 18, 48, 1 << 19
+PIECES_HELD, PIECE_LENGTH, HELD_CHARS = 1 << 19, 48, 1 << 19
+#: What stands between words that are encoded in one text, and how many these are.
+MARK, JOINED = ",", 256
 
 
 class Remembered:
@@ -346,12 +348,29 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        self.mark = self.library.encode(MARK, add_special_tokens=False).ids
         self.pieces = Remembered(PIECES_HELD)
 
     def plain(self, texts: list[str]) -> list[bytes]:
         """The library's ids of whole texts."""
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def apart(self, pieces: list[str]) -> list[bytes]:
+        """The library's ids of pieces. Words of letters go to it many to a text, with MARK between, and are parted at MARK's id,
+        which no letters give; all others, and a text that doesn't come apart as it was put together, go each for itself."""
+        letters = [p for p in pieces if p.isalpha() and p.isascii() | p.islower()]
+        known: dict[str, bytes] = {}
+        for i in range(0, len(letters) if len(self.mark) == 1 else 0, JOINED):
+            part = letters[i : i + JOINED]
+            ids = np.array(self.library.encode_batch_fast([f" {MARK} ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            at = np.flatnonzero(ids == self.mark[0])
+            if len(at) == len(part) - 1:
+                data, ends = ids.tobytes(), [*(4 * at).tolist(), 4 * len(ids)]
+                known.update((p, data[a:b]) for p, a, b in zip(part, [0, *(e + 4 for e in ends)], ends, strict=False))
+        rest = [p for p in pieces if p not in known]
+        known.update(zip(rest, self.plain(rest), strict=True))
+        return [known[p] for p in pieces]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_word:
             return self.plain(texts)
@@ -365,11 +384,24 @@ class Encoder:
         return out
 
     def encode_words(self, texts: list[str]) -> list[bytes]:
-        cut = [self.cut(t) for t in texts]
-        fresh = self.pieces.missing(set().union(*cut))
-        self.pieces.now.update(zip(fresh, self.plain([k if isinstance(k, str) else k.decode("latin-1") for k in fresh]), strict=True))
-        of = self.pieces.now.__getitem__
-        out = [b"".join(map(of, pieces)) for pieces in cut]
+        cut, of = [self.cut(t) for t in texts], self.pieces.now.get
+        out: list[bytes] = []
+        late, unknown = [], set()
+        for i, pieces in enumerate(cut):
+            ids = list(map(of, pieces))
+            try:
+                out.append(b"".join(ids))
+            except TypeError:  # some piece is not known
+                gaps = [k for k, x in enumerate(ids) if x is None]
+                late.append((i, ids, gaps))
+                out.append(b"")
+                unknown.update([pieces[k] for k in gaps])
+        fresh = self.pieces.missing(unknown)
+        self.pieces.now.update(zip(fresh, self.apart([k if isinstance(k, str) else k.decode("latin-1") for k in fresh]), strict=True))
+        for i, ids, gaps in late:
+            for k in gaps:
+                ids[k] = self.pieces.now[cut[i][k]]
+            out[i] = b"".join(ids)
         self.pieces.age(fresh)
         return out
 
