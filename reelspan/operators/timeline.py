@@ -9,6 +9,9 @@ from reelspan.functions.text import MOST_CONTEXT_CHARS, PREVIEW_CHARS, WINDOW_SE
 from reelspan.operators.intervals import TIMES, with_texts
 from reelspan.operators.scan import Fold, dense, running
 
+#: What follows a context that was cut.
+NOTE = "\n\n[context truncated to keep the GPT request focused]"
+
 
 def windowed(segments: DataFrame, size: float = WINDOW_SEC) -> DataFrame:
     """Adds the start of the tumbling window of each segment. The first segment, blank or not, sets
@@ -89,5 +92,5 @@ def context_text(segments: DataFrame, budget: int = MOST_CONTEXT_CHARS) -> DataF
     """Per video the lines within the budget, and a note where there was more."""
     kept = within_budget(segments, budget).select("video_id", "cut", F.struct("seg_no", "line").alias("l"))
     text = F.array_join(F.transform(F.array_sort(F.collect_list("l")), lambda x: x["line"]), "\n")
-    note = F.when(F.bool_or("cut"), "\n\n[context truncated to keep the GPT request focused]").otherwise("")
+    note = F.when(F.bool_or("cut"), NOTE).otherwise("")
     return kept.groupBy("video_id").agg(F.concat(text, note).alias("context"))
