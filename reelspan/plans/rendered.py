@@ -5,14 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelspan.operators import aggregates as A
-from reelspan.operators import entities as E
-from reelspan.operators import intervals as I
-from reelspan.operators import timeline as T
 from reelspan.plans import cases
 from reelspan.plans import prompts as P
-from reelspan.plans.catalogue import BASE, CLIPPED, TRIM, WINDOWED, query, ranges_of, segments_of
-from reelspan.sources import derived
+from reelspan.plans.catalogue import BASE, CLIPPED, TRIM, WINDOWED, inputs_of, query
 
 #: Templates by language; any other language takes that of auto.
 TEMPLATES = (
@@ -41,16 +36,7 @@ texts AS (SELECT video_id, {TRIM.format("CASE WHEN lang = 'en' THEN video_id ||
 SELECT video_id, md5(t) AS digest, length(t)::BIGINT AS n_chars FROM texts""")
 def rendered_inputs(spark: SparkSession, d: str) -> DataFrame:
     """The input text of every video: its language's template, the reviewed settings, and all parts."""
-    s, r = segments_of(spark, d), ranges_of(spark, d)
-    docs = derived.table(spark, d, "documents").select(F.col("doc_id").alias("video_id"), F.concat(F.lit("/v/"), F.col("doc_id").cast("string"), F.lit(".mp4")).alias("video_path"), F.col("lang").alias("source_language"))
-    reviewed = spark.range(1).select(F.lit(" ").alias("genre"), F.lit("Medium").alias("clip_length_preset"), F.array(F.lit("a"), F.lit("b")).alias("keywords"), F.lit(0.0).alias("range_start_sec"), F.lit(90.0).alias("range_end_sec"))
-    base = I.with_settings(docs, reviewed)
-    chosen = P.chosen_template(docs.select(F.col("video_id").alias("request_id"), F.col("source_language").alias("language")), spark.createDataFrame(TEMPLATES, "language string, template string"), "none")
-    parts = [
-        chosen.select(F.col("request_id").alias("video_id"), "template"), cases.listed_of(spark, d), E.reference_facts(s).select("video_id", "names"), T.timeline_text(s), T.context_text(I.within_padding(s, r)), T.transcript_text(I.clip_to_first(s, r)),
-        A.selected_duration(s, r, base.select("video_id", "range_start_sec", "range_end_sec")).select("video_id", "selected_sec", "scope"),
-    ]
-    for part in parts:
-        base = base.join(part, "video_id", "left")
-    text = P.filled("template", P.input_values())
-    return base.select("video_id", F.md5(text).alias("digest"), F.length(text).cast("long").alias("n_chars"))
+    templates = spark.createDataFrame(TEMPLATES, "language string, template string")
+    asked = P.with_template(inputs_of(spark, d, " "), templates, "none", "source_language")
+    made = asked.select("video_id", P.filled("template", P.input_values()).alias("t"))  # made once, used twice
+    return made.select("video_id", F.md5("t").alias("digest"), F.length("t").cast("long").alias("n_chars"))

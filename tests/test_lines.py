@@ -61,3 +61,9 @@ def held_by(spark, small, name):
 
 def test_input_prompts_holds_no_texts(spark, small):
     assert held_by(spark, small, "input_prompts") <= {"ranges", "durations"}
+
+
+def test_rendered_inputs_holds_no_texts(spark, small):
+    from reelspan.plans import rendered  # noqa: F401
+
+    assert held_by(spark, small, "rendered_inputs") <= {"ranges", "durations"}
