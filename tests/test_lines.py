@@ -1,7 +1,10 @@
 """Texts put together within a row equal those put together from tables."""
 
+import random
+
 from pyspark.sql import functions as F
 
+from reelspan.functions import rules, text
 from reelspan.operators import entities as E
 from reelspan.operators import intervals as I
 from reelspan.operators import lines as L
@@ -53,6 +56,15 @@ def test_dependence_needs_names(spark):
     assert [tuple(r[0]) for r in df.select(E.depends("names", F.col("t"))).collect()] == [(True, True), (False, False), (False, False), (False, False)]
 
 
+def test_counts_of_rules_stop_early_and_are_exact(spark):
+    random.seed(7)
+    texts = ["".join(random.choice((" or ", " and ", "a", "or ", "and ", ", ", ". ", "\n", "  \t", " ")) for _ in range(random.randrange(40))) for _ in range(300)] + ["a or or b", "a and and and and and b", "w " * 95 + "w", "w " * 94 + "w"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("n", text.simplified("t"))
+    for r in df.select("t", "n", rules.at_least(F.col("n"), " or ", 2), rules.at_least(F.col("n"), " and ", 5), rules.more_than(F.col("n"), ",", 6), rules.more_than(F.col("n"), ". ", 2), rules.more_than(F.col("n"), " ", 94)).collect():
+        n = " ".join(r[0].split())
+        assert tuple(r)[1:] == (n, n.count(" or ") >= 2, n.count(" and ") >= 5, n.count(",") >= 7, n.count(". ") > 2, len(n.split(" ")) > 95)
+
+
 def held_by(spark, small, name):
     derived.release(spark)
     assert catalogue.QUERIES[name](spark, small).count() > 0
@@ -67,3 +79,9 @@ def test_rendered_inputs_holds_no_texts(spark, small):
     from reelspan.plans import rendered  # noqa: F401
 
     assert held_by(spark, small, "rendered_inputs") <= {"ranges", "durations"}
+
+
+def test_prompt_issues_holds_no_texts(spark, small):
+    from reelspan.plans import cases  # noqa: F401
+
+    assert held_by(spark, small, "prompt_issues") <= {"ranges", "durations"}
